@@ -17,8 +17,25 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.langid import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lociweave.llm.packing import pack_documents
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op4_language_id": op4_language_id,
+    "op6_packing": op6_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
