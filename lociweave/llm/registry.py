@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lociweave.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.suffixdedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=400)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +45,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
     "op4_language_id": op4_language_id,
     "op6_packing": op6_packing,
