@@ -44,19 +44,33 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lociweave.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=5, per_cent=75)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_near_dedup": op8_near_dedup,
+    "op10_quality": op10_quality,
 }
 
 DECONTAMINATE_SQL = r"""
