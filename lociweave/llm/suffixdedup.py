@@ -187,15 +187,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     chosen = materialize(representatives(docs, asked, length), "chosen")
     limits = unique_from(chosen)
     strings = materialize(open_strings(chosen, limits, length), "strings")
+    drop_materialized(chosen)
     again = strings.groupBy("anchor", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    alone = chosen.where("times = 1").select("anchor", "content", "id", "mark", "first")
     places = strings.join(again, ["anchor", "string"], "left_semi").groupBy("anchor", "content").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n"), F.sort_array(F.collect_list("x")).alias("xs"))
     spots = F.when(F.col("n") == F.col("high") - F.col("low") + 1, F.array(F.struct(F.col("low"), F.col("high")))).otherwise(F.transform("xs", lambda x: F.struct(x.alias("low"), x.alias("high"))))
-    partly = alone.join(places, ["anchor", "content"]).select("id", "mark", "first", F.explode(spots).alias("s"))
+    places = materialize(places.select("anchor", "content", spots.alias("spots")), "places")
+    for used in (limits, strings):
+        drop_materialized(used)
+    alone = kinds.where("times = 1").select("anchor", "content", "id", "mark", "first")
+    partly = alone.join(places, ["anchor", "content"]).select("id", "mark", "first", F.explode("spots").alias("s"))
     partly = partly.select("id", "mark", (F.col("first") + F.col("s.low")).alias("start"), (F.col("first") + F.col("s.high") + length).alias("stop"))
     wholly = all_.join(kinds.where("times > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("id", "mark", F.col("first").alias("start"), (F.col("first") + F.col("count") - 1 + length).alias("stop"))
     out = materialize(wholly.unionByName(partly), "spans")
-    for used in (all_, kinds, chosen, limits, strings):
+    for used in (all_, kinds, places):
         drop_materialized(used)
     return out
 
