@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.llm.bytetext import Rolling, bytes_of, words_of
@@ -27,6 +27,11 @@ from lociweave.llm.components import components
 
 BANDS, ROWS = 32, 4
 SKETCH = BANDS * ROWS
+#: Four bits of each sketch value, 16 values a word. A pair at the threshold differs in 30 of 128 values on average,
+#: in more than MOST_UNLIKE with a probability of some 0.00001; unlike pairs of a bucket need not be compared on full sets.
+WORDS = SKETCH // 16
+DIGEST = [f"d{k}" for k in range(WORDS)]
+MOST_UNLIKE = 52
 #: Rounds of one centre a bucket before the rest is compared pair by pair.
 CENTRE_ROUNDS = 3
 #: Pairs left to compare, per member of a bucket with several components, at which all are compared at once.
@@ -81,7 +86,7 @@ def sketches(shingles: np.ndarray, sizes: np.ndarray, bins: int = SKETCH) -> np.
 
 
 def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, a 16-byte signature of the set, and the hash of each band."""
+    """doc_id, n_shingles, a 16-byte signature of the set, the hash of each band, and four bits of each sketch value."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=TEXT_SLICE):
@@ -89,17 +94,22 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
             some = np.flatnonzero(sizes)
             bands = np.zeros((len(sizes), BANDS), dtype=np.uint64)
             signature = np.zeros((len(sizes), 2), dtype=np.uint64)
+            digest = np.zeros((len(sizes), WORDS), dtype=np.uint64)
             if len(some):
-                values = sketches(shingles, sizes[some]).reshape(len(some), BANDS, ROWS)
+                values = sketches(shingles, sizes[some])
+                nibbles = (mix64(values) >> np.uint64(60)).reshape(len(some), WORDS, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+                digest[some] = np.bitwise_or.reduce(nibbles, axis=2)
+                values = values.reshape(len(some), BANDS, ROWS)
                 bands[some] = mix64((values * TURNS[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * TURNS[8])
                 firsts = np.cumsum(sizes[some]) - sizes[some]
                 signature[some, 0] = np.add.reduceat(shingles, firsts)
                 signature[some, 1] = np.bitwise_xor.reduceat(mix64(shingles), firsts)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(sizes) + 1, BANDS), pa.int32()), pa.array(bands.view(np.int64).ravel()))
             marks = pa.array([signature[i].tobytes() for i in range(len(sizes))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), marks, lists], ["doc_id", "n_shingles", "mark", "bands"])
+            words = [pa.array(np.ascontiguousarray(digest[:, k]).view(np.int64)) for k in range(WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), marks, lists, *words], ["doc_id", "n_shingles", "mark", "bands", *DIGEST])
 
-    return docs.mapInArrow(step, "doc_id long, n_shingles long, mark binary, bands array<long>")
+    return docs.mapInArrow(step, f"doc_id long, n_shingles long, mark binary, bands array<long>, {', '.join(f'{d} long' for d in DIGEST)}")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -114,6 +124,18 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(step, "doc_id long, shingles binary")
 
 
+def hopeful(a: str, b: str, per_cent: int) -> Column:
+    """Whether the sizes (columns n) and digests of two nodes allow a link."""
+    sizes = 100 * F.least(f"{a}.n", f"{b}.n") >= per_cent * F.greatest(f"{a}.n", f"{b}.n")
+    unlike = F.lit(0)
+    for d in DIGEST:
+        x = F.col(f"{a}.{d}").bitwiseXOR(F.col(f"{b}.{d}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        unlike = unlike + F.bit_count(x)
+    return F.coalesce(sizes & (unlike <= MOST_UNLIKE), F.lit(True))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, per_cent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
     asked = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
@@ -135,45 +157,53 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, per_cent: int) -> Da
     return joined.mapInArrow(step, "u long, v long").distinct()
 
 
+def _likely(pairs: DataFrame, looks: DataFrame, per_cent: int) -> DataFrame:
+    both = pairs.join(looks.alias("a"), F.col("u") == F.col("a.node")).join(looks.alias("b"), F.col("v") == F.col("b.node"))
+    return both.where(hopeful("a", "b", per_cent)).select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, per_cent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     base = materialize(sketched(docs, shingle_words), "sketches")
     nodes = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    copies = nodes.groupBy("mark").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    members = materialize(copies.select("node", "n", F.explode("bands").alias("bucket")).distinct(), "members")
+    copies = nodes.groupBy("mark").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), *(F.first(d).alias(d) for d in DIGEST))
+    copies = materialize(copies, "copies")
+    members = copies.select("node", F.explode("bands").alias("bucket")).distinct()
     buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("centre")).where("size > 1")
     entries = materialize(members.join(buckets.drop("size"), "bucket").select("bucket", "centre", "node"), "entries")
-    drop_materialized(members)
+    # A document with several versions has no one look; it is always compared.
+    single = lambda c: F.when(F.count("*") == 1, F.max(c)).alias(c)
+    looks = copies.groupBy("node").agg(single("n"), *(single(d) for d in DIGEST))
 
     links = nodes.join(copies.select("mark", "node"), "mark").where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
-    links = materialize(links, "copies")
+    links = materialize(links, "same")
     # Each node with the centre of most of its buckets, then with further centres while buckets hold several components.
-    common = entries.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
-    pairs = common.groupBy("node").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre")).select(F.col("node").alias("u"), F.col("centre").alias("v"))
-    tested = materialize(pairs, "pairs")
+    common = entries.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("k"))
+    pairs = common.groupBy("node").agg(F.max_by("centre", F.struct("k", -F.col("centre"))).alias("centre")).select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    tested = materialize(_likely(pairs, looks, per_cent), "pairs")
     found = materialize(confirmed(tested, docs, shingle_words, per_cent), "links")
     for turn in range(CENTRE_ROUNDS + 1):
         labels = components(found)
         labelled = entries.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        labelled = materialize(labelled, "entries")
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("centre")).where("low <> high")
-        mixed = materialize(mixed.select("bucket", "n", "centre"), "mixed")
-        left = mixed.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        labelled = materialize(labelled, "labelled")
+        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("centre")).where("low <> high")
+        mixed = materialize(mixed.select("bucket", "size", "centre"), "mixed")
+        left = mixed.agg(F.coalesce(F.sum(F.col("size") * (F.col("size") - 1) / 2), F.lit(0.0)), F.coalesce(F.sum("size"), F.lit(0))).first()
         last = turn == CENTRE_ROUNDS or left[0] <= LINEAR * left[1]
-        if left[1] and last:
-            open_ = labelled.join(mixed.select("bucket"), "bucket", "left_semi")
-            other = open_.select("bucket", F.col("node").alias("y"), F.col("component").alias("other"))
-            more = open_.join(other, "bucket").where("node < y and component <> other").select(F.col("node").alias("x"), "y")
-        elif left[1]:
-            own = mixed.join(labelled.select("bucket", F.col("node").alias("centre"), F.col("component").alias("own")), ["bucket", "centre"])
-            more = labelled.join(own.select("bucket", "centre", "own"), "bucket").where("component <> own").select(F.col("node").alias("x"), F.col("centre").alias("y"))
         if left[1]:
-            more = more.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+            # Members of a bucket that holds several components, with what decides whether two of them may be alike.
+            open_ = labelled.join(mixed, "bucket").join(looks, "node")
+            a, b = open_.alias("a"), open_.alias("b")
+            same = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component"))
+            each = (F.col("a.node") < F.col("b.node")) if last else (F.col("b.node") == F.col("b.centre"))
+            more = a.join(b.where(F.col("node") == F.col("centre")).alias("b") if not last else b, same & each & hopeful("a", "b", per_cent))
+            more = more.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
             known = tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
             more = materialize(more.join(known, ["u", "v"], "left_anti"), "pairs")
-            found = materialize(found.unionByName(confirmed(more, docs, shingle_words, per_cent)), "links")
-            tested = tested.unionByName(more)
+            if not more.isEmpty():
+                found = materialize(found.unionByName(confirmed(more, docs, shingle_words, per_cent)), "links")
+                tested = tested.unionByName(more)
         drop_materialized(labelled)
         if last:
             break
