@@ -23,6 +23,19 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op3_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio; each vector of embeddings is sung as a melody and fingerprinted."""
+    from lociweave.llm.chroma import aligned, sung
+
+    return aligned(sung(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")).withColumnRenamed("id", "vec_id")
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.chat import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lociweave.llm.langid import language_id
 
@@ -65,11 +78,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_chroma": op3_chroma,
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_near_dedup": op8_near_dedup,
+    "op9_chat": op9_chat,
     "op10_quality": op10_quality,
 }
 
