@@ -94,7 +94,7 @@ class QualityModel:
 
 
 def fit_nonnegative(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE) -> QualityModel:
-    """Minimise the non-negative unbiased risk with the logistic loss; where its inner part is negative, undo it."""
+    """Minimise the non-negative unbiased risk with the sigmoid loss; where its inner part is negative, undo it."""
     mean, scale = unlabelled.mean(axis=0), np.maximum(unlabelled.std(axis=0), 1e-3)
     model = QualityModel(mean, scale, np.zeros(positive.shape[1] + 1))
     form = lambda x: np.column_stack([np.ones(len(x)), np.clip((x - mean) / scale, -6, 6)])
@@ -102,10 +102,9 @@ def fit_nonnegative(positive: np.ndarray, unlabelled: np.ndarray, prior: float,
     w, first, second = model.weights, np.zeros_like(model.weights), np.zeros_like(model.weights)
     for k in range(1, steps + 1):
         sp, su = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) for x in (p, u))
-        good = -p.T @ (1 - sp) / len(p)
-        bad_p, bad_u = p.T @ sp / len(p), u.T @ su / len(u)
-        inner = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
-        gradient = prior * good + bad_u - prior * bad_p if inner >= 0 else prior * bad_p - bad_u
+        slope_p, slope_u = p.T @ (sp * (1 - sp)) / len(p), u.T @ (su * (1 - su)) / len(u)
+        inner = su.mean() - prior * sp.mean()
+        gradient = slope_u - 2 * prior * slope_p if inner >= 0 else prior * slope_p - slope_u
         gradient = gradient + 1e-3 * np.append(0, w[1:])
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         w -= rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
