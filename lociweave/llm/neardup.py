@@ -4,8 +4,9 @@ Sketching (after Dahlgaard, Knudsen and Thorup, 2017) goes in rounds: each round
 one of SKETCH bins and keeps the least value of a bin; after SKETCH rounds, round SKETCH + b throws all into bin b, so
 every bin fills. Texts with the same shingle set are one node from the start. Of the others, those that share a band
 are compared on their full sets: first each with the smallest member of the buckets it shares most, then, where
-buckets still hold several components, with one more centre a round, at last all that is left. No partner is dropped.
-With BANDS bands of ROWS, a pair at the threshold shares a band with probability 0.999995.
+buckets still hold several components, those outside a bucket's largest one with one of its members a round, at last
+all pairs that are left. No partner is dropped.
+With BANDS bands of ROWS, a pair at the threshold shares a band with probability 0.999996.
 
 Null and empty texts have no shingles, link with nothing and stay. Rows that share a doc_id count as versions of one
 document. Rows whose doc_id is null link with nothing and have no component_id. Columns beyond doc_id and text are
@@ -25,17 +26,17 @@ from lociweave.llm.bytetext import Rolling, bytes_of, words_of
 from lociweave.llm.common import drop_materialized, materialize, mix64, slices
 from lociweave.llm.components import components
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 64, 6
 SKETCH = BANDS * ROWS
-#: Four bits of each sketch value, 16 values a word. A pair at the threshold differs in 30 of 128 values on average,
+#: Four bits of each sketch value, 16 values a word. A pair at the threshold differs in 90 of 384 values on average,
 #: in more than MOST_UNLIKE with a probability of some 0.00001; unlike pairs of a bucket need not be compared on full sets.
 WORDS = SKETCH // 16
 DIGEST = [f"d{k}" for k in range(WORDS)]
-MOST_UNLIKE = 52
+MOST_UNLIKE = 128
 #: Rounds of one centre a bucket before the rest is compared pair by pair.
-CENTRE_ROUNDS = 3
+CENTRE_ROUNDS = 5
 #: Pairs left to compare, per member of a bucket with several components, at which all are compared at once.
-LINEAR = 8
+LINEAR = 2
 TEXT_SLICE = 3 << 20
 #: Bytes that part words: space and the five controls from tab on.
 GAP = np.zeros(256, dtype=bool)
@@ -70,7 +71,7 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(shingles: np.ndarray, sizes: np.ndarray, bins: int = SKETCH) -> np.ndarray:
-    """A row of bins values for each set; a value's top byte is the round that filled the bin."""
+    """A row of bins values for each set; a value's top ten bits are the round that filled the bin."""
     filled = np.full(len(sizes) * bins, np.iinfo(np.uint64).max, dtype=np.uint64)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     for turn in range(2 * bins):
@@ -78,7 +79,7 @@ def sketches(shingles: np.ndarray, sizes: np.ndarray, bins: int = SKETCH) -> np.
             break
         value = mix64(shingles ^ mix64(np.array([turn + 1], dtype=np.uint64)))
         place = (value % np.uint64(bins)).astype(np.int64) if turn < bins else np.int64(turn - bins)
-        np.minimum.at(filled, owner * bins + place, (np.uint64(turn) << np.uint64(56)) | (value >> np.uint64(8)))
+        np.minimum.at(filled, owner * bins + place, (np.uint64(turn) << np.uint64(54)) | (value >> np.uint64(10)))
         full = (filled.reshape(-1, bins) != np.iinfo(np.uint64).max).all(axis=1)
         keep = ~full[owner]
         owner, shingles = owner[keep], shingles[keep]
@@ -187,20 +188,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, per_cent: int = 75)
         labels = components(found)
         labelled = entries.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         labelled = materialize(labelled, "labelled")
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("centre")).where("low <> high")
-        mixed = materialize(mixed.select("bucket", "size", "centre"), "mixed")
-        left = mixed.agg(F.coalesce(F.sum(F.col("size") * (F.col("size") - 1) / 2), F.lit(0.0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+        own = labelled.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("centre"))
+        main = F.max_by(F.struct("component", "centre"), F.struct("k", -F.col("component"))).alias("main")
+        mixed = own.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("squares"), main).where("parts > 1")
+        mixed = materialize(mixed.select("bucket", "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("pairs"), "main"), "mixed")
+        left = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("size"), F.lit(0))).first()
         last = turn == CENTRE_ROUNDS or left[0] <= LINEAR * left[1]
         if left[1]:
-            # Members of a bucket that holds several components, with what decides whether two of them may be alike.
-            open_ = labelled.join(mixed, "bucket").join(looks, "node")
-            a, b = open_.alias("a"), open_.alias("b")
-            same = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component"))
-            each = (F.col("a.node") < F.col("b.node")) if last else (F.col("b.node") == F.col("b.centre"))
-            more = a.join(b.where(F.col("node") == F.col("centre")).alias("b") if not last else b, same & each & hopeful("a", "b", per_cent))
-            more = more.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
+            open_ = labelled.join(mixed.select("bucket", "main"), "bucket")
+            if last:
+                # Members of a bucket that holds several components, with what decides whether two may be alike.
+                a, b = (open_.drop("main").join(looks, "node").alias(x) for x in "ab")
+                apart = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") < F.col("b.node"))
+                more = a.join(b, apart & hopeful("a", "b", per_cent)).select(F.col("b.node").alias("u"), F.col("a.node").alias("v")).distinct()
+            else:
+                more = open_.where("component <> main.component").select("node", F.col("main.centre").alias("centre"))
+                more = more.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct()
             known = tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-            more = materialize(more.join(known, ["u", "v"], "left_anti"), "pairs")
+            more = more.join(known, ["u", "v"], "left_anti")
+            more = materialize(more if last else _likely(more, looks, per_cent), "pairs")
             if not more.isEmpty():
                 found = materialize(found.unionByName(confirmed(more, docs, shingle_words, per_cent)), "links")
                 tested = tested.unionByName(more)
