@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.functions.sequences import ambiguous, common_prefix, rank_key
+from lociweave.operators.storage import settled
 
 WIDTH, CHUNK = 256, 512
 
@@ -59,6 +60,7 @@ def right_maximal(texts: DataFrame, k: int, width: int = WIDTH) -> DataFrame:
     while True:
         found = neighbour_prefixes(suffixes(texts, k, width), width).where(F.col("lcp") >= k)
         words = found.select("family_id", "kmer", F.expr("substring(suffix, 1, lcp)").alias("word"), F.col("lcp").alias("len")).distinct().where(~ambiguous(F.col("word")))
+        words = settled(words)
         if words.agg(F.max("len")).first()[0] in (None, *range(width)):
             return words
         width *= 4
@@ -90,7 +92,7 @@ def maximal_repeats(texts: DataFrame, k: int, suppress_subsumed: bool = True, wi
     """Occurrences (family_id, word, len, seq_idx, pos) of the repeats that neither side extends."""
     words = right_maximal(texts, k, width)
     width = max(width, (words.agg(F.max("len")).first()[0] or 0) + 2)
-    found = occurrences(words, suffixes(texts, k, width))
+    found = settled(occurrences(words, suffixes(texts, k, width)))
     kept = left_diverse(found)
     if suppress_subsumed:
         kept = kept.join(subsumed(found, kept), ["family_id", "word"], "left_anti")

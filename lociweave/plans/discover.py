@@ -10,6 +10,7 @@ from lociweave.operators import anchors as A
 from lociweave.operators import chain as C
 from lociweave.operators import coordinates as X
 from lociweave.operators import repeats as R
+from lociweave.operators.storage import settled
 
 
 def prepared(sequences: DataFrame, genes: DataFrame, soft_mask: bool = True) -> DataFrame:
@@ -58,7 +59,7 @@ def literal_anchors(texts: DataFrame, frames: DataFrame, k: int) -> DataFrame:
     words = R.right_maximal(joined, k)
     width = (words.agg(F.max("len")).first()[0] or 0) + 2
     starts = R.suffixes(joined, k, max(width, R.WIDTH)).withColumn("prev", F.when(F.col("prev").startswith("^"), "$").otherwise(F.col("prev")))
-    found = R.occurrences(words, starts)
+    found = settled(R.occurrences(words, starts))
     kept = R.left_diverse(found)
     kept = kept.join(R.subsumed(found, kept, literal=True), ["family_id", "word"], "left_anti").select("family_id", "word")
     halves = R.boundary_split(kept, k, literal=True)

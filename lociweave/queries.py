@@ -37,8 +37,10 @@ WITH = {
     "edges": """edges AS (SELECT a.family_id, a.row_id AS src, b.row_id AS dst, b.len AS weight FROM items AS a JOIN items AS b ON a.family_id = b.family_id AND a.x + a.len < b.x AND a.y + a.len < b.y AND a.z + a.len < b.z)""",
     "legacy": """legacy AS (SELECT a.family_id, a.row_id AS src, b.row_id AS dst, b.len AS weight FROM items AS a JOIN items AS b ON a.family_id = b.family_id AND a.x < b.x AND a.y < b.y AND a.z < b.z)""",
     "turned": """turned AS (SELECT fam.family_id, fam.seq_idx, CASE WHEN doc_id % 2 = 0 THEN bases ELSE reverse(translate(bases, 'ACGT', 'TGCA')) END AS bases FROM fam)""",
-    "starts": f"""starts AS (SELECT family_id, seq_idx, p AS pos, substring(bases, p, {K}) AS kmer, CASE WHEN p = 1 THEN concat('^', seq_idx) ELSE substring(bases, p - 1, 1) END AS prev,
-      regexp_extract(substring(bases, p, 256), '^[^N]*N?') AS suffix FROM (SELECT *, unnest(range(1, length(bases) - {K} + 2)) AS p FROM turned WHERE length(bases) >= {K}) WHERE NOT contains(substring(bases, p, {K}), 'N'))""",
+    "runs": f"""runs AS (SELECT family_id, seq_idx, run, k, n_runs, coalesce(CAST(sum(length(run) + 1) OVER (PARTITION BY family_id, seq_idx ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before
+      FROM (SELECT family_id, seq_idx, unnest(string_split(bases, 'N')) AS run, generate_subscripts(string_split(bases, 'N'), 1) AS k, len(string_split(bases, 'N')) AS n_runs FROM turned))""",
+    "starts": f"""starts AS (SELECT family_id, seq_idx, before + p AS pos, substring(run, p, {K}) AS kmer, CASE WHEN before + p = 1 THEN concat('^', seq_idx) WHEN p = 1 THEN 'N' ELSE substring(run, p - 1, 1) END AS prev,
+      concat(substring(run, p), CASE WHEN k < n_runs THEN 'N' ELSE '' END) AS suffix FROM (SELECT *, unnest(range(1, length(run) - {K} + 2)) AS p FROM runs WHERE length(run) >= {K}))""",
     "near": """near AS (SELECT *, CASE WHEN before IS NULL THEN NULL ELSE coalesce(list_position(list_transform(range(1, least(length(suffix), length(before)) + 1), lambda i: suffix[i] <> before[i]), true) - 1, least(length(suffix), length(before))) END AS lcp
       FROM (SELECT *, lag(suffix) OVER (PARTITION BY family_id, kmer ORDER BY translate(suffix, '$ACGNT#', '0123456'), seq_idx, pos) AS before FROM starts))""",
     "words": f"""words AS (SELECT DISTINCT family_id, kmer, substring(suffix, 1, lcp) AS word, lcp AS len FROM near WHERE lcp >= {K} AND NOT contains(substring(suffix, 1, lcp), 'N'))""",
@@ -56,7 +58,7 @@ WITH = {
       LEFT JOIN (SELECT family_id, word, pos AS pos2 FROM repeats WHERE seq_idx = 2) USING (family_id, word)
       WHERE n = 1 OR n = 2 AND pos1 IS NOT NULL OR n = 3 AND pos1 IS NOT NULL AND pos2 IS NOT NULL)""",
 }
-FAMILY = ("fam", "turned", "starts", "near", "words", "occ", "diverse", "subsumed", "repeats")
+FAMILY = ("fam", "turned", "runs", "starts", "near", "words", "occ", "diverse", "subsumed", "repeats")
 
 
 def query(name: str, sql: str | None = None, uses: tuple[str, ...] = (), recursive: bool = False):
@@ -204,13 +206,13 @@ def cns_header(spark, sf_dir):
 # Repeats -----------------------------------------------------------------------------------------------------------
 
 
-@query("kmer_explode", "SELECT family_id, seq_idx, kmer, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM starts GROUP BY ALL", ("fam", "turned", "starts"))
+@query("kmer_explode", "SELECT family_id, seq_idx, kmer, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM starts GROUP BY ALL", ("fam", "turned", "runs", "starts"))
 def kmer_explode(spark, sf_dir):
     starts = R.suffixes(texts_of(families(spark, sf_dir)), K)
     return starts.groupBy("family_id", "seq_idx", "kmer").agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first_pos"), F.max("pos").cast("long").alias("last_pos"))
 
 
-@query("kmer_seed_join", "SELECT a.family_id, a.seq_idx AS seq_a, b.seq_idx AS seq_b, count(*) AS n_seeds FROM starts AS a JOIN starts AS b ON a.family_id = b.family_id AND a.kmer = b.kmer AND a.seq_idx < b.seq_idx GROUP BY ALL", ("fam", "turned", "starts"))
+@query("kmer_seed_join", "SELECT a.family_id, a.seq_idx AS seq_a, b.seq_idx AS seq_b, count(*) AS n_seeds FROM starts AS a JOIN starts AS b ON a.family_id = b.family_id AND a.kmer = b.kmer AND a.seq_idx < b.seq_idx GROUP BY ALL", ("fam", "turned", "runs", "starts"))
 def kmer_seed_join(spark, sf_dir):
     pairs = R.kmer_pairs(R.suffixes(texts_of(families(spark, sf_dir)), K))
     return pairs.groupBy("family_id", "seq_a", "seq_b").agg(F.count("*").alias("n_seeds"))
@@ -222,24 +224,24 @@ def kmer_seed_join(spark, sf_dir):
       SELECT *, pos_a - row_number() OVER (PARTITION BY family_id, seq_a, seq_b, pos_b - pos_a ORDER BY pos_a) AS island, pos_b - pos_a AS diagonal FROM (
         SELECT a.family_id, a.seq_idx AS seq_a, b.seq_idx AS seq_b, a.pos AS pos_a, b.pos AS pos_b FROM starts AS a JOIN starts AS b ON a.family_id = b.family_id AND a.kmer = b.kmer AND a.seq_idx < b.seq_idx))
     GROUP BY family_id, seq_a, seq_b, diagonal, island""",
-    ("fam", "turned", "starts"),
+    ("fam", "turned", "runs", "starts"),
 )
 def lce_islands(spark, sf_dir):
     rows = R.extensions(R.kmer_pairs(R.suffixes(texts_of(families(spark, sf_dir)), K)), K)
     return rows.select("family_id", "seq_a", "seq_b", F.col("pos_a").cast("long").alias("pos_a"), F.col("pos_b").cast("long").alias("pos_b"), "len")
 
 
-@query("right_maximal", "SELECT family_id, word, CAST(len AS BIGINT) AS len FROM words", FAMILY[:5])
+@query("right_maximal", "SELECT family_id, word, CAST(len AS BIGINT) AS len FROM words", FAMILY[:6])
 def right_maximal(spark, sf_dir):
     return _found(spark, sf_dir)[0].select("family_id", "word", F.col("len").cast("long").alias("len"))
 
 
-@query("left_diverse", "SELECT family_id, word, prevs FROM diverse", FAMILY[:7])
+@query("left_diverse", "SELECT family_id, word, prevs FROM diverse", FAMILY[:8])
 def left_diverse(spark, sf_dir):
     return R.left_diverse(_found(spark, sf_dir)[1])
 
 
-@query("subsumed_repeat", "SELECT family_id, word FROM subsumed", FAMILY[:8])
+@query("subsumed_repeat", "SELECT family_id, word FROM subsumed", FAMILY[:9])
 def subsumed_repeat(spark, sf_dir):
     found = _found(spark, sf_dir)[1]
     return R.subsumed(found, R.left_diverse(found))
@@ -250,13 +252,18 @@ def maximal_repeats(spark, sf_dir):
     return _repeats(spark, sf_dir).groupBy("family_id", "word").agg(F.count("*").alias("n_occurrences"))
 
 
-@query("ambiguity_filter", f"SELECT family_id, seq_idx, count(*) AS n_words, count(CASE WHEN contains(w, 'N') THEN 1 END) AS n_ambiguous FROM (SELECT family_id, seq_idx, unnest(list_transform(range(1, length(bases) - {K} + 2), lambda p: substring(bases, p, {K}))) AS w FROM turned) GROUP BY ALL", ("fam", "turned"))
+@query(
+    "ambiguity_filter",
+    f"""SELECT r.family_id, r.seq_idx, n_words, n_words - coalesce(n_clear, 0) AS n_ambiguous FROM (SELECT family_id, seq_idx, length(bases) - {K} + 1 AS n_words FROM turned WHERE length(bases) >= {K}) AS r
+      LEFT JOIN (SELECT family_id, seq_idx, count(*) AS n_clear FROM starts GROUP BY ALL) USING (family_id, seq_idx)""",
+    ("fam", "turned", "runs", "starts"),
+)
 def ambiguity_filter(spark, sf_dir):
     starts = R.suffixes(texts_of(families(spark, sf_dir)), K, keep_ambiguous=True)
     return starts.groupBy("family_id", "seq_idx").agg(F.count("*").alias("n_words"), F.count_if(S.ambiguous(F.col("kmer"))).alias("n_ambiguous"))
 
 
-@query("homopolymer_filter", "SELECT family_id, kmer, count(*) AS n FROM starts WHERE length(replace(kmer, kmer[1], '')) = 0 GROUP BY ALL", ("fam", "turned", "starts"))
+@query("homopolymer_filter", "SELECT family_id, kmer, count(*) AS n FROM starts WHERE length(replace(kmer, kmer[1], '')) = 0 GROUP BY ALL", ("fam", "turned", "runs", "starts"))
 def homopolymer_filter(spark, sf_dir):
     starts = R.suffixes(texts_of(families(spark, sf_dir)), K)
     return starts.where(S.homopolymer(F.col("kmer"))).groupBy("family_id", "kmer").agg(F.count("*").alias("n"))
@@ -275,7 +282,7 @@ def boundary_split(spark, sf_dir):
     return R.boundary_split(words, K).select("word", "part", F.col("side").cast("long").alias("side"), F.col("shift").cast("long").alias("shift"))
 
 
-@query("rank_key_sort", "SELECT family_id, word, row_number() OVER (PARTITION BY family_id ORDER BY concat(translate(word, '$ACGNT#', '0123456'), '7')) AS rank FROM words", FAMILY[:5])
+@query("rank_key_sort", "SELECT family_id, word, row_number() OVER (PARTITION BY family_id ORDER BY concat(translate(word, '$ACGNT#', '0123456'), '7')) AS rank FROM words", FAMILY[:6])
 def rank_key_sort(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -478,7 +485,7 @@ def brush_filter(spark, sf_dir):
     return writers.brushed(items(spark, sf_dir), {0: (100, 1500), 2: (60, 240)}).select("family_id", "row_id")
 
 
-@query("multi_k", "SELECT k, family_id, count(*) AS n_kmers FROM (SELECT family_id, k, unnest(list_transform(range(1, length(bases) - k + 2), lambda p: substring(bases, p, k))) AS w FROM turned, (VALUES (8), (12), (16)) AS ks(k) WHERE length(bases) >= k) WHERE NOT contains(w, 'N') GROUP BY ALL", ("fam", "turned"))
+@query("multi_k", "SELECT k, family_id, CAST(sum(length(run) - k + 1) AS BIGINT) AS n_kmers FROM (SELECT family_id, run FROM runs), (VALUES (8), (12), (16)) AS ks(k) WHERE length(run) >= k GROUP BY ALL", ("fam", "turned", "runs"))
 def multi_k(spark, sf_dir):
     texts = texts_of(families(spark, sf_dir))
     out = None
