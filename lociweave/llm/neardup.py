@@ -155,7 +155,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, per_cent: int) -> Da
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b")
-    return joined.mapInArrow(step, "u long, v long").distinct()
+    out = materialize(joined.mapInArrow(step, "u long, v long").distinct(), "links")
+    drop_materialized(sets)
+    return out
 
 
 def _likely(pairs: DataFrame, looks: DataFrame, per_cent: int) -> DataFrame:
@@ -175,15 +177,18 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, per_cent: int = 75)
     entries = materialize(members.join(buckets.drop("size"), "bucket").select("bucket", "centre", "node"), "entries")
     # A document with several versions has no one look; it is always compared.
     single = lambda c: F.when(F.count("*") == 1, F.max(c)).alias(c)
-    looks = copies.groupBy("node").agg(single("n"), *(single(d) for d in DIGEST))
+    looks = materialize(copies.groupBy("node").agg(single("n"), *(single(d) for d in DIGEST)), "looks")
 
     links = nodes.join(copies.select("mark", "node"), "mark").where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
     links = materialize(links, "same")
+    rows = materialize(base.select("doc_id", "n_shingles"), "rows")
+    for used in (base, copies):
+        drop_materialized(used)
     # Each node with the centre of most of its buckets, then with further centres while buckets hold several components.
     common = entries.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("k"))
     pairs = common.groupBy("node").agg(F.max_by("centre", F.struct("k", -F.col("centre"))).alias("centre")).select(F.col("node").alias("u"), F.col("centre").alias("v"))
     tested = materialize(_likely(pairs, looks, per_cent), "pairs")
-    found = materialize(confirmed(tested, docs, shingle_words, per_cent), "links")
+    found = confirmed(tested, docs, shingle_words, per_cent)
     for turn in range(CENTRE_ROUNDS + 1):
         labels = components(found)
         labelled = entries.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -208,12 +213,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, per_cent: int = 75)
             more = more.join(known, ["u", "v"], "left_anti")
             more = materialize(more if last else _likely(more, looks, per_cent), "pairs")
             if not more.isEmpty():
-                found = materialize(found.unionByName(confirmed(more, docs, shingle_words, per_cent)), "links")
+                found = found.unionByName(confirmed(more, docs, shingle_words, per_cent))
                 tested = tested.unionByName(more)
         drop_materialized(labelled)
         if last:
             break
     labels = components(found.unionByName(links))
-    out = base.drop("mark", "bands").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.coalesce(component == F.col("doc_id"), F.lit(True))).alias("kept"))
