@@ -14,6 +14,7 @@ the order of doc_id, then text hash.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +29,9 @@ from lociweave.llm.common import slices, text_of
 #: Documents of a group, about; free places of a bin below which no further document is cut to fill it.
 GROUP_DOCS, LEAST_CUT = 4096, 8
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+#: Longest run of white space for the fast encoder, whose pattern takes a place on a stack of 1,000,000 for each sign of it.
+SAFE_RUN = 100_000
+SPACES = re.compile(r"\s+")
 #: All documents' sequence ids: the group's number times this, and a number within the group.
 GROUP_IDS = 1 << 32
 
@@ -42,15 +46,31 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=1)
+def library(path: str):
+    """The tokenizer of the .json file beside the file of ranks at path."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(f"{path.removesuffix('.tiktoken')}.json")
+
+
 def encode(text: str, path: str, pattern: str) -> list[int]:
-    """Ids of a whole text; a special string inside it is its one id."""
-    enc = encoding(path, pattern)
-    if SPECIAL not in text:
-        return enc.encode_ordinary(text)
-    ids: list[int] = []
-    for k, part in enumerate(text.split(SPECIAL)):
-        ids += ([SPECIAL_ID] if k else []) + enc.encode_ordinary(part)
-    return ids
+    """Ids of a whole text; a special string inside it is its one id.
+
+    What the fast encoder cannot take, however long, goes whole to the library that defines the ids.
+    """
+    if len(text) <= SAFE_RUN or all(m.end() - m.start() <= SAFE_RUN for m in SPACES.finditer(text)):
+        enc = encoding(path, pattern)
+        try:
+            ids: list[int] = []
+            for k, part in enumerate(text.split(SPECIAL)):
+                ids += ([SPECIAL_ID] if k else []) + enc.encode_ordinary(part)
+            return ids
+        except (KeyboardInterrupt, SystemExit, MemoryError):
+            raise
+        except BaseException:  # its panics are no Exceptions
+            pass
+    return library(path).encode(text, add_special_tokens=False).ids
 
 
 class Bins:

@@ -182,6 +182,22 @@ def test_packing_keeps_every_id_once(spark):
     assert packing.pack_documents(empty(spark), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
+def test_packing_takes_runs_of_white_space_of_any_length(spark, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    text = "a" + " " * 2_000_000 + "b<|endoftext|>" + "\n" * 2_000_000
+    ids = np.array([*library.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+    rows = sorted(packing.pack_documents(docs_of(spark, [text, "short"]), path, pattern).where("doc_id = 0").collect(), key=lambda r: r.start)
+    assert rows[0].doc_tokens == len(ids) == sum(r.length for r in rows)
+    assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in rows)
+    # The fast encoder's own panics go to the library too.
+    monkeypatch.setattr(packing, "SAFE_RUN", 10_000_000)
+    assert packing.encode(" " * 1_000_000, path, pattern) == library.encode(" " * 1_000_000, add_special_tokens=False).ids
+
+
 def test_first_fit_is_first_fit():
     rnd = random.Random(8)
     sizes = [rnd.randint(1, 100) for _ in range(200)]
