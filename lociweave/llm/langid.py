@@ -33,6 +33,14 @@ CACHE_ENTRIES = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case. Superscripts, circled digits and other number signs are no letters."""
+    found = WORD.findall(text.lower())
+    if found and not "".join(found).isalpha():
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+    return found
+
+
 def grams(word: str, order: int) -> list[str]:
     if order == 1:
         return list(word)
@@ -42,19 +50,18 @@ def grams(word: str, order: int) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """languages, sorted; weights: an entry's log10 frequencies by language. Words are keyed as they are, n-grams
-    with their order before them."""
+    """languages, sorted; weights: log10 frequencies by language, of words (at 0) and of the n-grams of each order."""
 
     languages: list[str]
-    weights: dict[str, np.ndarray]
+    weights: list[dict[str, np.ndarray]]
     penalty: float = -7.0
 
     def word(self, word: str) -> np.ndarray:
-        known = self.weights.get(word)
+        known = self.weights[0].get(word)
         if known is not None:
             return known
         for order in range(min(MAX_ORDER, len(word) + 2), 0, -1):
-            found = [w for g in grams(word, order) if (w := self.weights.get(f"{order}{g}")) is not None]
+            found = [w for g in grams(word, order) if (w := self.weights[order].get(g)) is not None]
             if found:
                 return np.mean(found, axis=0)
         return np.full(len(self.languages), self.penalty)
@@ -77,7 +84,7 @@ class Scorer:
             self.rows[k] = self.model.word(w)
 
     def text(self, text: str) -> tuple[str, float]:
-        words = WORD.findall(text.lower())
+        words = words_of(text)
         if not words or not self.model.languages:
             return UNKNOWN, 0.0
         try:
@@ -106,32 +113,31 @@ def fit_language_model(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Languag
         seen: dict[str, Counter] = {}
         for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), text_of(batch), strict=True):
-                seen.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+                seen.setdefault(lang, Counter()).update(words_of(text))
         for lang, words in seen.items():
             entries: Counter = Counter()
             for w, n in words.items():
-                entries[w] += n
+                entries[0, w] += n
                 for order in range(1, MAX_ORDER + 1):
                     for g in grams(w, order):
-                        entries[f"{order}{g}"] += n
+                        entries[order, g] += n
             keys = list(entries)
             for k in range(0, len(keys), 50_000):
                 own = keys[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(own), pa.array([entries[x] for x in own], pa.int64())], ["lang", "entry", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array([k for k, _ in own], pa.int32()), pa.array([x for _, x in own]), pa.array([entries[x] for x in own], pa.int64())], ["lang", "order", "entry", "n"])
 
-    counts = sample.select("lang", "text").mapInArrow(count, "lang string, entry string, n long").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
-    kept = counts.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "lang", "entry").limit(MODEL_ENTRIES).collect()
+    counts = sample.select("lang", "text").mapInArrow(count, "lang string, order int, entry string, n long").groupBy("lang", "order", "entry").agg(F.sum("n").alias("n"))
+    kept = counts.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "lang", "order", "entry").limit(MODEL_ENTRIES).collect()
     languages = sorted({r.lang for r in kept})
     at = {x: k for k, x in enumerate(languages)}
     # Words, and the n-grams of each order, are frequencies of their own.
-    kind = lambda entry: int(entry[0]) if entry[0].isdigit() else 0
     totals = np.ones((len(languages), MAX_ORDER + 1))
     for r in kept:
-        totals[at[r.lang], kind(r.entry)] += r.n
-    model = LanguageModel(languages, {})
+        totals[at[r.lang], r.order] += r.n
+    model = LanguageModel(languages, [{} for _ in range(MAX_ORDER + 1)])
     for r in kept:
-        row = model.weights.setdefault(r.entry, np.full(len(languages), model.penalty))
-        row[at[r.lang]] = np.log10(r.n / totals[at[r.lang], kind(r.entry)])
+        row = model.weights[r.order].setdefault(r.entry, np.full(len(languages), model.penalty))
+        row[at[r.lang]] = np.log10(r.n / totals[at[r.lang], r.order])
     return model
 
 

@@ -111,6 +111,15 @@ def test_language_backs_off_and_rejects(spark):
     assert (nothing.lang_pred, nothing.score) == ("und", 0.0)
 
 
+def test_language_of_number_signs(spark):
+    texts = ["10² ①", "the house 10² ① ½", "la maison 10² ① Ⅷ", "x²", "② ³"]
+    langs = ["en", "en", "fr", "en", None]
+    got = {r.doc_id: r.lang_pred for r in langid.predict_language(docs_of(spark, texts), langid.fit_language_model(docs_of(spark, texts * 3, langs * 3))).collect()}
+    assert got == {0: "und", 1: "en", 2: "fr", 3: "en", 4: "und"}
+    assert langid.words_of("Aé10² x½y ①") == ["aé", "x", "y"]
+    assert langid.recognised(docs_of(spark, texts * 3, langs * 3)).where("doc_id % 5 in (0, 4)").count() == 0
+
+
 # Decontamination ---------------------------------------------------------------------------------------------------
 
 
