@@ -1,8 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney models with a shared backoff.
 
-Texts are sequences of units: a word that is frequent in the learned rows, else its longest frequent prefix, else one
-unit for the rest. Each class has bigram counts that back off, with absolute discounting, to the class's own unit
-counts and from there to counts that both classes share; the shared counts are taken over all documents. A unit's
+Texts are sequences of units: a word that occurs twice in the learned rows, else its longest such prefix (so that words
+met once give prefixes their counts), else one unit for the rest. Each class has bigram counts that back off, with
+absolute discounting, to the class's continuation counts (distinct predecessors of a unit) and from there to
+continuation counts that both classes share; the shared ones are taken over all documents. A unit's
 evidence is its log-likelihood in the toxic model less that in the ordinary one. A text's length-normalised evidence,
 and that of its most toxic units, give its score by a logistic curve fit on rows that the counts have not seen.
 
@@ -19,15 +20,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import fold, slices, text_of
+from lociweave.llm.common import CLEANUP, fold, slices, text_of
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Labelled rows to learn from, about; units and bigrams of the model; least occurrences of a unit; shortest prefix.
-TRAIN_ROWS, UNITS, BIGRAMS, LEAST_COUNT, SHORTEST = 16_000, 60_000, 150_000, 6, 4
+#: Labelled rows to learn from, about; least occurrences of a unit; shortest prefix.
+TRAIN_ROWS, LEAST_COUNT, SHORTEST = 16_000, 2, 4
 LONGEST_PREFIX = 12
+#: Distinct pairs that a task holds before it hands them on.
+PAIRS_HELD = 4_000_000
 DISCOUNT = 0.75
 #: Occurrences at which a unit's or bigram's own counts weigh as much as what it backs off to.
 LEAN = 8.0
@@ -119,7 +123,7 @@ def _frequent_units(rows: DataFrame) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([units[x] for x in own], pa.int64())], ["unit", "n"])
 
     kept = _counted(rows.select("text"), count, "unit string, n long").where(F.col("n") >= LEAST_COUNT)
-    return sorted(r.unit for r in kept.orderBy(F.desc("n"), "unit").limit(UNITS).collect())
+    return sorted(kept.select("unit").toArrow().column("unit").to_pylist())  # of the bounded sample
 
 
 def _pair_counter(names: list[str]):
@@ -140,27 +144,38 @@ def _pair_counter(names: list[str]):
     return count
 
 
-def _corpus_counts(docs: DataFrame, names: list[str]) -> np.ndarray:
-    """Occurrences of each unit in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(names)
+def _corpus_continuations(docs: DataFrame, names: list[str]) -> np.ndarray:
+    """Distinct predecessors of each unit in all documents, and one."""
+    shared, size = docs.sparkSession.sparkContext.broadcast(names), len(names) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(shared.value)
-        seen = np.zeros(len(shared.value) + 1, dtype=np.int64)
+        units, held, fresh, n_fresh = Units(shared.value), np.zeros(0, dtype=np.int64), [], 0
         for batch in slices(batches):
             for text in text_of(batch):
-                seen += np.bincount(units.text(text), minlength=len(seen)) if len(text) > 4 * len(seen) else 0
-                if len(text) <= 4 * len(seen):
-                    np.add.at(seen, units.text(text), 1)
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["unit", "n"])
-
-    out = np.ones(len(names) + 1)
-    for r in _counted(docs.select("text"), count, "unit long, n long").collect():  # at most a row for each unit
-        out[r.unit] += r.n
+                own = units.text(text)
+                if len(own):
+                    fresh.append(np.append(0, own[:-1]) * size + own)
+                    n_fresh += len(own)
+            if n_fresh > PAIRS_HELD // 4:
+                held, fresh, n_fresh = np.unique(np.concatenate([held, *fresh])), [], 0
+            if len(held) > PAIRS_HELD:
+                yield from _batches(held)
+                held = np.zeros(0, dtype=np.int64)
+        yield from _batches(np.unique(np.concatenate([held, *fresh])))
+
+    pairs = docs.select("text").mapInArrow(count, "pair long").distinct()
+    found = pairs.groupBy((F.col("pair") % size).alias("unit")).agg(F.count("*").alias("n")).toArrow()  # a row for each unit at most
+    shared.destroy()
+    out = np.ones(size)
+    out[np.asarray(found.column("unit"))] += np.asarray(found.column("n"))
     return out
 
 
+def _batches(pairs: np.ndarray, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(pairs), rows):
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + rows])], ["pair"])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
@@ -185,49 +200,50 @@ def fit_toxicity(labelled: DataFrame, docs: DataFrame, train_rows: int = TRAIN_R
     names = _frequent_units(counted)
     size = len(names) + 1
     pairs = _counted(counted.select("label", "text"), _pair_counter(names), "label int, pair long, n long")
-    by_unit = pairs.groupBy("label", (F.col("pair") % size).alias("unit")).agg(F.sum("n").alias("n")).collect()
-    by_before = pairs.groupBy("label", F.floor(F.col("pair") / size).alias("unit")).agg(F.sum("n").alias("n")).collect()
-    frequent = pairs.where("n > 1").orderBy(F.desc("n"), "pair", "label").limit(BIGRAMS).collect()
-    counts, before = np.zeros((2, size)), np.zeros((2, size))
-    for r in by_unit:
-        counts[r.label, r.unit] = r.n
-    for r in by_before:
-        before[r.label, r.unit] = r.n
+    # All pairs of the bounded sample.
+    found = pairs.toArrow()
+    label, pair, n = (np.asarray(found.column(c)) for c in ("label", "pair", "n"))
+    counts, continued, before = np.zeros((2, size)), np.zeros((2, size)), np.zeros((2, size))
+    np.add.at(counts, (label, pair % size), n)
+    np.add.at(continued, (label, pair % size), 1)
+    np.add.at(before, (label, pair // size), n)
     model = ToxicityModel(names)
     if not counts[1].sum() or not counts[0].sum():
         return model
-    shared = _corpus_counts(docs, names) + counts.sum(axis=0)
+    shared = _corpus_continuations(docs, names)
     shared = shared / shared.sum()
-    less = np.maximum(counts - DISCOUNT, 0)
-    unit = (less + (counts.sum(axis=1) - less.sum(axis=1))[:, None] * shared) / counts.sum(axis=1)[:, None]
+    less = np.maximum(continued - DISCOUNT, 0)
+    unit = (less + (continued.sum(axis=1) - less.sum(axis=1))[:, None] * shared) / continued.sum(axis=1)[:, None]
     # Rare units lean on the shared counts, whatever their class.
     sure = counts.sum(axis=0) / (counts.sum(axis=0) + LEAN)
     unit = sure * unit + (1 - sure) * shared
     # What known bigrams leave goes to the backoff.
-    known: dict[int, list[float]] = {}
-    witnesses: Counter = Counter()
-    left = np.ones((2, size))
-    for r in frequent:
-        p = (r.n - DISCOUNT) / before[r.label, r.pair // size]
-        left[r.label, r.pair // size] -= p
-        known.setdefault(r.pair, [0.0, 0.0])[r.label] = p
-        witnesses[r.pair] += r.n
+    model.keys, at = np.unique(pair, return_inverse=True)
+    p, witnesses, left = np.zeros((2, len(model.keys))), np.zeros(len(model.keys)), np.ones((2, size))
+    own = (n - DISCOUNT) / before[label, pair // size]
+    p[label, at] = own
+    np.add.at(witnesses, at, n)
+    np.subtract.at(left, (label, pair // size), own)
     left = np.maximum(left, 1e-6)
-    model.keys = np.array(sorted(known), dtype=np.int64)
-    p = np.array([known[k] for k in model.keys.tolist()]).reshape(-1, 2).T
     backoff = unit[:, model.keys % size]
-    n = np.array([witnesses[k] for k in model.keys.tolist()])
-    p = n / (n + LEAN) * (p + left[:, model.keys // size] * backoff) + LEAN / (n + LEAN) * backoff
-    model.bigram = np.log(p[1] / p[0]) if len(model.keys) else np.zeros(0)
-    model.unit, model.after = np.log(unit[1] / unit[0]), np.log(left[1] / left[0])
-    rows = _features(rest.select("label", "text"), model, ["label"]).collect()  # a third of the bounded sample
+    sure = witnesses / (witnesses + LEAN)
+    # Rare bigrams and rare predecessors lean on what they back off to.
+    p += left[:, model.keys // size] * backoff
+    seen = before.sum(axis=0)
+    model.unit, model.after = np.log(unit[1] / unit[0]), seen / (seen + LEAN) * np.log(left[1] / left[0])
+    model.bigram = (sure * np.log(p[1] / p[0]) + (1 - sure) * (model.unit[model.keys % size] + model.after[model.keys // size])).astype(np.float32)
+    del found, label, pair, n, at, own, p, backoff, sure, witnesses
+    scored, shared = _features(rest.select("label", "text"), model, ["label"])
+    rows = scored.collect()  # a third of the bounded sample
+    shared.destroy()  # its copies lie on every executor's disk
     y = np.array([r.label for r in rows], dtype=float)
     if len(set(y)) == 2:
         model.curve = _logistic(np.array([r.features for r in rows]), y)
     return model
 
 
-def _features(rows: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
+def _features(rows: DataFrame, model: ToxicityModel, keep: list[str]) -> tuple[DataFrame, Broadcast]:
+    """keep and features of each row, and the broadcast model that they are read from."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +253,7 @@ def _features(rows: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFra
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.list_(pa.float64()))], [*keep, "features"])
 
     kept = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(step, f"{kept}, features array<double>")
+    return rows.mapInArrow(step, f"{kept}, features array<double>"), shared
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.3) -> DataFrame:
@@ -245,7 +261,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     out = fold("doc_id", folds) == held_out
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), F.col("toxic").alias("label")).where(~out).dropDuplicates(["doc_id"])
-    model = fit_toxicity(docs.where(~out).join(known, "doc_id"), docs)
+    conf = docs.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")  # each step of the fit reads its shuffle files once
+    try:
+        model = fit_toxicity(docs.where(~out).join(known, "doc_id"), docs)
+    finally:
+        conf.set(CLEANUP, before)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lociweave.llm import langid, neardup, packing, quality, suffixdedup, tokencount, toxicity
 from lociweave.llm.components import components
@@ -307,6 +308,20 @@ def test_toxicity_and_quality_on_held_out_rows(spark):
     assert toxicity.toxicity(empty(spark), labels).count() == 0 and quality.quality(empty(spark), labels).count() == 0
 
 
+def test_toxicity_counts_continuations_and_keeps_rare_units(spark):
+    rnd = random.Random(13)
+    got = toxicity._corpus_continuations(docs_of(spark, ["a b", "a b", "c b", None]), ["a", "b", "c"])
+    assert got.tolist() == [1, 2, 3, 2]  # and one: start a; a b and c b; start c
+    assert toxicity._frequent_units(docs_of(spark, ["zork x zork", "zork once"])) == ["zork"]
+    words = [prose(rnd, 1) for _ in range(60)]
+    texts = [f"{prose(rnd, 9)} sanx onlyhere {words[k]} anywhere {prose(rnd, 9)}" if k % 2 else prose(rnd, 22) for k in range(60)]
+    rows = docs_of(spark, texts).withColumn("label", F.col("doc_id") % 2)
+    model = toxicity.fit_toxicity(rows, rows)
+    evidence = dict(zip(model.names, model.unit[1:], strict=True))
+    # As frequent, but behind one word only: little of it is left where the bigram is unknown.
+    assert evidence["anywhere"] > evidence["onlyhere"] + 0.5
+
+
 def test_nonnegative_risk_separates():
     rnd = np.random.default_rng(2)
     good, bad = rnd.normal(1, 1, (400, 3)), rnd.normal(-2, 1, (100, 3))
