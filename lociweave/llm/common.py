@@ -54,6 +54,25 @@ def drop_materialized(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Tables that are written on the way to a result and deleted once nothing reads them."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(materialize(df, name))
+        return self.tables[-1]
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            drop_materialized(t)
+        self.tables = [t for t in self.tables if not any(t is x for x in tables)]
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        self.drop(*(t for t in self.tables if not any(t is x for x in tables)))
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of the value as text, modulo parts; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
@@ -64,8 +83,8 @@ def text_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about limit bytes of text, or a single row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about limit bytes of text and at most `rows` rows, or a single row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -73,7 +92,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         start = 0
         while start < batch.num_rows:
             base = offsets[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(offsets, base + limit, side="right")))
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(offsets, base + limit, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -2,12 +2,16 @@
 
 Sketching (after Dahlgaard, Knudsen and Thorup, 2017) goes in rounds: each round throws every shingle of a text into
 one of SKETCH bins and keeps the least value of a bin; after SKETCH rounds, round SKETCH + b throws all into bin b, so
-every bin fills. Texts with the same shingle set are one node from the start. Of the others, those that share a band
-are compared on their full sets: first each with the smallest member of the buckets it shares most, then, where
-buckets still hold several components, those outside a bucket's largest one with one of its members a round, at last
-all pairs that are left. No partner is dropped.
+every bin fills. Texts with the same shingle set are one node from the start; those that share a band are candidates.
 With BANDS bands of ROWS, a pair at the threshold shares a band with probability 0.999996.
 
+Candidates are settled in three steps. Each node is compared with the smallest member of the buckets it shares most;
+the links found so make a forest. Buckets that still hold several trees are laid out in bounded blocks, in which four
+bits of each sketch value estimate the similarity of members of different trees: pairs that are far below the
+threshold are passed over (a pair at the threshold is so with a probability of some 0.000003), of pairs far above it as
+many are compared as would join their trees, and all others are compared. Where a pair far above it was no link after
+all, every pair of its buckets is compared. A comparison is always one of full sets.
+
 Null and empty texts have no shingles, link with nothing and stay. Rows that share a doc_id count as versions of one
 document. Rows whose doc_id is null link with nothing and have no component_id. Columns beyond doc_id and text are
 ignored; an empty table gives an empty result.
@@ -19,25 +23,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.llm.bytetext import Rolling, bytes_of, words_of
-from lociweave.llm.common import drop_materialized, materialize, mix64, slices
+from lociweave.llm.common import Scratch, mix64, slices
 from lociweave.llm.components import components
 
 BANDS, ROWS = 64, 6
 SKETCH = BANDS * ROWS
-#: Four bits of each sketch value, 16 values a word. A pair at the threshold differs in 90 of 384 values on average,
-#: in more than MOST_UNLIKE with a probability of some 0.00001; unlike pairs of a bucket need not be compared on full sets.
+#: Four bits of each sketch value, 16 values a word. A pair at the threshold differs in 90 of 384 values on average, with
+#: a deviation of 8; pairs that differ in more than FAR are no links, pairs that differ in at most CLOSE should be links.
 WORDS = SKETCH // 16
-DIGEST = [f"d{k}" for k in range(WORDS)]
-MOST_UNLIKE = 128
-#: Rounds of one centre a bucket before the rest is compared pair by pair.
-CENTRE_ROUNDS = 5
-#: Pairs left to compare, per member of a bucket with several components, at which all are compared at once.
-LINEAR = 2
-TEXT_SLICE = 3 << 20
+FAR, CLOSE = 128, 60
+#: Members of a bucket that are looked at together; larger buckets are cut into blocks.
+BLOCK = 1024
+#: Pairs that share one copy of a set.
+SHARING = 1024
+TEXT_SLICE = 1 << 20
 #: Bytes that part words: space and the five controls from tab on.
 GAP = np.zeros(256, dtype=bool)
 GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -90,7 +93,7 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, a 16-byte signature of the set, the hash of each band, and four bits of each sketch value."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=TEXT_SLICE):
+        for batch in slices(batches, limit=TEXT_SLICE, rows=4096):
             shingles, sizes = shingle_sets(batch.column("text"), size)
             some = np.flatnonzero(sizes)
             bands = np.zeros((len(sizes), BANDS), dtype=np.uint64)
@@ -106,119 +109,248 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
                 signature[some, 0] = np.add.reduceat(shingles, firsts)
                 signature[some, 1] = np.bitwise_xor.reduceat(mix64(shingles), firsts)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(sizes) + 1, BANDS), pa.int32()), pa.array(bands.view(np.int64).ravel()))
-            marks = pa.array([signature[i].tobytes() for i in range(len(sizes))], pa.binary())
-            words = [pa.array(np.ascontiguousarray(digest[:, k]).view(np.int64)) for k in range(WORDS)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), marks, lists, *words], ["doc_id", "n_shingles", "mark", "bands", *DIGEST])
+            marks, digests = (pa.array([row.tobytes() for row in x], pa.binary()) for x in (signature, digest))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), marks, lists, digests], ["doc_id", "n_shingles", "mark", "bands", "digest"])
 
-    return docs.mapInArrow(step, f"doc_id long, n_shingles long, mark binary, bands array<long>, {', '.join(f'{d} long' for d in DIGEST)}")
+    return docs.mapInArrow(step, "doc_id long, n_shingles long, mark binary, bands array<long>, digest binary")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and its sorted shingle hashes as bytes."""
+    """node and its sorted shingle hashes as bytes."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=TEXT_SLICE):
             shingles, sizes = shingle_sets(batch.column("text"), size)
             ends = np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())], ["node", "shingles"])
 
-    return docs.mapInArrow(step, "doc_id long, shingles binary")
+    return docs.mapInArrow(step, "node long, shingles binary")
 
 
-def hopeful(a: str, b: str, per_cent: int) -> Column:
-    """Whether the sizes (columns n) and digests of two nodes allow a link."""
-    sizes = 100 * F.least(f"{a}.n", f"{b}.n") >= per_cent * F.greatest(f"{a}.n", f"{b}.n")
-    unlike = F.lit(0)
-    for d in DIGEST:
-        x = F.col(f"{a}.{d}").bitwiseXOR(F.col(f"{b}.{d}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        unlike = unlike + F.bit_count(x)
-    return F.coalesce(sizes & (unlike <= MOST_UNLIKE), F.lit(True))
+def _with_set(pairs: DataFrame, sets: DataFrame, end: str, name: str, scratch: Scratch) -> DataFrame:
+    """pairs with the set of one end; a node of many pairs has several copies, so that no task gets all its pairs."""
+    often = scratch.put(pairs.groupBy(end).agg(F.ceil(F.count("*") / SHARING).cast("int").alias("copies")).where("copies > 1"), "often")
+    dealt = pairs.join(often, end, "left").withColumn("copy", F.pmod(F.xxhash64("u", "v"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    copied = sets.withColumnRenamed("node", end).join(often, end, "left")
+    copied = copied.select(end, F.col("shingles").alias(name), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    return dealt.join(copied, [end, "copy"]).drop("copy")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, per_cent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    # Versions of one document: a set for each text; a pair holds if any two of them do.
-    sets = materialize(full_sets(docs.join(asked, "doc_id", "left_semi"), size), "sets")
-    left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
+def confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int, scratch: Scratch) -> DataFrame:
+    """pairs (u, v and others) with linked: whether the full sets are similar enough."""
+    names = pairs.columns
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            linked = []
             for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
                 x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (a, b))
-                shared = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= per_cent * max(len(x), len(y)) else 0
-                keep.append(shared > 0 and 100 * shared >= per_cent * (len(x) + len(y) - shared))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                linked.append(shared > 0 and 100 * shared >= per_cent * (len(both) - shared))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(linked, pa.bool_())], [*names, "linked"])
+
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in names)
+    joined = _with_set(_with_set(pairs, sets, "v", "b", scratch), sets, "u", "a", scratch).select(*names, "a", "b")
+    return scratch.put(joined.mapInArrow(step, f"{kinds}, linked boolean"), "confirmed")
+
+
+def rooted(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """node and its root, where links (u, v; v smaller) gives each u one v."""
+    roots = scratch.put(links.select(F.col("u").alias("node"), F.col("v").alias("component"), F.lit(True).alias("moved")), "roots")
+    while not roots.where("moved").isEmpty():
+        onward = roots.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        following = roots.join(onward, "component", "left").select("node", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("moved"))
+        following = scratch.put(following, "roots")
+        scratch.drop(roots)
+        roots = following
+    return roots.drop("moved")
+
+
+def _unlike(digests: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many sketch values the members a and b differ, by four bits of each."""
+    x = digests[a] ^ digests[b]
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
+
+
+def _trees(tree: np.ndarray, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs, nearest first, that join trees; and each member's tree once they are joined."""
+    tree, used = tree.copy(), []
+    order = np.argsort(far, kind="stable")
+    a, b = a[order], b[order]
+    while len(order):
+        apart = tree[a] != tree[b]
+        order, a, b = order[apart], a[apart], b[apart]
+        if not len(order):
+            break
+        # Each tree's nearest pair; pairs are in order, so these never close a ring but by ties, which the union sees.
+        ends = np.concatenate([tree[a], tree[b]])
+        rank = np.tile(np.arange(len(order)), 2)
+        by = np.lexsort((rank, ends))
+        first = np.append(True, ends[by][1:] != ends[by][:-1])
+        chosen = np.unique(rank[by][first])
+        lead = np.arange(tree.max() + 1)
+
+        def top(x: int, lead: np.ndarray = lead) -> int:
+            while lead[x] != x:
+                lead[x] = lead[lead[x]]
+                x = lead[x]
+            return x
+
+        for k in chosen:
+            x, y = top(tree[a[k]]), top(tree[b[k]])
+            if x != y:
+                lead[max(x, y)] = min(x, y)
+                used.append(order[k])
+        tree = np.array([top(x) for x in range(len(lead))])[tree]
+    return np.array(used, dtype=np.int64), tree
 
-    joined = pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b")
-    out = materialize(joined.mapInArrow(step, "u long, v long").distinct(), "links")
-    drop_materialized(sets)
-    return out
 
+def _pairs_of(group: np.ndarray, node: np.ndarray, component: np.ndarray, n: np.ndarray, digests: np.ndarray, per_cent: int, every: bool) -> tuple[np.ndarray, ...]:
+    """Indices of the pairs to compare within groups of sorted rows, and whether they should be links."""
+    cut = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for start, stop in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        m = stop - start
+        if m < 2:
+            continue
+        _, tree = np.unique(component[start:stop], return_inverse=True)
+        if not tree.any():
+            continue
+        size, rows = n[start:stop], max(1, 100_000 // m)
+        found = []
+        for first in range(0, m, rows):
+            a = np.arange(first, min(m, first + rows))
+            ok = (tree[a][:, None] != tree) & (a[:, None] < np.arange(m))
+            ok &= 100 * np.minimum(size[a][:, None], size) >= per_cent * np.maximum(size[a][:, None], size)
+            x, y = np.nonzero(ok)
+            far = _unlike(digests, a[x] + start, y + start)
+            near = far <= FAR
+            found.append((a[x[near]], y[near], far[near]))
+        a, b, far = (np.concatenate(c) for c in zip(*found, strict=True))
+        if not len(a):
+            continue
+        if every:
+            out.append((a + start, b + start, np.zeros(len(a), dtype=bool)))
+            continue
+        close = far <= CLOSE
+        at = np.flatnonzero(close)
+        used, tree = _trees(tree, a[at], b[at], far[at])
+        keep = np.concatenate([at[used], np.flatnonzero(~close & (tree[a] != tree[b]))])
+        out.append((a[keep] + start, b[keep] + start, close[keep]))
+    if not out:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none.astype(bool)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
-def _likely(pairs: DataFrame, looks: DataFrame, per_cent: int) -> DataFrame:
-    both = pairs.join(looks.alias("a"), F.col("u") == F.col("a.node")).join(looks.alias("b"), F.col("v") == F.col("b.node"))
-    return both.where(hopeful("a", "b", per_cent)).select("u", "v")
+
+def _open_buckets(entries: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """bucket, node, component and blocks, for the buckets that hold several components.
+
+    A bucket of several blocks is cut so that members outside its largest component, and these only, meet all others.
+    """
+    labelled = scratch.put(entries.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+    parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    most = F.max(F.struct("k", "component")).alias("most")
+    mixed = parts.groupBy("bucket").agg(F.sum("k").alias("size"), F.count("*").alias("parts"), most).where("parts > 1")
+    mixed = scratch.put(mixed.select("bucket", "size", F.col("most.k").alias("main_size"), F.col("most.component").alias("main")), "mixed")
+    blocks = lambda size: F.ceil(size / BLOCK).cast("int")
+    own, others = blocks(F.col("main_size")), blocks(F.col("size") - F.col("main_size"))
+    each = lambda count, key: F.transform(F.sequence(F.lit(0), count - 1), key)
+    place = lambda count: F.pmod(F.xxhash64("node"), count).cast("int")
+    inside = F.when(F.col("component") == F.col("main"), each(others, lambda i: i * own + place(own)))
+    outside = F.concat(
+        each(own, lambda j: place(others) * own + j),
+        each(others, lambda t: own * others + F.least(t, place(others)) * others + F.greatest(t, place(others))),
+    )
+    where = F.when(F.col("size") <= BLOCK, F.array(F.lit(0))).otherwise(F.coalesce(inside, outside))
+    return labelled.join(mixed, "bucket").select("bucket", "node", "component", where.alias("blocks"))
+
+
+def _to_compare(open_: DataFrame, looks: DataFrame, per_cent: int, every: bool, scratch: Scratch) -> DataFrame:
+    """The pairs (u, v, close) of open buckets that are to be compared on full sets."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def emit(rows: pa.Table) -> pa.RecordBatch:
+            bucket, block, node, component, n = (np.asarray(rows.column(c).combine_chunks(), dtype=np.int64) for c in ("bucket", "block", "node", "component", "n"))
+            digests = np.frombuffer(b"".join(rows.column("digest").to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
+            group = np.cumsum(np.append(0, (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])))
+            a, b, close = _pairs_of(group, node, component, n, digests, per_cent, every)
+            u, v = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(close)], ["u", "v", "close"])
+
+        # A group is bounded, and ends where the next one begins.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 4 * BLOCK:
+                continue
+            rows = pa.Table.from_batches(held)
+            bucket, block = (np.asarray(rows.column(c).combine_chunks(), dtype=np.int64) for c in ("bucket", "block"))
+            change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1]))
+            if len(change):
+                end = int(change[-1]) + 1
+                yield emit(rows.slice(0, end))
+                held = rows.slice(end).to_batches()
+        if held:
+            yield emit(pa.Table.from_batches(held))
+
+    rows = open_.join(looks, "node").select("bucket", F.explode(F.col("blocks").cast("array<bigint>")).alias("block"), "node", "component", "n", "digest")
+    dealt = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "node")
+    pairs = dealt.mapInArrow(step, "u long, v long, close boolean").where("u <> v")
+    return scratch.put(pairs.groupBy("u", "v").agg(F.max("close").alias("close")), "pairs")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, per_cent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
+    scratch = Scratch()
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    base = materialize(sketched(docs, shingle_words), "sketches")
-    nodes = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    copies = nodes.groupBy("mark").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), *(F.first(d).alias(d) for d in DIGEST))
-    copies = materialize(copies, "copies")
-    members = copies.select("node", F.explode("bands").alias("bucket")).distinct()
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("centre")).where("size > 1")
-    entries = materialize(members.join(buckets.drop("size"), "bucket").select("bucket", "centre", "node"), "entries")
-    # A document with several versions has no one look; it is always compared.
-    single = lambda c: F.when(F.count("*") == 1, F.max(c)).alias(c)
-    looks = materialize(copies.groupBy("node").agg(single("n"), *(single(d) for d in DIGEST)), "looks")
-
-    links = nodes.join(copies.select("mark", "node"), "mark").where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
-    links = materialize(links, "same")
-    rows = materialize(base.select("doc_id", "n_shingles"), "rows")
-    for used in (base, copies):
-        drop_materialized(used)
-    # Each node with the centre of most of its buckets, then with further centres while buckets hold several components.
-    common = entries.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("k"))
-    pairs = common.groupBy("node").agg(F.max_by("centre", F.struct("k", -F.col("centre"))).alias("centre")).select(F.col("node").alias("u"), F.col("centre").alias("v"))
-    tested = materialize(_likely(pairs, looks, per_cent), "pairs")
-    found = confirmed(tested, docs, shingle_words, per_cent)
-    for turn in range(CENTRE_ROUNDS + 1):
-        labels = components(found)
-        labelled = entries.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        labelled = materialize(labelled, "labelled")
-        own = labelled.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("centre"))
-        main = F.max_by(F.struct("component", "centre"), F.struct("k", -F.col("component"))).alias("main")
-        mixed = own.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("squares"), main).where("parts > 1")
-        mixed = materialize(mixed.select("bucket", "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("pairs"), "main"), "mixed")
-        left = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("size"), F.lit(0))).first()
-        last = turn == CENTRE_ROUNDS or left[0] <= LINEAR * left[1]
-        if left[1]:
-            open_ = labelled.join(mixed.select("bucket", "main"), "bucket")
-            if last:
-                # Members of a bucket that holds several components, with what decides whether two may be alike.
-                a, b = (open_.drop("main").join(looks, "node").alias(x) for x in "ab")
-                apart = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") < F.col("b.node"))
-                more = a.join(b, apart & hopeful("a", "b", per_cent)).select(F.col("b.node").alias("u"), F.col("a.node").alias("v")).distinct()
-            else:
-                more = open_.where("component <> main.component").select("node", F.col("main.centre").alias("centre"))
-                more = more.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct()
-            known = tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-            more = more.join(known, ["u", "v"], "left_anti")
-            more = materialize(more if last else _likely(more, looks, per_cent), "pairs")
-            if not more.isEmpty():
-                found = found.unionByName(confirmed(more, docs, shingle_words, per_cent))
-                tested = tested.unionByName(more)
-        drop_materialized(labelled)
-        if last:
-            break
-    labels = components(found.unionByName(links))
-    out = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.coalesce(component == F.col("doc_id"), F.lit(True))).alias("kept"))
+    base = scratch.put(sketched(docs, shingle_words), "sketches")
+    some = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    copies = some.groupBy("mark").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("digest").alias("digest"))
+    copies = scratch.put(copies, "copies")
+    named = some.select("doc_id", "n_shingles", "mark").join(copies.select("mark", "node"), "mark").drop("mark")
+    rest = base.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("node"))
+    rows = scratch.put(named.unionByName(rest), "rows")
+    scratch.drop(base)
+    members = copies.select("node", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").drop("last")
+    entries = scratch.put(members.join(shared, "bucket"), "entries")
+    candidates = scratch.put(entries.select("node").distinct(), "candidates")
+    looks = scratch.put(copies.select("node", "n", "digest").join(candidates, "node", "left_semi"), "looks")
+    scratch.drop(copies)
+    sets = scratch.put(full_sets(docs.join(candidates.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), shingle_words), "sets")
+
+    # Each node with the centre of most of its buckets.
+    common = entries.where("node <> centre").repartition("node").groupBy("node", "centre").agg(F.count("*").alias("k"))
+    stars = common.groupBy("node").agg(F.max_by("centre", F.struct("k", -F.col("centre"))).alias("centre")).select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    labels = rooted(confirmed(scratch.put(stars, "stars"), sets, per_cent, scratch).where("linked").select("u", "v").distinct(), scratch)
+    # Members of buckets that hold several trees.
+    open_ = _open_buckets(entries, labels, scratch)
+    tried = confirmed(_to_compare(open_, looks, per_cent, every=False, scratch=scratch), sets, per_cent, scratch)
+    links = tried.where("linked").select("u", "v")
+    # The rows of a document may link in one version and not in another: one is enough.
+    failed = scratch.put(tried.where("close").groupBy("u", "v").agg(F.max("linked").alias("linked")).where("not linked").select("u", "v"), "failed")
+    if not failed.isEmpty():
+        bucket = lambda end: open_.select("bucket", F.col("node").alias(end))
+        where = failed.join(bucket("u"), "u").join(bucket("v"), ["v", "bucket"]).select("bucket").distinct()
+        more = _to_compare(open_.join(where, "bucket", "left_semi"), looks, per_cent, every=True, scratch=scratch)
+        links = links.unionByName(confirmed(more, sets, per_cent, scratch).where("linked").select("u", "v"))
+    # Versions of one document, whatever their texts are.
+    versions = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last").select("doc_id", "v")
+    versions = rows.join(versions, "doc_id").select(F.col("node").alias("u"), "v").where("u <> v")
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_root"))
+    ends = links.unionByName(versions).join(of("u"), "u", "left").join(of("v"), "v", "left")
+    joined = components(ends.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")), scratch)
+    # A node's root, and what that root is part of.
+    final = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    final = scratch.put(final.unionByName(joined.join(labels, "node", "left_anti").select("node", "component")), "final")
+    out = rows.join(final, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
+    scratch.drop_all_but(rows, final)
+    return out.select("doc_id", "n_shingles", "component_id", (F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))).alias("kept"))

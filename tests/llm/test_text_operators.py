@@ -253,9 +253,12 @@ def near_truth(texts):
     return [(len(s), root(k), root(k) == k) for k, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("linear", [neardup.LINEAR, -1])
-def test_near_duplicates_are_exact(spark, monkeypatch, linear):
-    monkeypatch.setattr(neardup, "LINEAR", linear)
+@pytest.mark.parametrize(("block", "close"), [(neardup.BLOCK, neardup.CLOSE), (3, 110), (2, -1)])
+def test_near_duplicates_are_exact(spark, monkeypatch, block, close):
+    """Also in blocks of a few members, and with close pairs that turn out to be no links."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "CLOSE", close)
+    monkeypatch.setattr(neardup, "SHARING", block)
     texts = near_cases()
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
     assert [got[k] for k in range(len(texts))] == near_truth(texts)
