@@ -9,8 +9,9 @@ Candidates are settled in three steps. Each node is compared with the smallest m
 the links found so make a forest. Buckets that still hold several trees are laid out in bounded blocks, in which four
 bits of each sketch value estimate the similarity of members of different trees: pairs that are far below the
 threshold are passed over (a pair at the threshold is so with a probability of some 0.000003), of pairs far above it as
-many are compared as would join their trees, and all others are compared. Where a pair far above it was no link after
-all, every pair of its buckets is compared. A comparison is always one of full sets.
+many are compared as would join their trees, and all others are compared, each pair in the first bucket it shares.
+Where a pair far above it was no link after all, every pair of its buckets is compared. A comparison is always one of
+full sets; sets travel to blocks, not to pairs, so that a group costs tables in proportion to its members.
 
 Null and empty texts have no shingles, link with nothing and stay. Rows that share a doc_id count as versions of one
 document. Rows whose doc_id is null link with nothing and have no component_id. Columns beyond doc_id and text are
@@ -36,8 +37,8 @@ SKETCH = BANDS * ROWS
 #: a deviation of 8; pairs that differ in more than FAR are no links, pairs that differ in at most CLOSE should be links.
 WORDS = SKETCH // 16
 FAR, CLOSE = 128, 60
-#: Members of a bucket that are looked at together; larger buckets are cut into blocks.
-BLOCK = 1024
+#: Members of a bucket that are looked at together, and shingles in all their sets; larger buckets are cut into blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Pairs that share one copy of a set.
 SHARING = 1024
 TEXT_SLICE = 1 << 20
@@ -209,23 +210,25 @@ def _trees(tree: np.ndarray, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> t
     return np.array(used, dtype=np.int64), tree
 
 
-def _pairs_of(group: np.ndarray, node: np.ndarray, component: np.ndarray, n: np.ndarray, digests: np.ndarray, per_cent: int, every: bool) -> tuple[np.ndarray, ...]:
+def _pairs_of(rows: dict[str, np.ndarray], per_cent: int, every: bool) -> tuple[np.ndarray, ...]:
     """Indices of the pairs to compare within groups of sorted rows, and whether they should be links."""
+    group, tree_of, n, digests, bands, main = (rows[c] for c in ("group", "component", "n", "digest", "bands", "main"))
     cut = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for start, stop in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         m = stop - start
-        if m < 2:
-            continue
-        _, tree = np.unique(component[start:stop], return_inverse=True)
+        _, tree = np.unique(tree_of[start:stop], return_inverse=True)
         if not tree.any():
             continue
-        size, rows = n[start:stop], max(1, 100_000 // m)
+        size, at, crossing, own = n[start:stop], main[start:stop], bool(rows["crossing"][start]), rows["bucket"][start]
+        step = max(1, 100_000 // m)
         found = []
-        for first in range(0, m, rows):
-            a = np.arange(first, min(m, first + rows))
+        for first in range(0, m, step):
+            a = np.arange(first, min(m, first + step))
             ok = (tree[a][:, None] != tree) & (a[:, None] < np.arange(m))
             ok &= 100 * np.minimum(size[a][:, None], size) >= per_cent * np.maximum(size[a][:, None], size)
+            if crossing:
+                ok &= at[a][:, None] != at
             x, y = np.nonzero(ok)
             far = _unlike(digests, a[x] + start, y + start)
             near = far <= FAR
@@ -233,13 +236,17 @@ def _pairs_of(group: np.ndarray, node: np.ndarray, component: np.ndarray, n: np.
         a, b, far = (np.concatenate(c) for c in zip(*found, strict=True))
         if not len(a):
             continue
+        # A pair belongs to the first bucket that both are in; close ones of earlier buckets are joined there.
+        here = np.concatenate([bands[x, np.argmax(bands[x] == bands[y], axis=1)] == own for x, y in zip(np.array_split(a + start, len(a) // 50_000 + 1), np.array_split(b + start, len(a) // 50_000 + 1), strict=True)])
+        close = far <= CLOSE
         if every:
-            out.append((a + start, b + start, np.zeros(len(a), dtype=bool)))
+            out.append((a[here] + start, b[here] + start, close[here]))
             continue
-        close = far <= CLOSE
-        at = np.flatnonzero(close)
+        before = np.flatnonzero(close & ~here)
+        _, tree = _trees(tree, a[before], b[before], far[before])
+        at = np.flatnonzero(close & here)
         used, tree = _trees(tree, a[at], b[at], far[at])
-        keep = np.concatenate([at[used], np.flatnonzero(~close & (tree[a] != tree[b]))])
+        keep = np.concatenate([at[used], np.flatnonzero(here & ~close & (tree[a] != tree[b]))])
         out.append((a[keep] + start, b[keep] + start, close[keep]))
     if not out:
         none = np.zeros(0, dtype=np.int64)
@@ -247,64 +254,121 @@ def _pairs_of(group: np.ndarray, node: np.ndarray, component: np.ndarray, n: np.
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _open_buckets(entries: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """bucket, node, component and blocks, for the buckets that hold several components.
+def _open_buckets(entries: DataFrame, labels: DataFrame, looks: DataFrame, scratch: Scratch) -> DataFrame:
+    """bucket, node, component, main, crossing and blocks, for the buckets that hold several components.
 
-    A bucket of several blocks is cut so that members outside its largest component, and these only, meet all others.
+    A bucket of several blocks is cut so that members outside its largest component, and these only, meet all others:
+    blocks of those alone, and crossing ones in which they meet the main component's.
     """
-    labelled = scratch.put(entries.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
-    parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-    most = F.max(F.struct("k", "component")).alias("most")
-    mixed = parts.groupBy("bucket").agg(F.sum("k").alias("size"), F.count("*").alias("parts"), most).where("parts > 1")
-    mixed = scratch.put(mixed.select("bucket", "size", F.col("most.k").alias("main_size"), F.col("most.component").alias("main")), "mixed")
-    blocks = lambda size: F.ceil(size / BLOCK).cast("int")
-    own, others = blocks(F.col("main_size")), blocks(F.col("size") - F.col("main_size"))
+    labelled = entries.select("bucket", "node").join(looks.select("node", "n"), "node").join(labels, "node", "left")
+    labelled = scratch.put(labelled.withColumn("component", F.coalesce("component", "node")), "labelled")
+    parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    most = F.max(F.struct("k", "w", "component")).alias("most")
+    mixed = parts.groupBy("bucket").agg(F.sum("k").alias("k"), F.sum("w").alias("w"), F.count("*").alias("parts"), most).where("parts > 1")
+    blocks = lambda k, w: F.ceil(F.greatest(k / BLOCK, w / BLOCK_SHINGLES)).cast("int")
+    whole, own, others = blocks(F.col("k"), F.col("w")), blocks(F.col("most.k"), F.col("most.w")), blocks(F.col("k") - F.col("most.k"), F.col("w") - F.col("most.w"))
+    mixed = scratch.put(mixed.select("bucket", whole.alias("whole"), own.alias("own"), others.alias("others"), F.col("most.component").alias("largest")), "mixed")
+    own, others = F.col("own"), F.col("others")
     each = lambda count, key: F.transform(F.sequence(F.lit(0), count - 1), key)
     place = lambda count: F.pmod(F.xxhash64("node"), count).cast("int")
-    inside = F.when(F.col("component") == F.col("main"), each(others, lambda i: i * own + place(own)))
+    main = F.col("component") == F.col("largest")
+    inside = F.when(main, each(others, lambda i: i * own + place(own)))
     outside = F.concat(
         each(own, lambda j: place(others) * own + j),
         each(others, lambda t: own * others + F.least(t, place(others)) * others + F.greatest(t, place(others))),
     )
-    where = F.when(F.col("size") <= BLOCK, F.array(F.lit(0))).otherwise(F.coalesce(inside, outside))
-    return labelled.join(mixed, "bucket").select("bucket", "node", "component", where.alias("blocks"))
+    where = F.when(F.col("whole") == 1, F.array(F.lit(-1))).otherwise(F.coalesce(inside, outside)).cast("array<bigint>")
+    return labelled.join(mixed, "bucket").select("bucket", "node", "component", "n", main.alias("main"), (own * others).alias("crossings"), where.alias("blocks"))
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], most_bytes: int = 16 << 20) -> Iterator[pa.Table]:
+    """Rows sorted by bucket and block, so that no group is cut. Groups are bounded."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < 2 * BLOCK and sum(b.nbytes for b in held) < most_bytes:
+            continue
+        rows = pa.Table.from_batches(held)
+        bucket, block = (np.asarray(rows.column(c).combine_chunks()) for c in ("bucket", "block"))
+        change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1]))
+        if len(change):
+            end = int(change[-1]) + 1
+            yield rows.slice(0, end)
+            held = rows.slice(end).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _numbers(rows: pa.Table, *columns: str) -> list[np.ndarray]:
+    return [np.asarray(rows.column(c).combine_chunks()) for c in columns]
 
 
 def _to_compare(open_: DataFrame, looks: DataFrame, per_cent: int, every: bool, scratch: Scratch) -> DataFrame:
-    """The pairs (u, v, close) of open buckets that are to be compared on full sets."""
+    """bucket, block and node of what is to be compared on full sets, and with which nodes: those that should be links, and others."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def emit(rows: pa.Table) -> pa.RecordBatch:
-            bucket, block, node, component, n = (np.asarray(rows.column(c).combine_chunks(), dtype=np.int64) for c in ("bucket", "block", "node", "component", "n"))
-            digests = np.frombuffer(b"".join(rows.column("digest").to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
+        for rows in _by_group(batches):
+            bucket, block, node, component, n, main, crossings = _numbers(rows, "bucket", "block", "node", "component", "n", "main", "crossings")
             group = np.cumsum(np.append(0, (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])))
-            a, b, close = _pairs_of(group, node, component, n, digests, per_cent, every)
-            u, v = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(close)], ["u", "v", "close"])
-
-        # A group is bounded, and ends where the next one begins.
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if sum(b.num_rows for b in held) < 4 * BLOCK:
+            bands = np.asarray(pa.chunked_array(rows.column("bands").chunks).combine_chunks().flatten()).reshape(len(node), BANDS)
+            digest = np.frombuffer(b"".join(rows.column("digest").to_pylist()), dtype=np.uint64).reshape(len(node), WORDS)
+            a, b, close = _pairs_of({"group": group, "bucket": bucket, "component": component, "n": n, "main": main, "crossing": (block >= 0) & (block < crossings), "digest": digest, "bands": bands}, per_cent, every)
+            if not len(a):
                 continue
-            rows = pa.Table.from_batches(held)
-            bucket, block = (np.asarray(rows.column(c).combine_chunks(), dtype=np.int64) for c in ("bucket", "block"))
-            change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1]))
-            if len(change):
-                end = int(change[-1]) + 1
-                yield emit(rows.slice(0, end))
-                held = rows.slice(end).to_batches()
-        if held:
-            yield emit(pa.Table.from_batches(held))
-
-    rows = open_.join(looks, "node").select("bucket", F.explode(F.col("blocks").cast("array<bigint>")).alias("block"), "node", "component", "n", "digest")
+            asked = np.unique(np.concatenate([a, b]))
+            columns = [pa.array(x[asked]) for x in (bucket, block, node)]
+            for kind in (close, ~close):
+                x, y = a[kind], b[kind]
+                order = np.argsort(x, kind="stable")
+                ends = np.searchsorted(x[order], asked, side="right")
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(node[y[order]])))
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "node", "close", "others"])
+
+    rows = open_.join(looks.drop("n"), "node").select("bucket", F.explode("blocks").alias("block"), "node", "component", "n", "main", "crossings", "digest", "bands")
     dealt = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "node")
-    pairs = dealt.mapInArrow(step, "u long, v long, close boolean").where("u <> v")
-    return scratch.put(pairs.groupBy("u", "v").agg(F.max("close").alias("close")), "pairs")
+    return scratch.put(dealt.mapInArrow(step, "bucket long, block long, node long, close array<long>, others array<long>"), "asked")
+
+
+def _compared(asked: DataFrame, sets: DataFrame, per_cent: int, scratch: Scratch) -> DataFrame:
+    """u, v, close and linked: all links among what is asked, and the pairs that should be links but are none."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_group(batches):
+            bucket, block, node = _numbers(rows, "bucket", "block", "node")
+            sets_ = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for c in rows.column("shingles").chunks for x in c]
+            size = np.fromiter(map(len, sets_), dtype=np.int64, count=len(sets_))
+            kinds = [[np.asarray(x.values) if len(x) else None for c in rows.column(k).chunks for x in c] for k in ("close", "others")]
+            cut = np.append(np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1]))), len(node))
+            out: list[tuple[np.ndarray, ...]] = []
+            for start, stop in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                order = np.argsort(node[start:stop], kind="stable") + start
+                named = node[order]
+                for close, asked_ in zip((True, False), kinds, strict=True):
+                    for k in range(start, stop):
+                        if asked_[k] is None:
+                            continue
+                        # A partner may have several rows: versions of one document.
+                        low, high = (np.searchsorted(named, asked_[k], side=x) for x in ("left", "right"))
+                        with_ = order[np.repeat(high - np.cumsum(high - low), high - low) + np.arange((high - low).sum())]
+                        mine, theirs = sets_[k], np.concatenate([sets_[x] for x in with_])
+                        at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                        shared = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.cumsum(size[with_]) - size[with_])
+                        linked = 100 * shared >= per_cent * (len(mine) + size[with_] - shared)
+                        keep = linked | close
+                        out.append((np.full(keep.sum(), node[k]), node[with_][keep], np.full(keep.sum(), close), linked[keep]))
+            if out:
+                a, b, close, linked = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.maximum(a, b), np.minimum(a, b), close, linked)], ["u", "v", "close", "linked"])
+
+    dealt = asked.join(sets, "node").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "node")
+    return scratch.put(dealt.select("bucket", "block", "node", "close", "others", "shingles").mapInArrow(step, "u long, v long, close boolean, linked boolean"), "compared")
+
+
+def _failed(compared: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs that should be links but are none; versions of a document may link in one and not in another: one is enough."""
+    return scratch.put(compared.where("close").groupBy("u", "v").agg(F.max("linked").alias("linked")).where("not linked").select("u", "v"), "failed")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, per_cent: int = 75) -> DataFrame:
@@ -323,7 +387,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, per_cent: int = 75)
     shared = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").drop("last")
     entries = scratch.put(members.join(shared, "bucket"), "entries")
     candidates = scratch.put(entries.select("node").distinct(), "candidates")
-    looks = scratch.put(copies.select("node", "n", "digest").join(candidates, "node", "left_semi"), "looks")
+    looks = scratch.put(copies.select("node", "n", "digest", "bands").join(candidates, "node", "left_semi"), "looks")
     scratch.drop(copies)
     sets = scratch.put(full_sets(docs.join(candidates.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), shingle_words), "sets")
 
@@ -332,16 +396,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, per_cent: int = 75)
     stars = common.groupBy("node").agg(F.max_by("centre", F.struct("k", -F.col("centre"))).alias("centre")).select(F.col("node").alias("u"), F.col("centre").alias("v"))
     labels = rooted(confirmed(scratch.put(stars, "stars"), sets, per_cent, scratch).where("linked").select("u", "v").distinct(), scratch)
     # Members of buckets that hold several trees.
-    open_ = _open_buckets(entries, labels, scratch)
-    tried = confirmed(_to_compare(open_, looks, per_cent, every=False, scratch=scratch), sets, per_cent, scratch)
-    links = tried.where("linked").select("u", "v")
-    # The rows of a document may link in one version and not in another: one is enough.
-    failed = scratch.put(tried.where("close").groupBy("u", "v").agg(F.max("linked").alias("linked")).where("not linked").select("u", "v"), "failed")
-    if not failed.isEmpty():
-        bucket = lambda end: open_.select("bucket", F.col("node").alias(end))
-        where = failed.join(bucket("u"), "u").join(bucket("v"), ["v", "bucket"]).select("bucket").distinct()
-        more = _to_compare(open_.join(where, "bucket", "left_semi"), looks, per_cent, every=True, scratch=scratch)
-        links = links.unionByName(confirmed(more, sets, per_cent, scratch).where("linked").select("u", "v"))
+    open_ = _open_buckets(entries, labels, looks, scratch)
+    compared = _compared(_to_compare(open_, looks, per_cent, False, scratch), sets, per_cent, scratch)
+    links, failed, done = compared.where("linked").select("u", "v"), _failed(compared, scratch), None
+    while not failed.isEmpty():
+        of = lambda end: open_.select("bucket", F.col("node").alias(end))
+        again = failed.join(of("u"), "u").join(of("v"), ["v", "bucket"]).select("bucket").distinct()
+        again = scratch.put(again if done is None else again.join(done, "bucket", "left_anti"), "again")
+        done = again if done is None else done.unionByName(again)
+        compared = _compared(_to_compare(open_.join(again, "bucket", "left_semi"), looks, per_cent, True, scratch), sets, per_cent, scratch)
+        links, failed = links.unionByName(compared.where("linked").select("u", "v")), _failed(compared, scratch)
     # Versions of one document, whatever their texts are.
     versions = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last").select("doc_id", "v")
     versions = rows.join(versions, "doc_id").select(F.col("node").alias("u"), "v").where("u <> v")
