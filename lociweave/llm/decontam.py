@@ -60,8 +60,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, broadcast
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     windows = materialize(item_windows(items, window), "windows")
     table = materialize(prefixes(windows, docs, broadcast_rows), "prefixes")
-    spark = docs.sparkSession
-    end = spark.createDataFrame([(None, [END], END, 0)], table.schema)
+    end = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("item"), F.array(F.lit(END)).alias("window"), F.lit(END).alias("word"), F.lit(0).alias("place"))
     table = table.unionByName(end)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("mark"), words("text").alias("w"))
     keyed = keyed.select("doc_id", "mark", F.array_append("w", END).alias("w"))
@@ -95,7 +94,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, broadcast
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of docs, with all their columns, in which no window of an item occurs."""
+    """The rows of docs, with all their columns, in which no window of an item occurs.
+
+    Rows are known by their doc_id and text, null or not: repeated rows go or stay together, null and empty texts stay.
+    """
     found = decontaminate(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), items, window)
-    hit = found.where("contaminated").select(F.col("doc_id").alias("hit_key")).distinct()
-    return docs.join(hit, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("hit_key"), "left_anti")
+    key = next(f"key{k}" for k in range(len(docs.columns) + 1) if f"key{k}" not in docs.columns)
+    hit = found.where("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(hit, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -6,6 +6,8 @@ neighbouring strings with the same anchor form one segment. Segments that are eq
 strings repeat. The others are ranked by prefix doubling, in both directions from the anchor: position-rank pairs at
 offsets of 25, 50, 100 and 200 bytes are grouped and named anew, until a context is unique or past the length. What
 the ranks leave open, strings whose left and right contexts both occur elsewhere, is compared string by string.
+Strings and segments count as equal if two 64-bit hashes are: that of the k-gram at their anchor, and that of the
+whole; no bytes are compared after that.
 
 Texts are UTF-8 bytes; null is empty. Matches never cross documents. Rows that repeat count as two documents, and
 both are given; rows with a null doc_id take part like others; an empty table gives an empty result; columns beyond
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.llm.bytetext import Rolling, bytes_of
-from lociweave.llm.common import drop_materialized, materialize, mix64, slices
+from lociweave.llm.common import Scratch, mix64, slices
 
 LENGTH, GRAM = 400, 32
 #: Context lengths, in doubling steps: at the last one a context is past the length.
@@ -121,7 +123,7 @@ def representatives(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame
     return joined.select("id", "mark", "own", "text").mapInArrow(step, schema)
 
 
-def unique_from(segments_: DataFrame) -> DataFrame:
+def unique_from(segments_: DataFrame, scratch: Scratch) -> DataFrame:
     """Prefix doubling: anchor, content, and the context lengths from which either side is unique (null: it never is).
 
     A rank names a context of one step's length. Each round pairs it with what follows at that offset, groups equal
@@ -132,21 +134,20 @@ def unique_from(segments_: DataFrame) -> DataFrame:
     found, rounds = [], []
     for k, size in enumerate(STEPS):
         pairs = alive.where(F.col("blocks")[k] != 0).withColumn("rank", F.xxhash64("side", "rank", F.col("blocks")[k]))
-        pairs = materialize(pairs, "ranks") if k else pairs
-        shared = pairs.groupBy("anchor", "rank").agg(F.count("*").alias("n"))
-        ranked = materialize(pairs.join(shared, ["anchor", "rank"]), "ranked")
-        if k:
-            drop_materialized(pairs)
+        pairs = scratch.put(pairs, "ranks") if k else pairs
+        # Written first, so that the join with a rank that very many share can be split.
+        shared = scratch.put(pairs.groupBy("anchor", "rank").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
+        ranked = scratch.put(pairs.join(shared.withColumn("again", F.lit(True)), ["anchor", "rank"], "left"), "ranked")
+        scratch.drop(*([pairs, shared] if k else [shared]))
         rounds.append(ranked)
-        found.append(ranked.where("n = 1").select("anchor", "content", "side", F.lit(size).alias("size")))
-        alive = ranked.where("n > 1").drop("n")
+        found.append(ranked.where("again is null").select("anchor", "content", "side", F.lit(size).alias("size")))
+        alive = ranked.where("again").drop("again")
     limits = found[0]
     for more in found[1:]:
         limits = limits.unionByName(more)
     one = lambda side: F.min(F.when(F.col("side") == side, F.col("size"))).alias(f"{side}_unique")
-    limits = materialize(limits.groupBy("anchor", "content").agg(one("right"), one("left")), "limits")
-    for ranked in rounds:
-        drop_materialized(ranked)
+    limits = scratch.put(limits.groupBy("anchor", "content").agg(one("right"), one("left")), "limits")
+    scratch.drop(*rounds)
     return limits
 
 
@@ -179,28 +180,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     docs has the columns id, mark and text.
     """
-    all_ = materialize(segments(docs, length, gram), "segments")
+    scratch = Scratch()
+    all_ = scratch.put(segments(docs, length, gram), "segments")
     one = F.min(F.struct("id", "mark", "first", "count", "ahead")).alias("one")
-    kinds = materialize(all_.groupBy("anchor", "content").agg(F.count("*").alias("times"), one).select("anchor", "content", "times", "one.*"), "kinds")
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    kinds = scratch.put(all_.groupBy("anchor", "content").agg(F.count("*").alias("times"), one).select("anchor", "content", "times", "one.*"), "kinds")
+    mixed = scratch.put(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "mixed")
     asked = kinds.join(mixed, "anchor")
-    chosen = materialize(representatives(docs, asked, length), "chosen")
-    limits = unique_from(chosen)
-    strings = materialize(open_strings(chosen, limits, length), "strings")
-    drop_materialized(chosen)
-    again = strings.groupBy("anchor", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    chosen = scratch.put(representatives(docs, asked, length), "chosen")
+    limits = unique_from(chosen, scratch)
+    strings = scratch.put(open_strings(chosen, limits, length), "strings")
+    scratch.drop(chosen, mixed)
+    again = scratch.put(strings.groupBy("anchor", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
     places = strings.join(again, ["anchor", "string"], "left_semi").groupBy("anchor", "content").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n"), F.sort_array(F.collect_list("x")).alias("xs"))
     spots = F.when(F.col("n") == F.col("high") - F.col("low") + 1, F.array(F.struct(F.col("low"), F.col("high")))).otherwise(F.transform("xs", lambda x: F.struct(x.alias("low"), x.alias("high"))))
-    places = materialize(places.select("anchor", "content", spots.alias("spots")), "places")
-    for used in (limits, strings):
-        drop_materialized(used)
+    places = scratch.put(places.select("anchor", "content", spots.alias("spots")), "places")
+    scratch.drop(limits, strings, again)
     alone = kinds.where("times = 1").select("anchor", "content", "id", "mark", "first")
     partly = alone.join(places, ["anchor", "content"]).select("id", "mark", "first", F.explode("spots").alias("s"))
     partly = partly.select("id", "mark", (F.col("first") + F.col("s.low")).alias("start"), (F.col("first") + F.col("s.high") + length).alias("stop"))
     wholly = all_.join(kinds.where("times > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("id", "mark", F.col("first").alias("start"), (F.col("first") + F.col("count") - 1 + length).alias("stop"))
-    out = materialize(wholly.unionByName(partly), "spans")
-    for used in (all_, kinds, places):
-        drop_materialized(used)
+    out = scratch.put(wholly.unionByName(partly), "spans")
+    scratch.drop_all_but(out)
     return out
 
 
@@ -255,20 +255,24 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with the repeated bytes cut out of text; what a cut leaves of a split character goes too."""
+    """docs with the repeated bytes cut out of text; what a cut leaves of a split character goes too.
+
+    Null texts stay null, a text that repeats as a whole becomes empty, repeated rows lose their texts alike; n_chars is
+    set anew where docs has it, other columns stay as they are, whatever their names.
+    """
     names = docs.columns
+    inner = [f"c{k}" for k in range(len(names))]  # so that no column of docs clashes with those made on the way
+    kinds = ", ".join(f"{i} {docs.schema[c].dataType.simpleString()}" for i, c in zip(inner, names, strict=True))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [None if not t.is_valid else kept.decode("utf-8", "ignore") for t, (kept, *_) in zip(batch.column("text"), _cut(batch), strict=True)]
-            columns = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
+            columns = {c: batch.column(i) if c != "text" else pa.array(texts, pa.string()) for i, c in zip(inner, names, strict=True)}
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
-
-    rest = [F.col(c).alias(f"c_{c}") for c in names if c != "text"]
-    out = with_spans(_keyed(docs, "text", *rest), length).select(*(F.col("text") if c == "text" else F.col(f"c_{c}").alias(c) for c in names), F.col("spans"))
-    # The spans must not hide a column of the same name.
-    if "spans" in names:
-        raise ValueError("docs has a column spans")
-    return out.mapInArrow(step, docs.schema)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], inner)
+
+    rest = [F.col(f"`{c}`").alias(i) for i, c in zip(inner, names, strict=True) if c != "text"]
+    out = with_spans(_keyed(docs, "text", *rest), length)
+    out = out.select(*(F.col("text").alias(i) if c == "text" else F.col(i) for i, c in zip(inner, names, strict=True)), "text", "spans")
+    return out.mapInArrow(step, kinds).toDF(*names)
