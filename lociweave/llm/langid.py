@@ -3,10 +3,12 @@
 A model holds, per language, relative frequencies of words and of character n-grams. A word that the model knows
 scores by its log frequency in each language (a fixed penalty where a language lacks it); an unseen word scores by
 the mean over its longest n-grams of which any is known, backing off from MAX_ORDER to single characters. A text's
-score is the mean over its words. Models are fit on a bounded sample of labelled rows, so they may be broadcast.
+score is the mean over its words. Models are fit on bounded samples of labelled rows, the same bounds for each
+language, so that a frequent one takes nothing from the others; so models may be broadcast.
 
 Null texts and texts without letters give "und" with score 0; so does every text if nothing could be learned. Ties
-go to the alphabetically first language. Repeated rows each give a row; an empty table gives an empty result.
+go to the alphabetically first language. Repeated rows each give a row, but a text is learned from once in a language;
+whatever the doc_ids are, null or shared, samples are drawn by text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,18 +20,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.llm.common import fold, slices, text_of
 
 MAX_ORDER = 5
 UNKNOWN = "und"
-#: About so many labelled rows are learned from; entries of the model; the least count of an entry.
-TRAIN_ROWS, MODEL_ENTRIES, LEAST_COUNT = 12_000, 150_000, 2
+#: For each language: about so many labelled texts are learned from, and so many entries kept; the least count of an entry.
+TRAIN_ROWS, LANGUAGE_ENTRIES, LEAST_COUNT = 4_000, 50_000, 2
+#: Languages of a model, by their labelled rows.
+LANGUAGES = 500
 #: Evidence of at most so many words goes into the score, so that it stays a usable confidence.
 SCORE_WORDS = 20
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -50,20 +54,31 @@ def grams(word: str, order: int) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """languages, sorted; weights: log10 frequencies by language, of words (at 0) and of the n-grams of each order."""
+    """languages, sorted; places: by order, words at 0, the row of each entry; then each row's languages and log10 frequencies."""
 
     languages: list[str]
-    weights: list[dict[str, np.ndarray]]
+    places: list[dict[str, int]]
+    ends: np.ndarray
+    among: np.ndarray
+    weights: np.ndarray
     penalty: float = -7.0
 
+    def rows(self, at: list[int]) -> np.ndarray:
+        """A weight for each language, for each of the rows."""
+        out = np.full((len(at), len(self.languages)), self.penalty)
+        for k, row in enumerate(at):
+            own = slice(self.ends[row], self.ends[row + 1])
+            out[k, self.among[own]] = self.weights[own]
+        return out
+
     def word(self, word: str) -> np.ndarray:
-        known = self.weights[0].get(word)
+        known = self.places[0].get(word)
         if known is not None:
-            return known
+            return self.rows([known])[0]
         for order in range(min(MAX_ORDER, len(word) + 2), 0, -1):
-            found = [w for g in grams(word, order) if (w := self.weights[order].get(g)) is not None]
+            found = [k for g in grams(word, order) if (k := self.places[order].get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.rows(found).mean(axis=0)
         return np.full(len(self.languages), self.penalty)
 
 
@@ -102,12 +117,12 @@ class Scorer:
         return self.model.languages[best], float(1 / odds.sum())
 
 
-def fit_language_model(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
-    """Learn from about train_rows of docs' rows that have a language; docs holds the rows to learn from."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    total = labelled.count()
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    sample = labelled if total <= train_rows else labelled.where(part < int((1 << 30) * train_rows / total))
+def fit_language_model(docs: DataFrame, train_rows: int = TRAIN_ROWS, entries: int = LANGUAGE_ENTRIES) -> LanguageModel:
+    """Learn from about train_rows texts of each language among docs' rows, and keep so many entries of each."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
+    part = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    sample = labelled.join(F.broadcast(sizes), "lang").where(part * F.col("rows") < (1 << 30) * train_rows).select("lang", "text").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
@@ -127,18 +142,28 @@ def fit_language_model(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Languag
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array([k for k, _ in own], pa.int32()), pa.array([x for _, x in own]), pa.array([entries[x] for x in own], pa.int64())], ["lang", "order", "entry", "n"])
 
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, order int, entry string, n long").groupBy("lang", "order", "entry").agg(F.sum("n").alias("n"))
-    kept = counts.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "lang", "order", "entry").limit(MODEL_ENTRIES).collect()
-    languages = sorted({r.lang for r in kept})
-    at = {x: k for k, x in enumerate(languages)}
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "order", "entry"))
+    kept = counts.where(F.col("n") >= LEAST_COUNT).withColumn("rank", rank).where(F.col("rank") <= entries).orderBy("order", "entry", "lang")
+    # Bounded by languages times entries.
+    lang, order, entry, n = _columns(kept)
+    languages = sorted(set(lang))
+    number = {x: k for k, x in enumerate(languages)}
+    among, n = np.array([number[x] for x in lang], dtype=np.int32), np.array(n, dtype=float)
     # Words, and the n-grams of each order, are frequencies of their own.
     totals = np.ones((len(languages), MAX_ORDER + 1))
-    for r in kept:
-        totals[at[r.lang], r.order] += r.n
-    model = LanguageModel(languages, [{} for _ in range(MAX_ORDER + 1)])
-    for r in kept:
-        row = model.weights[r.order].setdefault(r.entry, np.full(len(languages), model.penalty))
-        row[at[r.lang]] = np.log10(r.n / totals[at[r.lang], r.order])
-    return model
+    np.add.at(totals, (among, order), n)
+    places: list[dict[str, int]] = [{} for _ in range(MAX_ORDER + 1)]
+    ends = []
+    for k, (o, x) in enumerate(zip(order, entry, strict=True)):
+        if x not in places[o]:
+            places[o][x] = len(ends)
+            ends.append(k)
+    return LanguageModel(languages, places, np.array([*ends, len(lang)]), among, np.log10(n / totals[among, order]).astype(np.float32))
+
+
+def _columns(kept: DataFrame) -> list[list]:
+    found = kept.select("lang", "order", "entry", "n").toArrow()
+    return [found.column(k).to_pylist() for k in range(4)]
 
 
 def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:

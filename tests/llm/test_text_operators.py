@@ -330,3 +330,50 @@ def test_nonnegative_risk_separates():
     good, bad = rnd.normal(1, 1, (400, 3)), rnd.normal(-2, 1, (100, 3))
     model = quality.fit_nonnegative(rnd.normal(1, 1, (300, 3)), np.concatenate([good, bad]), 0.8)
     assert (model.scores(good) > 0.5).mean() > 0.93 and (model.scores(bad) < 0.5).mean() > 0.85
+
+
+def test_language_keeps_rare_languages_and_bounds_samples(spark):
+    """A language of one row in 200 keeps its entries beside a frequent one; null doc_ids are sampled like others."""
+    rnd = random.Random(20)
+    common, rare = [prose(rnd, 1) for _ in range(400)], [prose(rnd, 1) for _ in range(12)]
+    texts = [" ".join(rnd.choice(common) for _ in range(30)) for _ in range(398)] + [" ".join(rnd.choice(rare) for _ in range(30)) for _ in range(2)]
+    rows = spark.createDataFrame([(None, t, "aa" if k < 398 else "zz") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = langid.fit_language_model(rows, train_rows=50, entries=60)
+    assert model.languages == ["aa", "zz"] and len(model.weights) <= 120
+    asked = docs_of(spark, [" ".join(rare[:6]), texts[0]])
+    assert [r.lang_pred for r in langid.predict_language(asked, model).orderBy("doc_id").collect()] == ["zz", "aa"]
+
+
+def test_language_scores_equal_a_plain_model(spark):
+    """Counts, frequencies and backoff by the definition, one dictionary for each language."""
+    rnd = random.Random(21)
+    texts = [prose(rnd, 12) if k % 2 else " ".join(w[::-1] + "k" for w in prose(rnd, 12).split()) for k in range(60)]
+    langs = ["aa" if k % 2 else "bb" for k in range(60)]
+    model = langid.fit_language_model(docs_of(spark, texts, langs))
+    counts = {x: Counter() for x in ("aa", "bb")}
+    for t, x in zip(texts, langs, strict=True):
+        for w in langid.words_of(t):
+            counts[x][0, w] += 1
+            for order in range(1, 6):
+                counts[x].update((order, g) for g in langid.grams(w, order))
+    counts = {x: {e: n for e, n in c.items() if n >= 2} for x, c in counts.items()}
+    totals = {(x, o): 1 + sum(n for (k, _), n in c.items() if k == o) for x, c in counts.items() for o in range(6)}
+    weight = lambda x, o, e: np.log10(counts[x][o, e] / totals[x, o]) if (o, e) in counts[x] else -7.0
+    known = set(counts["aa"]) | set(counts["bb"])
+
+    def word(w):
+        if (0, w) in known:
+            return [weight(x, 0, w) for x in ("aa", "bb")]
+        for order in range(min(5, len(w) + 2), 0, -1):
+            own = [g for g in langid.grams(w, order) if (order, g) in known]
+            if own:
+                return np.mean([[weight(x, order, g) for x in ("aa", "bb")] for g in own], axis=0)
+        return [-7.0, -7.0]
+
+    asked = [prose(rnd, 9) for _ in range(20)]
+    got = langid.predict_language(docs_of(spark, asked), model).orderBy("doc_id").collect()
+    for t, r in zip(asked, got, strict=True):
+        words = langid.words_of(t)
+        mean = np.mean([word(w) for w in words], axis=0)
+        odds = 10 ** ((mean - mean.max()) * min(len(words), langid.SCORE_WORDS))
+        assert r.lang_pred == ("aa", "bb")[int(np.argmax(mean))] and abs(r.score - 1 / odds.sum()) < 1e-4
