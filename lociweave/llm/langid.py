@@ -33,7 +33,7 @@ TRAIN_ROWS, LANGUAGE_ENTRIES, LEAST_COUNT = 4_000, 50_000, 2
 LANGUAGES = 500
 #: Evidence of at most so many words goes into the score, so that it stays a usable confidence.
 SCORE_WORDS = 20
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -63,32 +63,40 @@ class LanguageModel:
     weights: np.ndarray
     penalty: float = -7.0
 
-    def rows(self, at: list[int]) -> np.ndarray:
-        """A weight for each language, for each of the rows."""
-        out = np.full((len(at), len(self.languages)), self.penalty)
-        for k, row in enumerate(at):
-            own = slice(self.ends[row], self.ends[row + 1])
-            out[k, self.among[own]] = self.weights[own]
+    def row(self, k: int) -> np.ndarray:
+        """A weight for each language."""
+        out = np.full(len(self.languages), self.penalty)
+        own = slice(self.ends[k], self.ends[k + 1])
+        out[self.among[own]] = self.weights[own]
         return out
 
-    def word(self, word: str) -> np.ndarray:
-        known = self.places[0].get(word)
-        if known is not None:
-            return self.rows([known])[0]
-        for order in range(min(MAX_ORDER, len(word) + 2), 0, -1):
-            found = [k for g in grams(word, order) if (k := self.places[order].get(g)) is not None]
-            if found:
-                return self.rows(found).mean(axis=0)
-        return np.full(len(self.languages), self.penalty)
-
 
 class Scorer:
     """Applies a model; remembers the scores of words between batches."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.index = model, {}
+        self.model, self.index, self.entries = model, {}, {}
         self.rows = np.zeros((1024, len(model.languages)))
 
+    def _entry(self, k: int) -> np.ndarray:
+        found = self.entries.get(k)
+        if found is None:
+            if len(self.entries) > CACHE_ENTRIES // 4:
+                self.entries.clear()
+            found = self.entries[k] = self.model.row(k)
+        return found
+
+    def word(self, word: str) -> np.ndarray:
+        places = self.model.places
+        known = places[0].get(word)
+        if known is not None:
+            return self.model.row(known)
+        for order in range(min(MAX_ORDER, len(word) + 2), 0, -1):
+            found = [k for g in grams(word, order) if (k := places[order].get(g)) is not None]
+            if found:
+                return sum(map(self._entry, found)) / len(found)
+        return np.full(len(self.model.languages), self.model.penalty)
+
     def _add(self, words: list[str]) -> None:
         if len(self.index) > CACHE_ENTRIES:
             self.index.clear()
@@ -96,7 +104,7 @@ class Scorer:
             k = self.index.setdefault(w, len(self.index))
             if k >= len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[k] = self.model.word(w)
+            self.rows[k] = self.word(w)
 
     def text(self, text: str) -> tuple[str, float]:
         words = words_of(text)
