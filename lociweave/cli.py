@@ -11,23 +11,26 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("-file", required=True, help="sequence files with gene metadata; each is a family")
     parser.add_argument("-out", required=True, help="prefix of the output folders")
     parser.add_argument("-mode", choices=("strict", "literal"), default="strict")
+    parser.add_argument("-by_name", action="store_true", help="match genes and sequences by name, not by order")
     options = parser.parse_args(args)
     from pyspark.sql import SparkSession
 
-    from lociweave.plans.discover import discover
+    from lociweave.plans.discover import by_name, discover
     from lociweave.sources import writers as W
     from lociweave.sources.fasta import read_families
 
     spark = SparkSession.builder.appName("lociweave").getOrCreate()
     sequences, genes = read_families(spark, options.file)
+    if options.by_name:
+        genes = by_name(sequences, genes)
     found = discover(sequences, genes, options.mem, mode=options.mode)
-    n = genes.groupBy("family_id").count().agg({"count": "max"}).first()[0] or 0
     lengths, prefix = found["texts"].select("family_id", "len"), f"{options.out}_"
     W.write_words(found["mem"], f"{prefix}mems_{options.mem}")
-    W.write_table(W.with_ends(found["mem"], lengths, n, serial=True), f"{prefix}MEM_1_{options.mem}", ["part", "MEM"])
-    W.write_table(W.with_ends(found["mem"], lengths, n), f"{prefix}MEM_2_{options.mem}", ["part"])
-    W.write_table(W.with_ends(found["chain"], lengths, n), f"{prefix}LPMEM_{options.mem}", ["part"])
-    W.write_table(W.cns_table(found["cns"], [f"S_{k + 1}" for k in range(n)]), f"{prefix}CNS_{options.mem}", ["step"])
+    W.write_lines(W.anchor_lines(found["mem"], lengths, serial=True), f"{prefix}MEM_1_{options.mem}")
+    W.write_lines(W.anchor_lines(found["mem"], lengths, serial=False), f"{prefix}MEM_2_{options.mem}")
+    W.write_lines(W.anchor_lines(found["chain"], lengths, serial=False, order_by="step"), f"{prefix}LPMEM_{options.mem}")
+    W.write_lines(W.cns_lines(found["cns"], genes), f"{prefix}CNS_{options.mem}")
+    W.write_tracks(W.tracks(found["cns"], genes), f"{prefix}tracks_{options.mem}")
     W.write_pages(found["mem"], genes, f"{prefix}MEM_{options.mem}_pages")
     W.write_pages(found["chain"], genes, f"{prefix}LPMEM_{options.mem}_pages")
 

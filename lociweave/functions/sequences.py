@@ -85,13 +85,3 @@ def outside_gene(positions: Column, low: Column, high: Column, spans: Column | N
     inside = F.zip_with(F.arrays_zip(positions.alias("x"), low.alias("a")), high, lambda z, b: z["x"].between(F.least(z["a"], b), F.greatest(z["a"], b)))
     out = ~F.exists(inside, lambda x: x)
     return out if spans is None else out & outside_gene(F.transform(positions, lambda x: x + spans - 1), low, high)
-
-
-def common_prefix(a: Column, b: Column, width: int) -> Column:
-    """Length of the longest common prefix, at most width, by halving steps."""
-    steps, step = [], 1 << (max(1, width) - 1).bit_length()
-    while step:
-        steps.append(F.lit(step))
-        step //= 2
-    most = F.least(F.length(a), F.length(b))
-    return F.aggregate(F.array(*steps), F.lit(0), lambda n, s: F.when((n + s <= most) & (F.substring(a, F.lit(1), n + s) == F.substring(b, F.lit(1), n + s)), n + s).otherwise(n))

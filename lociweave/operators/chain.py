@@ -11,12 +11,13 @@ from lociweave.functions.sequences import gap_inconsistency, precedes, spread
 LARGE = 3000
 
 
-def edges(anchors: DataFrame, use_length: bool = True) -> DataFrame:
-    """family_id, src, dst, weight (length of dst) for each pair of anchors in strict order in all sequences."""
+def edges(anchors: DataFrame, use_length: bool = True, gaps: bool = False) -> DataFrame:
+    """family_id, src, dst, weight (length of dst) for each pair of anchors in strict order in all sequences; with gaps, gap too."""
     a = anchors.select("family_id", F.col("row_id").alias("src"), F.col("pos").alias("a"), F.col("len").alias("a_len"))
     b = anchors.select("family_id", F.col("row_id").alias("dst"), F.col("pos").alias("b"), F.col("len").alias("weight"))
     length = F.col("a_len") if use_length else F.lit(0)
-    return a.join(b, "family_id").where((F.col("a")[0] < F.col("b")[0]) & precedes(F.col("a"), length, F.col("b"))).select("family_id", "src", "dst", "weight")
+    more = [gap_inconsistency(F.col("b"), F.col("a")).alias("gap")] if gaps else []
+    return a.join(b, "family_id").where((F.col("a")[0] < F.col("b")[0]) & precedes(F.col("a"), length, F.col("b"))).select("family_id", "src", "dst", "weight", *more)
 
 
 def degrees(anchors: DataFrame, graph: DataFrame) -> DataFrame:

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociweave.functions.sequences import absolute_start
+from lociweave.functions.sequences import absolute_start, gene_offset
 
 
-def gene_frames(sequences: DataFrame, genes: DataFrame) -> DataFrame:
-    """Genes joined with their sequences by order, with 0-based gene offsets within the oriented sequence."""
-    from lociweave.functions.sequences import gene_offset
-
-    joined = genes.join(sequences.select("family_id", "seq_idx", "len"), ["family_id", "seq_idx"])
+def framed(rows: DataFrame) -> DataFrame:
+    """Genes that have their sequence's len, with 0-based gene offsets within the oriented sequence."""
     offset = lambda c: gene_offset(F.col(c), F.col("region_start"), F.col("len"), F.col("strand"))
-    return joined.withColumn("g0", offset("gene_start")).withColumn("g1", offset("gene_end"))
+    return rows.withColumn("g0", offset("gene_start")).withColumn("g1", offset("gene_end"))
+
+
+def gene_frames(sequences: DataFrame, genes: DataFrame) -> DataFrame:
+    """Genes joined with their sequences by order, framed."""
+    return framed(genes.join(sequences.select("family_id", "seq_idx", "len"), ["family_id", "seq_idx"]))
 
 
 def absolute(chain: DataFrame, frames: DataFrame, literal: bool = False) -> DataFrame:

@@ -10,13 +10,13 @@ family's sequences as one text with "#" behind each, lets repeats run across, an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociweave.functions.sequences import ambiguous, common_prefix, rank_key
+from lociweave.functions.sequences import ambiguous
 from lociweave.operators.storage import settled
 
-WIDTH, CHUNK = 256, 512
+WIDTH, CHUNK, SHORT = 256, 512, 16
 
 
 def check_k(k: int) -> None:
@@ -24,35 +24,60 @@ def check_k(k: int) -> None:
         raise ValueError("K must be a whole number above 0")
 
 
-def suffixes(texts: DataFrame, k: int, width: int = WIDTH, keep_ambiguous: bool = False) -> DataFrame:
-    """family_id, seq_idx, pos (1-based), kmer, prev and suffix for each start of k symbols.
+def windows(texts: DataFrame, k: int, width: int) -> DataFrame:
+    """family_id, seq_idx, pos (1-based), before (the symbol before; "^" at the start) and raw, up to width symbols, for each start of k symbols.
 
-    texts: family_id, seq_idx, bases. Long texts are first cut into chunks, so that each start costs a short substring.
+    Texts are split into chunks once, and a chunk is read with what follows it, so that each start costs a short substring.
     """
     check_k(k)
-    length = F.length("bases")
-    padded = F.concat(F.concat(F.lit("^"), F.col("seq_idx").cast("string")), F.lit(":"))
-    chunks = texts.where(length >= k).select(
-        "family_id", "seq_idx", padded.alias("start_mark"), F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((length - k) / CHUNK)), lambda c: F.substring(F.concat(F.lit("^"), F.col("bases")), (c * CHUNK + 1).cast("int"), F.lit(CHUNK + width + 1)))).alias("c", "part"),
-        length.alias("n"),
-    )
+    split = texts.where(F.length("bases") >= k).select("family_id", "seq_idx", F.length("bases").alias("n"), F.regexp_extract_all("bases", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("chunks"))
+    ahead = 1 + -(-width // CHUNK)
+    part = lambda c: F.concat(F.when(c == 0, "^").otherwise(F.right(F.try_element_at("chunks", c), F.lit(1))), F.array_join(F.slice("chunks", c + 1, ahead), ""))
+    chunks = split.select("family_id", "seq_idx", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - k) / CHUNK).cast("int")), part)).alias("c", "part"))
     last = F.least(F.lit(CHUNK), F.col("n") - k + 1 - F.col("c") * CHUNK)
-    starts = chunks.select("family_id", "seq_idx", "c", "part", "start_mark", F.explode(F.sequence(F.lit(1), last.cast("int"))).alias("i"))
-    prev = F.substring("part", F.col("i"), F.lit(1))
-    raw = F.substring("part", F.col("i") + 1, F.lit(width))
-    out = starts.select("family_id", "seq_idx", (F.col("c") * CHUNK + F.col("i")).cast("int").alias("pos"), F.when(prev == "^", F.col("start_mark")).otherwise(prev).alias("prev"), raw.alias("raw"))
-    out = out.where(F.length("raw") >= k)
-    if keep_ambiguous:
-        return out.select("family_id", "seq_idx", "pos", F.substring("raw", 1, k).alias("kmer"), "prev", F.col("raw").alias("suffix"))
-    out = out.where(~ambiguous(F.substring("raw", 1, k)))
-    return out.select("family_id", "seq_idx", "pos", F.substring("raw", 1, k).alias("kmer"), "prev", F.regexp_extract("raw", "^[^N]*N?", 0).alias("suffix"))
+    starts = chunks.select("family_id", "seq_idx", "c", "part", F.explode(F.sequence(F.lit(1), last.cast("int"))).alias("i"))
+    return starts.select("family_id", "seq_idx", (F.col("c") * CHUNK + F.col("i")).cast("int").alias("pos"), F.substring("part", F.col("i"), F.lit(1)).alias("before"), F.substring("part", F.col("i") + 1, F.lit(width)).alias("raw"))
+
+
+def kmers(texts: DataFrame, k: int, keep_ambiguous: bool = False) -> DataFrame:
+    """family_id, seq_idx, pos and kmer for each start of k symbols; those with an N only with keep_ambiguous."""
+    rows = windows(texts, k, k).select("family_id", "seq_idx", "pos", F.col("raw").alias("kmer"))
+    return rows if keep_ambiguous else rows.where(~F.contains("kmer", F.lit("N")))
+
+
+def suffixes(texts: DataFrame, k: int, width: int = WIDTH) -> DataFrame:
+    """family_id, seq_idx, pos (1-based), kmer, prev and suffix for each start of k symbols without an N.
+
+    texts: family_id, seq_idx, bases. The symbol before a sequence's first is a mark of its own.
+    """
+    rows = windows(texts, k, width).withColumn("kmer", F.substring("raw", 1, k)).where(~F.contains("kmer", F.lit("N")))
+    prev = F.when(F.col("before") == "^", F.concat(F.lit("^"), F.col("seq_idx").cast("string"))).otherwise(F.col("before"))
+    cut = F.when(F.contains("raw", F.lit("N")), F.concat(F.substring_index("raw", "N", 1), F.lit("N"))).otherwise(F.col("raw"))
+    return rows.select("family_id", "seq_idx", "pos", "kmer", prev.alias("prev"), cut.alias("suffix"))
 
 
 def neighbour_prefixes(starts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """starts with lcp, the common prefix with the suffix before in suffix order of the same K-mer (null at the first)."""
-    order = Window.partitionBy("family_id", "kmer").orderBy(rank_key(F.col("suffix"), post_order=False), "seq_idx", "pos")
-    before = starts.withColumn("before", F.lag("suffix").over(order))
-    return before.withColumn("lcp", common_prefix(F.col("suffix"), F.col("before"), width)).drop("before")
+    """starts with lcp, the common prefix with the suffix before in sorted order of the same K-mer (null at the first).
+
+    Any order of the symbols gives neighbours the same common prefixes, so the plain one is taken.
+    """
+    order = Window.partitionBy("family_id", "kmer").orderBy("suffix", "seq_idx", "pos")
+    return starts.withColumn("neighbour", F.lag("suffix").over(order)).withColumn("lcp", common_prefix("suffix", "neighbour", width)).drop("neighbour")
+
+
+def common_prefix(a: str, b: str, width: int) -> Column:
+    """Length of the longest common prefix of two columns, at most width, by halving steps; null if either is."""
+
+    def steps(most: int) -> Column:
+        sizes, step = [], 1 << (max(1, most) - 1).bit_length()
+        while step:
+            sizes.append(F.lit(step))
+            step //= 2
+        longer = lambda n, s: (n + s <= F.length(a)) & (n + s <= F.length(b)) & (F.substring(a, n + 1, s) == F.substring(b, n + 1, s))
+        return F.aggregate(F.array(*sizes), F.lit(0), lambda n, s: F.when(longer(n, s), n + s).otherwise(n))
+
+    # Most neighbours part early: long steps are tried only where a short one holds.
+    return F.when(F.col(b).isNotNull(), F.when(F.substring(a, 1, SHORT) == F.substring(b, 1, SHORT), steps(width)).otherwise(steps(SHORT)))
 
 
 def right_maximal(texts: DataFrame, k: int, width: int = WIDTH) -> DataFrame:
@@ -88,11 +113,16 @@ def subsumed(occurring: DataFrame, words: DataFrame, literal: bool = False) -> D
     return by_next.join(words, ["family_id", "word", "prevs"]).select("family_id", "word").distinct()
 
 
-def maximal_repeats(texts: DataFrame, k: int, suppress_subsumed: bool = True, width: int = WIDTH) -> DataFrame:
-    """Occurrences (family_id, word, len, seq_idx, pos) of the repeats that neither side extends."""
+def found_words(texts: DataFrame, k: int, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """The right-maximal words and where they occur; suffixes are as wide as the longest word and the symbol behind it."""
     words = right_maximal(texts, k, width)
     width = max(width, (words.agg(F.max("len")).first()[0] or 0) + 2)
-    found = settled(occurrences(words, suffixes(texts, k, width)))
+    return words, settled(occurrences(words, suffixes(texts, k, width)))
+
+
+def maximal_repeats(texts: DataFrame, k: int, suppress_subsumed: bool = True, width: int = WIDTH) -> DataFrame:
+    """Occurrences (family_id, word, len, seq_idx, pos) of the repeats that neither side extends."""
+    found = found_words(texts, k, width)[1]
     kept = left_diverse(found)
     if suppress_subsumed:
         kept = kept.join(subsumed(found, kept), ["family_id", "word"], "left_anti")
@@ -123,6 +153,15 @@ def kmer_pairs(starts: DataFrame) -> DataFrame:
     return a.join(b, ["family_id", "kmer"]).where("seq_a < seq_b")
 
 
+def seed_counts(starts: DataFrame) -> DataFrame:
+    """How many such pairs any two sequences have, from counts; no pair is made."""
+    counts = settled(starts.groupBy("family_id", "kmer", "seq_idx").agg(F.count("*").alias("n")))
+    a = counts.select("family_id", "kmer", F.col("seq_idx").alias("seq_a"), F.col("n").alias("n_a"))
+    b = counts.select("family_id", "kmer", F.col("seq_idx").alias("seq_b"), F.col("n").alias("n_b"))
+    joined = a.join(b, ["family_id", "kmer"]).where("seq_a < seq_b")
+    return joined.groupBy("family_id", "seq_a", "seq_b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n_seeds"))
+
+
 def extensions(pairs: DataFrame, k: int) -> DataFrame:
     """Islands of neighbouring pairs on a diagonal: their start in both sequences and the length of the match."""
     diagonal = ["family_id", "seq_a", "seq_b", F.col("pos_b") - F.col("pos_a")]

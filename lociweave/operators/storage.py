@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, written once to the checkpoint folder that all executors share; a temporary one only where none is set."""
+    """df, written once to the checkpoint folder that all executors share: the context's, or the one that spark.checkpoint.dir names."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lociweave-"))
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="lociweave-")  # driver and executor are one process here
+        context.setCheckpointDir(folder)
     return df.checkpoint()

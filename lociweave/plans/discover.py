@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.functions.sequences import normalize, oriented, outside_gene, present_in_all, rank_key, same_side
@@ -21,11 +21,26 @@ def prepared(sequences: DataFrame, genes: DataFrame, soft_mask: bool = True) ->
     return joined.select("family_id", "seq_idx", bases.alias("bases"), F.length("bases").cast("long").alias("len"))
 
 
-def check(genes: DataFrame) -> None:
-    """Strict mode takes + and - strands only, and a gene for each sequence."""
+def check(sequences: DataFrame, genes: DataFrame) -> None:
+    """Strict mode takes + and - strands only, and a gene for each sequence and a sequence for each gene."""
     wrong = genes.where(~F.col("strand").isin("+", "-") | F.col("strand").isNull()).limit(1).count()
     if wrong:
         raise ValueError("strands must be + or -")
+    keys = ["family_id", "seq_idx"]
+    lone = sequences.select(*keys).join(genes.select(*keys), keys, "left_anti").unionByName(genes.select(*keys).join(sequences.select(*keys), keys, "left_anti"))
+    found = lone.first()
+    if found:
+        raise ValueError(f"family {found.family_id}: sequence {found.seq_idx} and its gene are not both there")
+
+
+def by_name(sequences: DataFrame, genes: DataFrame) -> DataFrame:
+    """genes with the seq_idx of the sequence of the same name; names that occur once on each side only are taken, others fail."""
+    both = sequences.select("family_id", "name", F.col("seq_idx").alias("own")).join(genes.withColumnRenamed("gene", "name"), ["family_id", "name"], "full")
+    counted = both.withColumn("times", F.count("*").over(Window.partitionBy("family_id", "name")))
+    wrong = counted.where(F.col("own").isNull() | F.col("seq_idx").isNull() | (F.col("times") > 1)).first()
+    if wrong:
+        raise ValueError(f"family {wrong.family_id}: the name {wrong.name} does not match one sequence and one gene")
+    return both.select("family_id", F.col("own").alias("seq_idx"), F.col("name").alias("gene"), *(c for c in genes.columns if c not in ("family_id", "seq_idx", "gene")))
 
 
 def sided(found: DataFrame, frames: DataFrame) -> DataFrame:
@@ -69,8 +84,6 @@ def literal_anchors(texts: DataFrame, frames: DataFrame, k: int) -> DataFrame:
     local = placed.select("family_id", F.concat_ws("/", "word", "side", "part").alias("word"), F.length("part").alias("len"), "seq_idx", X.literal_position((F.col("at") - F.col("start")).cast("int"), F.col("seq_idx")).alias("pos"))
     sizes = texts.groupBy("family_id").agg(F.count("*").cast("int").alias("n"))
     rows = A.anchors(local, sizes, all_sequences=False).withColumn("pos", F.transform("pos", lambda x: F.coalesce(x, F.lit(0))))
-    from pyspark.sql import Window
-
     parts = F.split("word", "/")
     order = Window.partitionBy("family_id").orderBy(rank_key(parts[0]), parts[1], "ordinal")
     return rows.select("family_id", (F.row_number().over(order) - 1).cast("long").alias("row_id"), parts[2].alias("word"), "len", "pos")
@@ -87,8 +100,6 @@ def literal_filtered(rows: DataFrame, frames: DataFrame) -> DataFrame:
 
 def literal_dedup(all_rows: DataFrame, kept: DataFrame) -> DataFrame:
     """Literal mode numbers the kept rows anew to find duplicates, but drops the rows that had those numbers before."""
-    from pyspark.sql import Window
-
     compact = kept.withColumn("c", F.row_number().over(Window.partitionBy("family_id").orderBy("row_id")) - 1)
     best = Window.partitionBy("family_id", "pos").orderBy(F.desc("len"), F.desc("c"))
     doomed = compact.withColumn("first", F.row_number().over(best)).where("first > 1").select("family_id", F.col("c").cast("long").alias("row_id"))
@@ -103,7 +114,7 @@ def discover(sequences: DataFrame, genes: DataFrame, k: int, mode: str = "strict
     texts = prepared(sequences, genes, soft_mask)
     frames = X.gene_frames(texts, genes)
     if mode == "strict":
-        check(genes)
+        check(sequences, genes)
         rows = strict_anchors(texts, frames, k, suppress_subsumed, test_end)
         mem = A.dedup_longest(rows)
     else:

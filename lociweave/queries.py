@@ -16,6 +16,7 @@ from lociweave.operators import anchors as A
 from lociweave.operators import chain as C
 from lociweave.operators import coordinates as X
 from lociweave.operators import repeats as R
+from lociweave.operators.storage import settled
 from lociweave.plans import discover as P
 from lociweave.sources import fasta, writers
 
@@ -93,7 +94,8 @@ def texts_of(fam: DataFrame) -> DataFrame:
 
 
 def frames_of(fam: DataFrame) -> DataFrame:
-    return X.gene_frames(texts_of(fam), genes_of(fam).drop("n"))
+    """The genes and their sequences' lengths are columns of the same rows here: no join."""
+    return X.framed(genes_of(fam).withColumnRenamed("n", "len"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +109,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     texts = texts_of(families(spark, sf_dir))
-    words = R.right_maximal(texts, K)
-    return words, R.occurrences(words, R.suffixes(texts, K))
+    return R.found_words(texts, K)
 
 
 def _repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,14 +209,13 @@ def cns_header(spark, sf_dir):
 
 @query("kmer_explode", "SELECT family_id, seq_idx, kmer, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM starts GROUP BY ALL", ("fam", "turned", "runs", "starts"))
 def kmer_explode(spark, sf_dir):
-    starts = R.suffixes(texts_of(families(spark, sf_dir)), K)
+    starts = R.kmers(texts_of(families(spark, sf_dir)), K)
     return starts.groupBy("family_id", "seq_idx", "kmer").agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first_pos"), F.max("pos").cast("long").alias("last_pos"))
 
 
 @query("kmer_seed_join", "SELECT a.family_id, a.seq_idx AS seq_a, b.seq_idx AS seq_b, count(*) AS n_seeds FROM starts AS a JOIN starts AS b ON a.family_id = b.family_id AND a.kmer = b.kmer AND a.seq_idx < b.seq_idx GROUP BY ALL", ("fam", "turned", "runs", "starts"))
 def kmer_seed_join(spark, sf_dir):
-    pairs = R.kmer_pairs(R.suffixes(texts_of(families(spark, sf_dir)), K))
-    return pairs.groupBy("family_id", "seq_a", "seq_b").agg(F.count("*").alias("n_seeds"))
+    return R.seed_counts(R.kmers(texts_of(families(spark, sf_dir)), K))
 
 
 @query(
@@ -227,13 +227,13 @@ def kmer_seed_join(spark, sf_dir):
     ("fam", "turned", "runs", "starts"),
 )
 def lce_islands(spark, sf_dir):
-    rows = R.extensions(R.kmer_pairs(R.suffixes(texts_of(families(spark, sf_dir)), K)), K)
+    rows = R.extensions(R.kmer_pairs(R.kmers(texts_of(families(spark, sf_dir)), K)), K)
     return rows.select("family_id", "seq_a", "seq_b", F.col("pos_a").cast("long").alias("pos_a"), F.col("pos_b").cast("long").alias("pos_b"), "len")
 
 
 @query("right_maximal", "SELECT family_id, word, CAST(len AS BIGINT) AS len FROM words", FAMILY[:6])
 def right_maximal(spark, sf_dir):
-    return _found(spark, sf_dir)[0].select("family_id", "word", F.col("len").cast("long").alias("len"))
+    return R.right_maximal(texts_of(families(spark, sf_dir)), K).select("family_id", "word", F.col("len").cast("long").alias("len"))
 
 
 @query("left_diverse", "SELECT family_id, word, prevs FROM diverse", FAMILY[:8])
@@ -259,13 +259,13 @@ def maximal_repeats(spark, sf_dir):
     ("fam", "turned", "runs", "starts"),
 )
 def ambiguity_filter(spark, sf_dir):
-    starts = R.suffixes(texts_of(families(spark, sf_dir)), K, keep_ambiguous=True)
+    starts = R.kmers(texts_of(families(spark, sf_dir)), K, keep_ambiguous=True)
     return starts.groupBy("family_id", "seq_idx").agg(F.count("*").alias("n_words"), F.count_if(S.ambiguous(F.col("kmer"))).alias("n_ambiguous"))
 
 
 @query("homopolymer_filter", "SELECT family_id, kmer, count(*) AS n FROM starts WHERE length(replace(kmer, kmer[1], '')) = 0 GROUP BY ALL", ("fam", "turned", "runs", "starts"))
 def homopolymer_filter(spark, sf_dir):
-    starts = R.suffixes(texts_of(families(spark, sf_dir)), K)
+    starts = R.kmers(texts_of(families(spark, sf_dir)), K)
     return starts.where(S.homopolymer(F.col("kmer"))).groupBy("family_id", "kmer").agg(F.count("*").alias("n"))
 
 
@@ -287,7 +287,7 @@ def rank_key_sort(spark, sf_dir):
     from pyspark.sql import Window
 
     order = Window.partitionBy("family_id").orderBy(S.rank_key(F.col("word")))
-    return _found(spark, sf_dir)[0].select("family_id", "word", F.row_number().over(order).cast("long").alias("rank"))
+    return R.right_maximal(texts_of(families(spark, sf_dir)), K).select("family_id", "word", F.row_number().over(order).cast("long").alias("rank"))
 
 
 @query("repeat_occurrences", "SELECT family_id, word, CAST(seq_idx AS BIGINT) AS seq_idx, CAST(pos AS BIGINT) AS pos FROM repeats", FAMILY)
@@ -362,14 +362,33 @@ def filtered_anchors(spark, sf_dir):
     return _strict(spark, sf_dir).select("family_id", "row_id", "word", F.col("pos").cast("array<bigint>").alias("pos"))
 
 
-@query("conserved_blocks")
-def conserved_blocks(spark, sf_dir):
-    """The flagship: the heaviest chain of each family with its words and genome coordinates."""
+SPREAD = "coalesce(list_sum(list_transform(range(1, len({0}) + 1), lambda i: coalesce(list_sum(list_transform(range(1, i), lambda j: abs({0}[i] - {0}[j]))), 0))), 0)"
+BLOCKS = f"""grown AS (
+  SELECT family_id, row_id, [row_id] AS path, len AS weight, pos, [{{'cost': {SPREAD.format("pos")}, 'row_id': row_id}}] AS keys FROM numbered
+  UNION ALL
+  SELECT family_id, row_id, path, weight, pos, list_append(keys, {{'cost': {SPREAD.format("gaps")}, 'row_id': row_id}}) FROM (
+    SELECT p.family_id, i.row_id, list_append(p.path, i.row_id) AS path, p.weight + i.len AS weight, i.pos, p.keys, list_transform(range(1, len(i.pos) + 1), lambda k: p.pos[k] - i.pos[k]) AS gaps
+    FROM grown AS p JOIN numbered AS i ON p.family_id = i.family_id AND len(list_filter(range(1, len(i.pos) + 1), lambda k: i.pos[k] + i.len >= p.pos[k])) = 0)),
+best AS (SELECT family_id, CAST(weight AS BIGINT) AS score, path, unnest(range(1, len(path) + 1)) AS step FROM (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY weight DESC, keys) AS first FROM grown) WHERE first = 1),
+regions AS (SELECT family_id, list({{'start': region_start, 'n': len, 'strand': strand, 'chr': concat('chr', seq_idx)}} ORDER BY seq_idx) AS g FROM frames GROUP BY family_id),
+blocks AS (SELECT family_id, CAST(step AS BIGINT) AS step, CAST(len AS BIGINT) AS len, word, score, list_transform(g, lambda r: r.chr) AS chr,
+  list_transform(range(1, len(g) + 1), lambda k: CAST(CASE WHEN g[k].strand = '+' THEN g[k].start + pos[k] - 1 ELSE g[k].start + g[k].n - pos[k] - len + 1 END AS BIGINT)) AS abs_pos
+  FROM best JOIN numbered AS a USING (family_id) JOIN regions USING (family_id) WHERE a.row_id = path[step])"""
+CHAINED = (*FILTERED, NUMBERED, BLOCKS)
+
+
+def _blocks(spark, sf_dir):
     fam = families(spark, sf_dir)
-    rows = _strict(spark, sf_dir)
+    rows = settled(_strict(spark, sf_dir))
     chain = C.best_chains(rows).join(rows.select("family_id", "row_id", "word"), ["family_id", "row_id"])
-    placed = X.absolute(chain, frames_of(fam))
-    return placed.select("family_id", "step", "len", "abs_pos", "chr", "word", "score")
+    return X.absolute(chain, frames_of(fam))
+
+
+@query("conserved_blocks", "SELECT family_id, step, len, abs_pos, chr, word, score FROM blocks", CHAINED, recursive=True)
+def conserved_blocks(spark, sf_dir):
+    """The flagship: the heaviest chain of each family with its words and genome coordinates."""
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    return _blocks(spark, sf_dir).select("family_id", whole("step"), whole("len"), F.col("abs_pos").cast("array<bigint>").alias("abs_pos"), "chr", "word", whole("score"))
 
 
 # Anchors and chains ------------------------------------------------------------------------------------------------
@@ -398,13 +417,9 @@ def anchor_spread(spark, sf_dir):
     return items(spark, sf_dir).select("family_id", "row_id", S.spread(F.col("pos")).alias("spread"))
 
 
-@query("gap_consistency", "SELECT e.family_id, src, dst, abs((b.x - a.x) - (b.y - a.y)) + abs((b.x - a.x) - (b.z - a.z)) + abs((b.y - a.y) - (b.z - a.z)) AS gap FROM edges AS e JOIN items AS a ON e.family_id = a.family_id AND e.src = a.row_id JOIN items AS b ON e.family_id = b.family_id AND e.dst = b.row_id", ("items", "edges"))
+@query("gap_consistency", "SELECT a.family_id, a.row_id AS src, b.row_id AS dst, abs((b.x - a.x) - (b.y - a.y)) + abs((b.x - a.x) - (b.z - a.z)) + abs((b.y - a.y) - (b.z - a.z)) AS gap FROM items AS a JOIN items AS b ON a.family_id = b.family_id AND a.x + a.len < b.x AND a.y + a.len < b.y AND a.z + a.len < b.z", ("items",))
 def gap_consistency(spark, sf_dir):
-    rows = items(spark, sf_dir)
-    a = rows.select("family_id", F.col("row_id").alias("src"), F.col("pos").alias("a"))
-    b = rows.select("family_id", F.col("row_id").alias("dst"), F.col("pos").alias("b"))
-    joined = C.edges(rows).join(a, ["family_id", "src"]).join(b, ["family_id", "dst"])
-    return joined.select("family_id", "src", "dst", S.gap_inconsistency(F.col("b"), F.col("a")).alias("gap"))
+    return C.edges(items(spark, sf_dir), gaps=True).drop("weight")
 
 
 @query("precedence_edges", "SELECT * FROM edges", ("items", "edges"))
@@ -490,20 +505,32 @@ def multi_k(spark, sf_dir):
     texts = texts_of(families(spark, sf_dir))
     out = None
     for k in (8, 12, 16):
-        own = R.suffixes(texts, k).groupBy("family_id").agg(F.count("*").alias("n_kmers")).select(F.lit(k).alias("k"), "family_id", "n_kmers")
+        own = R.kmers(texts, k).groupBy("family_id").agg(F.count("*").alias("n_kmers")).select(F.lit(k).alias("k"), "family_id", "n_kmers")
         out = own if out is None else out.unionByName(own)
     return out
 
 
-@query("plot_pages")
+PAGE_SQL = "replace(replace(replace('" + writers.PAGE.replace("{{", "{").replace("}}", "}").replace("'", "''") + "', '{axes}', axes), '{rows}', rows), '{title}', concat('Family ', family_id))"
+
+
+@query(
+    "plot_pages",
+    f"""SELECT family_id, {PAGE_SQL} AS value FROM (SELECT family_id, CAST(to_json(list(CAST(pos AS BIGINT[]) ORDER BY pos)) AS VARCHAR) AS rows FROM numbered GROUP BY family_id)
+      JOIN (SELECT family_id, CAST(to_json(list(concat('gene', doc_id) ORDER BY seq_idx)) AS VARCHAR) AS axes FROM fam GROUP BY family_id) USING (family_id)""",
+    (*FILTERED, NUMBERED),
+)
 def plot_pages(spark, sf_dir):
     rows = _strict(spark, sf_dir)
     return writers.plot_pages(rows, genes_of(families(spark, sf_dir)))
 
 
-@query("gene_tracks")
+@query(
+    "gene_tracks",
+    """SELECT family_id, 'track' AS kind, CAST(k - 1 AS BIGINT) AS seq_idx, abs_pos[k] AS start, abs_pos[k] + len - 1 AS stop FROM (SELECT *, unnest(range(1, len(abs_pos) + 1)) AS k FROM blocks)
+      UNION ALL SELECT family_id, 'gene', CAST(seq_idx AS BIGINT), gene_start, gene_end FROM genes""",
+    CHAINED,
+    recursive=True,
+)
 def gene_tracks(spark, sf_dir):
-    fam = families(spark, sf_dir)
-    rows = _strict(spark, sf_dir)
-    placed = X.absolute(C.best_chains(rows), frames_of(fam))
-    return writers.tracks(placed, genes_of(fam))
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    return writers.tracks(_blocks(spark, sf_dir), genes_of(families(spark, sf_dir))).select("family_id", "kind", whole("seq_idx"), whole("start"), whole("stop"))

@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_ends(rows: DataFrame, lengths: DataFrame, n: int, serial: bool = False) -> DataFrame:
+def with_ends(rows: DataFrame, lengths: DataFrame, n: int, serial: bool = False, order_by: str = "row_id") -> DataFrame:
     """The anchor table of families of n sequences: zeros above, the longest sequence's length below.
 
-    rows: family_id, row_id, len, pos; lengths: family_id, len. The column part orders the three pieces.
+    rows: family_id, row_id (or what order_by names, a chain's step), len, pos; lengths: family_id, len. The columns part
+    and, with serial, MEM order the rows; without it, place does, which is no column of the written table.
     """
-    order = F.row_number().over(Window.partitionBy("family_id").orderBy("row_id"))
+    order = F.row_number().over(Window.partitionBy("family_id").orderBy(order_by))
+    name = "MEM" if serial else "place"
     most = lengths.groupBy("family_id").agg(F.max("len").alias("most"))
     columns = lambda value: [value(k).cast("long").alias(f"S_{k + 1}") for k in range(n)]
-    body = rows.select("family_id", F.lit(1).alias("part"), order.cast("long").alias("MEM"), F.col("len").cast("long").alias("Length"), *columns(lambda k: F.col("pos")[k]))
-    top = most.select("family_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("MEM"), F.lit(0).cast("long").alias("Length"), *columns(lambda k: F.lit(0)))
-    foot = most.select("family_id", F.lit(2).alias("part"), F.lit(0).cast("long").alias("MEM"), F.col("most").cast("long").alias("Length"), *columns(lambda k: F.col("most")))
-    out = top.unionByName(body).unionByName(foot)
-    return out if serial else out.drop("MEM")
+    body = rows.select("family_id", F.lit(1).alias("part"), order.cast("long").alias(name), F.col("len").cast("long").alias("Length"), *columns(lambda k: F.col("pos")[k]))
+    top = most.select("family_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias(name), F.lit(0).cast("long").alias("Length"), *columns(lambda k: F.lit(0)))
+    foot = most.select("family_id", F.lit(2).alias("part"), F.lit(0).cast("long").alias(name), F.col("most").cast("long").alias("Length"), *columns(lambda k: F.col("most")))
+    return top.unionByName(body).unionByName(foot)
 
 
 def cns_table(cns: DataFrame, names: list[str]) -> DataFrame:
@@ -42,6 +43,41 @@ def write_table(rows: DataFrame, path: str, order: list[str]) -> None:
     rows.repartition("family_id").sortWithinPartitions("family_id", *order).write.partitionBy("family_id").csv(path, header=True)
 
 
+def anchor_lines(rows: DataFrame, lengths: DataFrame, serial: bool, order_by: str = "row_id") -> DataFrame:
+    """family_id, place and line of the anchor tables as text, for families of any number of sequences."""
+    pos = lambda value: F.array_join(F.transform(value, lambda x: x.cast("string")), ",")
+    joined = lambda *parts: F.concat_ws(",", *(p.cast("string") for p in (parts if serial else parts[1:])))
+    sizes = lengths.groupBy("family_id").agg(F.max("len").alias("most"), F.count("*").cast("int").alias("n"))
+    order = F.row_number().over(Window.partitionBy("family_id").orderBy(order_by)).cast("long")
+    names = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat(F.lit("S_"), k.cast("string"))), ",")
+    same = lambda x: F.array_repeat(x, F.col("n"))
+    ends = sizes.select("family_id", F.posexplode(F.array(joined(F.lit("MEM"), F.lit("Length"), names), joined(F.lit(0), F.lit(0), pos(same(F.lit(0)))), joined(F.lit(0), F.col("most"), pos(same(F.col("most"))))))).toDF("family_id", "part", "line")
+    body = rows.select("family_id", order.alias("serial"), "len", "pos").select("family_id", F.lit(1).alias("part"), "serial", joined(F.col("serial"), F.col("len"), pos(F.col("pos"))).alias("line"))
+    ends = ends.select("family_id", F.when(F.col("part") == 2, 2).otherwise(0).alias("part"), F.col("part").cast("long").alias("serial"), "line")
+    return body.unionByName(ends).select("family_id", F.struct("part", "serial").alias("place"), "line")
+
+
+def cns_lines(cns: DataFrame, genes: DataFrame, label: int = 2) -> DataFrame:
+    """family_id, place and line: a line for each gene's name, the header with labels of two characters, and the chain's steps."""
+    one = F.sort_array(F.collect_list(F.struct("seq_idx", "gene")))
+    named = genes.groupBy("family_id").agg(F.transform(one, lambda x: x["gene"]).alias("g"))
+    short = F.transform("g", lambda x: F.substring(x, 1, label))
+    header = F.concat_ws(",", F.lit("LEN"), F.array_join(short, ","), F.array_join(F.transform(short, lambda x: F.concat(F.lit("Chr_"), x)), ","), F.lit("CNS"))
+    top = named.select("family_id", F.posexplode(F.concat("g", F.array(header))).alias("serial", "line")).select("family_id", F.struct(F.lit(0).alias("part"), F.col("serial").cast("long").alias("serial")).alias("place"), "line")
+    text = F.concat_ws(",", F.col("len").cast("string"), F.array_join(F.transform("abs_pos", lambda x: x.cast("string")), ","), F.array_join("chr", ","), "word")
+    return top.unionByName(cns.select("family_id", F.struct(F.lit(1).alias("part"), F.col("step").cast("long").alias("serial")).alias("place"), text.alias("line")))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """One sorted text for each family, in a folder of its own."""
+    lines.repartition("family_id").sortWithinPartitions("family_id", "place").select("family_id", "line").write.partitionBy("family_id").text(path)
+
+
+def write_tracks(rows: DataFrame, path: str) -> None:
+    """kind, seq_idx, start, stop: genes behind the matches of each sequence."""
+    rows.repartition("family_id").sortWithinPartitions("family_id", "seq_idx", F.desc("kind"), "start").write.partitionBy("family_id").csv(path, header=True)
+
+
 def write_paths(chains: DataFrame, path: str) -> None:
     chains.select("family_id", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("line")).write.partitionBy("family_id").text(path)
 

@@ -125,3 +125,38 @@ def test_repeats_against_brute_force(spark):
                 kept |= {(w, s, p) for *_, s, p in o}
         got = {(r.word, r.seq_idx, r.pos) for r in R.maximal_repeats(frame, k, width=width).collect()}
         assert got == kept
+
+
+def test_repeats_longer_than_the_first_width_and_than_a_chunk(spark):
+    """Words of 300 and 1,200 symbols, across chunks; the symbol behind a word is no end where the text goes on."""
+    import random
+
+    rnd = random.Random(5)
+    bases = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    for n in (256, 300, 1200):
+        core = bases(n)
+        texts = spark.createDataFrame([(0, 0, f"{bases(700)}A{core}C{bases(90)}"), (0, 1, f"{bases(30)}G{core}T{bases(1500)}")], "family_id long, seq_idx int, bases string")
+        words, found = R.found_words(texts, 20)
+        assert core in {r.word for r in words.collect()}
+        assert {(r.seq_idx, r.prev, r.next) for r in found.where(F.col("word") == core).collect()} == {(0, "A", "C"), (1, "G", "T")}
+        assert {r.word for r in R.maximal_repeats(texts, 20).collect()} == {core}
+
+
+def test_windows_of_a_long_text_are_its_substrings(spark):
+    import random
+
+    rnd = random.Random(6)
+    text = "".join(rnd.choice("ACGTN") for _ in range(3000))
+    rows = R.windows(spark.createDataFrame([(0, 0, text), (0, 1, "ACG"), (0, 2, "")], "family_id long, seq_idx int, bases string"), 5, 600).collect()
+    assert sorted((r.pos, r.before, r.raw) for r in rows) == [(k + 1, text[k - 1] if k else "^", text[k : k + 600]) for k in range(2996)]
+
+
+def test_strict_mode_needs_a_gene_for_each_sequence(spark):
+    sequences, genes = family(spark, "TACGTCA", "GACGTTC")
+    for wrong in ((sequences, genes.where("seq_idx = 0")), (sequences.where("seq_idx = 0"), genes)):
+        with pytest.raises(ValueError, match="not both there"):
+            P.discover(*wrong, 3)
+    with pytest.raises(ValueError, match="does not match"):
+        P.by_name(sequences, genes)
+    named = P.by_name(sequences.withColumn("name", F.concat(F.lit("Gene"), (1 - F.col("seq_idx")).cast("string"))), genes)
+    assert sorted((r.seq_idx, r.gene) for r in named.collect()) == [(0, "Gene1"), (1, "Gene0")]

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lociweave import cli
@@ -24,16 +25,30 @@ def test_lists_and_tables(spark, tmp_path):
     assert [(r.row_id, r.len, list(r.pos)) for r in fasta.read_anchor_table(spark, str(tmp_path / "a.tsv")).collect()] == [(1, 5, [10, 20, 30])]
 
 
-def test_command_line_writes_all_tables(spark, tmp_path):
-    (tmp_path / "in.fasta").write_text("> GeneA chr1 + 100 150 160 300\n> GeneB chr2 + 100 150 160 300\n>one\nTACGTCA\n>two\nGACGTTC\n")
-    out = str(tmp_path / "out")
-    cli.main(["-mem", "3", "-file", str(tmp_path / "in.fasta"), "-out", out])
-    mem = spark.read.csv(f"{out}_MEM_1_3", header=True).orderBy("part").collect()
-    assert [(r.MEM, r.Length, r.S_1, r.S_2) for r in mem] == [("0", "0", "0", "0"), ("1", "4", "2", "2"), ("0", "7", "7", "7")]
-    cns = spark.read.csv(f"{out}_CNS_3", header=True).collect()
-    assert [(r.LEN, r.S_1, r.S_2, r.Chr_S_1, r.CNS) for r in cns] == [("4", "101", "101", "chr1", "ACGT")]
-    assert [r.value for r in spark.read.text(f"{out}_mems_3").select("value").collect()] == ["ACGT"]
-    assert "GeneA" in " ".join(r.value for r in spark.read.text(f"{out}_MEM_3_pages").select("value").collect())
+def lines_of(path):
+    return [x for f in sorted(path.rglob("part-*")) for x in f.read_text().splitlines()]
+
+
+@pytest.mark.parametrize("mode, pos, starts", [("literal", "2,3", "102,103"), ("strict", "2,2", "101,101")])
+def test_command_line_writes_all_tables(spark, tmp_path, mode, pos, starts):
+    """The first hand-derived case: all tables, line by line."""
+    (tmp_path / "in.fasta").write_text("> Aa1 chr1 + 100 150 160 300\n> Bb1 chr2 + 100 150 160 300\n>Aa1\nTACGTCA\n>Bb1\nGACGTTC\n")
+    cli.main(["-mem", "3", "-file", str(tmp_path / "in.fasta"), "-out", str(tmp_path / "out"), "-mode", mode, "-by_name"])
+    table = lambda name: lines_of(tmp_path / f"out_{name}")
+    assert table("MEM_1_3") == ["MEM,Length,S_1,S_2", "0,0,0,0", f"1,4,{pos}", "0,7,7,7"]
+    assert table("MEM_2_3") == table("LPMEM_3") == ["Length,S_1,S_2", "0,0,0", f"4,{pos}", "7,7,7"]
+    assert table("CNS_3") == ["Aa1", "Bb1", "LEN,Aa,Bb,Chr_Aa,Chr_Bb,CNS", f"4,{starts},chr1,chr2,ACGT"]
+    assert table("mems_3") == ["ACGT"]
+    a, b = map(int, starts.split(","))
+    assert table("tracks_3") == ["kind,seq_idx,start,stop", f"track,0,{a},{a + 3}", "gene,0,150,160", f"track,1,{b},{b + 3}", "gene,1,150,160"]
+    assert "Aa1" in " ".join(table("MEM_3_pages"))
+
+
+def test_tables_keep_the_order_of_a_chain(spark):
+    chain = spark.createDataFrame([(1, 1, 9, 5, [8, 9]), (1, 2, 2, 4, [1, 2])], "family_id long, step int, row_id long, len int, pos array<int>")
+    lengths = spark.createDataFrame([(1, 30), (1, 40)], "family_id long, len long")
+    got = writers.anchor_lines(chain, lengths, serial=False, order_by="step").orderBy("place").collect()
+    assert [r.line for r in got] == ["Length,S_1,S_2", "0,0,0", "5,8,9", "4,1,2", "40,40,40"]
 
 
 def test_paths_and_brush(spark, tmp_path):
