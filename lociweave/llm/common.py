@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share; a temporary one only in local mode, where the session names none."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = f"file://{os.path.join(tempfile.gettempdir(), 'lociweave-scratch')}"
     return f"{shared.rstrip('/')}/lociweave"
 

@@ -5,7 +5,9 @@ the share of good rows among the labelled ones. A linear scorer over bounded sur
 steps on prior * risk(positives as good) + max(0, risk(unlabelled as bad) - prior * risk(positives as bad)).
 
 Null and empty texts have all features zero and get the score of that point; with no positives every score is 0.5.
-Repeated rows each give a row; an empty table gives an empty result; columns beyond those named are ignored.
+Labels other than 0 and 1 are none; of several labels of a doc_id the largest holds. Repeated rows each give a row; an
+empty table gives an empty result; columns beyond those named are ignored. Positives and the unlabelled side are
+samples of at most about TRAIN_ROWS rows each, so a kind of bad text that is rarer than one in TRAIN_ROWS may be unseen.
 """
 
 from __future__ import annotations
@@ -123,7 +125,7 @@ def _collected(rows: DataFrame) -> np.ndarray:
 
 def _sampled(rows: DataFrame, most: int, seed: int) -> DataFrame:
     total = rows.count()
-    return rows if total <= most else rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * most / total))
+    return rows if total <= most else rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * most / total))
 
 
 def fit_quality(docs: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel | None:
@@ -141,7 +143,7 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int =
     """doc_id, held_out, score and predicted for each row of docs; labels of held-out rows are not looked at."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     out = fold("doc_id", folds) == held_out
-    known = labels.where(F.col("quality").isNotNull()).select(labels["doc_id"].cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(~out).dropDuplicates(["doc_id"])
+    known = labels.where(F.col("quality").isNotNull()).select(labels["doc_id"].cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(~out & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
     model = fit_quality(docs, docs.join(known, "doc_id"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -8,7 +8,8 @@ evidence is its log-likelihood in the toxic model less that in the ordinary one.
 and that of its most toxic units, give its score by a logistic curve fit on rows that the counts have not seen.
 
 Null and empty texts have no evidence and get the curve's value at zero; if no toxic row can be learned from, all
-scores are 0. Repeated rows each give a row; an empty table gives an empty result; other columns are ignored.
+scores are 0. Labels other than 0 and 1 are none; of several labels of a doc_id the largest holds. Repeated rows each
+give a row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -192,7 +193,7 @@ def fit_toxicity(labelled: DataFrame, docs: DataFrame, train_rows: int = TRAIN_R
     """labelled: doc_id, text and label (1: toxic) of the rows to learn from; docs: all texts, for the shared counts."""
     labelled = labelled.where(F.col("label").isNotNull()).select("doc_id", "text", F.col("label").cast("int").alias("label"))
     total = labelled.count()
-    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30))
+    part = F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(1 << 30))
     sample = labelled if total <= train_rows else labelled.where(part < int((1 << 30) * train_rows / total))
     sample = sample.dropDuplicates(["text", "label"])  # so are copies of a text
     for_curve = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(3)) == 0
@@ -260,7 +261,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
     """doc_id, held_out, score and predicted for each row of docs; labels of held-out rows are not looked at."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     out = fold("doc_id", folds) == held_out
-    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), F.col("toxic").alias("label")).where(~out).dropDuplicates(["doc_id"])
+    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where(~out & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
     conf = docs.sparkSession.conf
     before = conf.get(CLEANUP, "false")
     conf.set(CLEANUP, "true")  # each step of the fit reads its shuffle files once

@@ -264,6 +264,21 @@ def test_near_duplicates_are_exact(spark, monkeypatch, block, close):
     assert [got[k] for k in range(len(texts))] == near_truth(texts)
 
 
+def test_near_duplicates_at_the_threshold_are_found(spark):
+    """600 pairs of 0.75 to 0.80, of texts of 12 to 400 words: every one is linked, and none below."""
+    rnd, texts = random.Random(22), []
+    for _ in range(600):
+        n = rnd.randint(12, 400)
+        words = prose(rnd, n).split()
+        # The first words of one text go: of n - 4 shingles, those of the other are what is left.
+        cut = max(1, int((n - 4) * rnd.uniform(0.2, 0.26)))
+        texts += [" ".join(words), " ".join(words[cut:])]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    for k in range(0, len(texts), 2):
+        n, m = len(texts[k].split()) - 4, len(texts[k + 1].split()) - 4
+        assert (got[k + 1] == k) == (100 * m >= 75 * n), (n, m)
+
+
 def test_near_duplicates_edges(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
     rows = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (1, None), (2, "A B C D E F")], "doc_id long, text string")
@@ -306,6 +321,8 @@ def test_toxicity_and_quality_on_held_out_rows(spark):
         held = [k for k in range(400) if zlib.crc32(str(k).encode()) % folds == out]
         assert all(got[k].held_out for k in held)
         assert np.mean([got[k].predicted == marks[k][column] for k in held]) > 0.95
+    odd = labels.unionByName(spark.createDataFrame([(3, 2, 2), (4, -1, 7)], labels.schema))
+    assert toxicity.toxicity(rows, odd).count() == quality.quality(rows, odd).count() == 402
     assert toxicity.toxicity(rows, labels.limit(0)).where("score > 0").count() == 0
     assert {r.score for r in quality.quality(rows, labels.limit(0)).collect()} == {0.5}
     assert toxicity.toxicity(empty(spark), labels).count() == 0 and quality.quality(empty(spark), labels).count() == 0
