@@ -48,3 +48,21 @@ def test_repeated_rows_leave_one(spark):
     rows = spark.createDataFrame([(1, "a b c d e f", "xx", "s", 1, 1)] * 2 + [(None, "a b c d e f", "xx", "s", 1, 1)], DOCS)
     kept = corpus_pipeline.near_dedup(spark, rows, "")
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
+
+
+def test_stages_keep_columns_of_any_name_and_versions_of_a_doc_id(spark):
+    extra = "doc_id long, text string, spans string, hit_key long, key0 int, own0 int, c0 string"
+    text = prose(random.Random(30), 100)
+    rows = spark.createDataFrame([(1, text, "s", 1, 2, 3, "c"), (2, f"{text} tail", "t", 1, 2, 3, None), (2, "another text of one document", None, 1, 2, 3, "c"), (3, None, "u", 1, 2, 3, "c")], extra)
+    kept = corpus_pipeline.near_dedup(spark, rows, "")
+    assert kept.columns == rows.columns
+    # The version that is like document 1 goes, or stays for both; the other one stays.
+    assert sorted(r.text or "" for r in kept.collect() if r.text != text and not (r.text or "").endswith("tail")) == ["", "another text of one document"]
+    assert sum((r.text or "").startswith(text) for r in kept.collect()) == 1
+    cut = corpus_pipeline.suffix_dedup(spark, rows, "")
+    assert cut.columns == rows.columns and sorted((r.spans or "", r.text) for r in cut.collect())[1:] == [("s", ""), ("t", " tail"), ("u", None)]
+    from lociweave.llm.decontam import uncontaminated
+
+    items = spark.createDataFrame([(1, "another text of one document")], "item_id long, text string")
+    clean = uncontaminated(rows, items)
+    assert clean.columns == rows.columns and sorted(r.doc_id for r in clean.collect()) == [1, 2, 3]
