@@ -265,7 +265,7 @@ def test_near_duplicates_are_exact(spark, monkeypatch, block, close):
 
 
 def test_near_duplicates_at_the_threshold_are_found(spark):
-    """600 pairs of 0.75 to 0.80, of texts of 12 to 400 words: every one is linked, and none below."""
+    """600 pairs of 0.74 to 0.80, of texts of 12 to 400 words: just those at the threshold and above are linked."""
     rnd, texts = random.Random(22), []
     for _ in range(600):
         n = rnd.randint(12, 400)
