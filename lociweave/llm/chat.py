@@ -141,8 +141,11 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     order = ["conv_id", "turn", "role", F.xxhash64("text"), "text"]
     placed = rows.repartitionByRange(*order[:4]).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id())
     placed = materialize(placed.withColumn("chunk", F.floor(F.col("seq") / CHUNK)), "turns")
-    matrices = placed.select("conv_id", "chunk", "seq", "role").groupBy("conv_id", "chunk").applyInArrow(_chunk_matrix, "conv_id long, chunk long, matrix array<long>")
-    states = matrices.groupBy("conv_id").applyInArrow(_chunk_states, "conv_id long, chunk long, entry int, exit int, last boolean, cost long")
+    # Roles and matrices are few bytes but much work: a stated number of partitions is not made smaller for its bytes.
+    parts = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    roles = placed.select("conv_id", "chunk", "seq", "role").repartition(parts, "conv_id", "chunk")
+    matrices = roles.groupBy("conv_id", "chunk").applyInArrow(_chunk_matrix, "conv_id long, chunk long, matrix array<long>")
+    states = matrices.repartition(parts, "conv_id").groupBy("conv_id").applyInArrow(_chunk_states, "conv_id long, chunk long, entry int, exit int, last boolean, cost long")
     states = states.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), "entry", "exit", "last", "cost")
     joined = placed.join(states, placed["conv_id"].eqNullSafe(F.col("c")) & (placed["chunk"] == F.col("k"))).drop("c", "k")
     schema = "conv_id long, turn long, seq long, role string, out_role string, action string, inserted int, piece string, cost long"
