@@ -12,6 +12,8 @@ from lociweave.llm.common import mix64
 
 BASE = 0x9E3779B97F4A7C15 | 5
 INVERSE = pow(BASE, -1, 1 << 64)
+#: So many powers stay in a worker's memory; those of longer texts are made when they are needed.
+KEPT_POWERS = 1 << 20
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -35,14 +37,14 @@ def _powers(of: int, size: int) -> np.ndarray:
     return out[:size]
 
 
-@lru_cache(maxsize=4)
-def powers(of: int, size: int) -> np.ndarray:
-    return _powers(of, size)
+@lru_cache(maxsize=2)
+def powers(of: int) -> np.ndarray:
+    return _powers(of, KEPT_POWERS)
 
 
 def powers_of(of: int, size: int) -> np.ndarray:
     """of ** 0, 1, ... modulo 2**64."""
-    return powers(of, 1 << max(16, (size - 1).bit_length()))[:size]
+    return powers(of)[:size] if size <= KEPT_POWERS else _powers(of, size)
 
 
 @lru_cache(maxsize=2)

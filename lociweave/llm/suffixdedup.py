@@ -30,7 +30,9 @@ from lociweave.llm.common import Scratch, mix64, slices
 LENGTH, GRAM = 400, 32
 #: Context lengths, in doubling steps: at the last one a context is past the length.
 STEPS = (25, 50, 100, 200, 400)
-TEXT_SLICE = 2 << 20
+TEXT_SLICE = 1 << 20
+#: Starts of strings that are looked at together.
+BLOCK = 1 << 18
 NO = np.iinfo(np.uint64).max
 #: Columns that tell a document's rows apart.
 KEY = ["id", "mark"]
@@ -46,33 +48,41 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: len(values) - width + 1], ahead[width - 1 : len(values)])
 
 
-def segments_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Row, first string, number of strings, anchor's distance from the first string, anchor hash, content hash."""
+def segments_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, block: int = BLOCK) -> tuple[np.ndarray, ...]:
+    """Row, first string, number of strings, anchor's distance from the first string, anchor hash, content hash.
+
+    Strings are looked at in blocks by where they start, so that a long text costs little more memory than its sums. A
+    segment ends with its block; the two parts of one are segments with the same anchor, whose strings are compared.
+    """
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
         return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
-    hashed = Rolling(data)
-    at = np.arange(len(data) - gram + 1)
+    hashed, strings = Rolling(data), len(data) - length + 1
+    found = [_segments_from(hashed, offsets, low, min(low + block, strings), length, gram) for low in range(0, strings, block)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _segments_from(hashed: Rolling, offsets: np.ndarray, low: int, high: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The segments of the strings that start at low up to high."""
+    at = np.arange(low, high + length - gram)
     grams = hashed(at, at + gram)
     least = sliding_least((grams & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), length - gram + 1)
     anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     # Strings that would cross into the next document are none.
-    whole = np.zeros(len(anchor) + 1, dtype=np.int64)
-    fits = np.diff(offsets) >= length
-    np.add.at(whole, offsets[:-1][fits], 1)
-    np.add.at(whole, offsets[1:][fits] - length + 1, -1)
-    valid = np.cumsum(whole)[:-1] > 0
+    rows = slice(np.searchsorted(offsets, low, side="right") - 1, np.searchsorted(offsets, high))
+    opens, closes = offsets[:-1][rows], offsets[1:][rows]
+    valid = at[: high - low] + length <= np.repeat(closes, np.minimum(closes, high) - np.maximum(opens, low))
     cut = np.append(True, (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1]))
-    cut[offsets[:-1][offsets[:-1] < len(cut)]] = True
+    cut[opens[(opens >= low) & (opens < high)] - low] = True
     first = np.flatnonzero(cut)
     count = np.diff(np.append(first, len(anchor)))
     keep = valid[first]
     first, count = first[keep], count[keep]
-    anchor = anchor[first]
+    anchor, first = anchor[first], first + low
     content = hashed(first, first + count - 1 + length)
     content = mix64(content ^ mix64((anchor - first).astype(np.uint64) * np.uint64(1 << 32) + count.astype(np.uint64)))
     row = np.searchsorted(offsets, first, side="right") - 1
-    return row, first - offsets[row], count, anchor - first, grams[anchor], content
+    return row, first - offsets[row], count, anchor - first, grams[anchor - low], content
 
 
 def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:

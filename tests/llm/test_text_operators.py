@@ -394,3 +394,17 @@ def test_language_scores_equal_a_plain_model(spark):
         mean = np.mean([word(w) for w in words], axis=0)
         odds = 10 ** ((mean - mean.max()) * min(len(words), langid.SCORE_WORDS))
         assert r.lang_pred == ("aa", "bb")[int(np.argmax(mean))] and abs(r.score - 1 / odds.sum()) < 1e-4
+
+
+def test_blocks_of_strings_change_no_anchor():
+    rnd = np.random.default_rng(3)
+    sizes = [0, 900, 39, 40, 1500, 0, 41]
+    data, offsets = rnd.integers(97, 100, sum(sizes)).astype(np.uint8), np.cumsum([0, *sizes])
+
+    def strings(block):
+        found = suffixdedup.segments_of(data, offsets, 40, 8, block)
+        return sorted((r, f + k, f + a, h) for r, f, c, a, h, _ in zip(*(x.tolist() for x in found), strict=True) for k in range(c))
+
+    want = strings(1 << 18)
+    assert len(want) == sum(max(0, n - 39) for n in sizes)
+    assert all(strings(block) == want for block in (1, 7, 64, 1000))
