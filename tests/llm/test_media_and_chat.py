@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lociweave.llm import chat, chroma
@@ -99,3 +100,70 @@ def test_shifted_and_noisy_recordings_align(spark):
     assert (got[2].n_matches, got[2].best_query, got[2].best_offset) == (1, 1, -4) and got[2].best_error < 0.2
     assert got[3].n_matches == 0 and got[5].n_codes == 0 and got[6].n_codes == 0 and got[6].copy_of is None
     assert chroma.aligned(chroma.fingerprints(frame.limit(0))).count() == 0
+
+
+def plain_matches(prints, least_votes=chroma.LEAST_VOTES, most_error=chroma.MOST_ERROR):
+    """(row, query) -> offset and error, by trying all offsets of all pairs."""
+    out = {}
+    for q, x in prints.items():
+        for r, y in prints.items():
+            best = None
+            for o in range(-len(x) + 1, len(y)) if q % 100 == 0 and q != r else ():
+                pairs = [(int(x[k]), int(y[k + o])) for k in range(max(0, -o), min(len(x), len(y) - o))]
+                votes = sum((a & 0xFFFF == b & 0xFFFF) + (a >> 16 == b >> 16) for a, b in pairs)
+                if votes >= least_votes and len(pairs) >= min(chroma.LEAST_OVERLAP, len(x), len(y)):
+                    error = sum((a ^ b).bit_count() for a, b in pairs) / (32 * len(pairs))
+                    best = max(best or (0,), (votes, -abs(o), o, error))
+            if best and best[3] <= most_error:
+                out[r, q] = best[2:]
+    return out
+
+
+@pytest.mark.parametrize("block,at_once", [(1 << 18, 1 << 20), (60, 7)])
+def test_alignment_equals_all_offsets_of_all_pairs(spark, monkeypatch, block, at_once):
+    monkeypatch.setattr(chroma, "BLOCK_CODES", block)
+    monkeypatch.setattr(chroma, "AT_ONCE", at_once)
+    rnd = np.random.default_rng(4)
+    base = [rnd.integers(0, 1 << 32, n, dtype=np.uint32) for n in (40, 25, 30)]
+    base[2][:] = base[2][0]  # one code throughout: every offset gets votes
+    prints = {100 * (k + 1): b for k, b in enumerate(base)}
+    for k in range(12):
+        x = base[k % 3][rnd.integers(0, 8) : rnd.integers(20, 25)].copy()
+        x ^= np.where(rnd.random(len(x)) < 0.5, np.uint32(1) << rnd.integers(0, 32, len(x), dtype=np.uint32), np.uint32(0))
+        prints[k + 1] = np.concatenate([rnd.integers(0, 1 << 32, rnd.integers(0, 9), dtype=np.uint32), x])
+    prints[90], prints[91] = base[0][:1], rnd.integers(0, 1 << 32, 3, dtype=np.uint32)
+    rows = spark.createDataFrame([(k, [int(v) for v in c]) for k, c in prints.items()], "id long, codes array<long>")
+    want, by_row = plain_matches(prints), {}
+    for (r, q), (offset, error) in want.items():
+        by_row.setdefault(r, []).append((error, q, offset))
+    assert len(want) >= 10
+    for g in chroma.aligned(rows).collect():
+        own = by_row.get(g.id, [])
+        assert g.n_matches == len(own)
+        assert (g.best_error, g.best_query, g.best_offset) == (min(own) if own else (None, None, None))
+
+
+def test_recall_of_noisy_recordings():
+    """Of pairs up to the allowed error at no offset, at least 0.9 are found."""
+    rnd, pairs = np.random.default_rng(6), []
+    for k in range(240):
+        v = rnd.normal(0, 1, 64)
+        a = chroma.melody(v)
+        if k % 3 == 0:
+            b = chroma.melody(v + rnd.normal(0, rnd.uniform(0.02, 0.3), 64))
+        elif k % 3 == 1:
+            b = a + rnd.normal(0, rnd.uniform(0.1, 1.5), len(a))
+        else:
+            u = v.copy()
+            some = rnd.choice(64, rnd.integers(1, 14), replace=False)
+            u[some] = rnd.normal(0, 1, len(some))
+            b = chroma.melody(u)
+        x, y = chroma.codes(chroma.chroma(a)), chroma.codes(chroma.chroma(b))
+        if 0 < np.bitwise_count(x ^ y).sum() / (32 * len(x)) <= chroma.MOST_ERROR:
+            pairs.append((x, y))
+    kind = pa.list_(pa.int64())
+    asked = pa.table({"mark": [f"q{k}" for k in range(len(pairs))], "query_id": range(len(pairs)), "codes": pa.array([x.tolist() for x, _ in pairs], kind)})
+    rows = pa.table({"mark": [str(k) for k in range(len(pairs))], "codes": pa.array([y.tolist() for _, y in pairs], kind)})
+    got = chroma.meet(asked, rows, chroma.LEAST_VOTES, chroma.MOST_ERROR).to_pylist()
+    found = {int(g["mark"]) for g in got if int(g["mark"]) == g["query_id"]}
+    assert len(pairs) > 100 and len(found) >= 0.9 * len(pairs)
