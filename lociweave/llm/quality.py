@@ -1,7 +1,8 @@
 """Quality by positive-unlabelled learning with the non-negative unbiased risk estimator (after Kiryo et al., 2017).
 
-Positives are rows marked good, the unlabelled set is a sample of all documents, and the class prior is estimated as
-the share of good rows among the labelled ones. A linear scorer over bounded surface features is fit by gradient
+Positives are rows marked good and the unlabelled set is a sample of all documents; rows marked bad are not used. The
+class prior is estimated from scores that tell positives from unlabelled rows (best-bin estimate, after Garg et al.,
+2021): of all thresholds, the one with the least bound on the ratio of the shares above it. A linear scorer over bounded surface features is fit by gradient
 steps on prior * risk(positives as good) + max(0, risk(unlabelled as bad) - prior * risk(positives as bad)).
 
 Null and empty texts have all features zero and get the score of that point; with no positives every score is 0.5.
@@ -113,6 +114,22 @@ def fit_nonnegative(positive: np.ndarray, unlabelled: np.ndarray, prior: float,
     return model
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, slack: float = 0.01, risk: float = 0.1) -> float:
+    """Share of positives among unlabelled rows; each half is compared by scores fit on the other, the mean counts."""
+    halves = lambda x: (x[::2], x[1::2]) if len(x) > 1 else (x, x)
+    p, u = halves(positive), halves(unlabelled)
+    found = []
+    for fit, held in ((0, 1), (1, 0)):
+        model = fit_nonnegative(p[fit], u[fit], 0.5)
+        at_p, at_u = np.sort(model.scores(p[held])), np.sort(model.scores(u[held]))
+        above_p = 1 - np.searchsorted(at_p, at_p, side="left") / len(at_p)
+        above_u = 1 - np.searchsorted(at_u, at_p, side="left") / len(at_u)
+        doubt = (1 + slack) * sum(np.sqrt(np.log(4 / risk) / (2 * len(x))) for x in (at_p, at_u))
+        best = int(np.argmin((above_u + doubt) / above_p))
+        found.append(above_u[best] / above_p[best])
+    return float(np.clip(np.mean(found), 0.001, 0.999))
+
+
 def _collected(rows: DataFrame) -> np.ndarray:
     """Features of a bounded sample."""
 
@@ -130,13 +147,11 @@ def _sampled(rows: DataFrame, most: int, seed: int) -> DataFrame:
 
 def fit_quality(docs: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel | None:
     """docs: doc_id, text, the unlabelled set; labelled: doc_id, text, label of the rows to learn from."""
-    n, good = labelled.agg(F.count("label"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    if not good:
-        return None
-    prior = min(good / n, 0.999)
     positive = _collected(_sampled(labelled.where("label = 1"), train_rows, 3))
+    if not len(positive):
+        return None
     unlabelled = _collected(_sampled(docs, train_rows, 4))
-    return fit_nonnegative(positive, unlabelled, prior)
+    return fit_nonnegative(positive, unlabelled, class_prior(positive, unlabelled))
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.5) -> DataFrame:

@@ -349,6 +349,16 @@ def test_nonnegative_risk_separates():
     assert (model.scores(good) > 0.5).mean() > 0.93 and (model.scores(bad) < 0.5).mean() > 0.85
 
 
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_class_prior_is_estimated_from_unlabelled_scores(share):
+    rnd = np.random.default_rng(7)
+    n = int(4000 * share)
+    unlabelled = rnd.permutation(np.concatenate([rnd.normal(1, 1, (n, 3)), rnd.normal(-2, 1, (4000 - n, 3))]))
+    assert abs(quality.class_prior(rnd.normal(1, 1, (2000, 3)), unlabelled) - share) < 0.05
+    one = np.ones((1, 3))
+    assert 0 < quality.class_prior(one, one) < 1
+
+
 def test_language_keeps_rare_languages_and_bounds_samples(spark):
     """A language of one row in 200 keeps its entries beside a frequent one; null doc_ids are sampled like others."""
     rnd = random.Random(20)
