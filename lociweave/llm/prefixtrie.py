@@ -324,10 +324,10 @@ def prefix_trie(paths: DataFrame, ids: DataFrame, segment: int = SEGMENT, scratc
     last = rows.groupBy("conv_id").agg(F.max(F.struct("depth", "d1", "d2")).alias("x")).select("conv_id", "x.d1", "x.d2")
     ends = ids.join(last, "conv_id", "left").select(F.coalesce("d1", zero).alias("d1"), F.coalesce("d2", zero).alias("d2"), "conv_id")
     ended = endings(ends)
-    top = root.select(F.col("conv_id").alias("top"), F.lit(0).alias("k"))
+    top = root.select("conv_id").first()
     parents = below.where("n_children > 0").select(F.col("d1").alias("p1"), F.col("d2").alias("p2"), F.col("conv_id").alias("parent_conv_id"))
-    # Only the root lacks a parent's row here and below the first level; a hot parent's children are split by skew handling.
-    first = nodes.where("depth <= 1").join(F.broadcast(top), F.col("depth") == F.col("k") + 1, "left").select(*nodes.columns, F.col("top").alias("parent_conv_id"))
+    # The root's children take its conv_id as a value; those of another hot parent are split by skew handling.
+    first = nodes.where("depth <= 1").select(*nodes.columns, F.when(F.col("depth") == 1, F.lit(top.conv_id if top else None).cast("long")).alias("parent_conv_id"))
     deeper = nodes.where("depth > 1").join(parents, ["p1", "p2"]).select(*nodes.columns, "parent_conv_id")
     whole = first.unionByName(deeper).join(sums, ["d1", "d2"], "left").join(ended, ["d1", "d2"], "left")
     empty = hashlib.sha256(b"").hexdigest()
