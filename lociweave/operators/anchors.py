@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.functions.sequences import outside_gene, present_in_all, rank_key, same_side
+from lociweave.operators.numbering import row_numbers
+
+#: Anchors of a word that one task makes together.
+TOGETHER = 1 << 14
 
 
 def by_sequence(occurrences: DataFrame) -> DataFrame:
@@ -20,20 +24,23 @@ def anchor_counts(occurrences: DataFrame) -> DataFrame:
     return sizes.select("family_id", "word", F.aggregate("sizes", F.lit(1).cast("long"), lambda p, n: p * n).alias("n_anchors"))
 
 
-def product(lists: Column) -> Column:
-    """Every choice of one element of each list, the first list varying fastest; a null list gives a null."""
-    start = F.expr("array(cast(array() as array<int>))")
-    return F.aggregate(
-        lists,
-        start,
-        lambda done, own: F.flatten(F.transform(F.coalesce(own, F.expr("array(cast(null as int))")), lambda p: F.transform(done, lambda d: F.concat(d, F.array(p))))),
-    )
+def unranked(lists: Column, ordinal: Column) -> Column:
+    """The choice with this ordinal of one element of each list, the first list varying fastest; a null list gives a null."""
+    start = F.struct(ordinal.alias("left"), F.expr("cast(array() as array<int>)").alias("done"))
+
+    def digit(state: Column, own: Column) -> Column:
+        n = F.greatest(F.coalesce(F.size(own), F.lit(1)), F.lit(1)).cast("long")
+        pick = F.get(own, (state["left"] % n).cast("int"))
+        return F.struct(F.floor(state["left"] / n).cast("long").alias("left"), F.array_append(state["done"], pick).alias("done"))
+
+    return F.aggregate(lists, start, digit, lambda s: s["done"])
 
 
-def anchors(occurrences: DataFrame, sizes: DataFrame, all_sequences: bool = True) -> DataFrame:
+def anchors(occurrences: DataFrame, sizes: DataFrame, all_sequences: bool = True, together: int = TOGETHER) -> DataFrame:
     """family_id, word, len, ordinal, pos: the products of the positions of each word.
 
     sizes: family_id, n (sequences). With all_sequences, words that miss one are dropped before anything is multiplied.
+    Ordinals are dealt over tasks in ranges of `together`, and each is turned into its positions by div and mod.
     """
     each = by_sequence(occurrences)
     lists = each.groupBy("family_id", "word", "len").agg(F.map_from_entries(F.collect_list(F.struct("seq_idx", "positions"))).alias("m"))
@@ -41,13 +48,19 @@ def anchors(occurrences: DataFrame, sizes: DataFrame, all_sequences: bool = True
     if all_sequences:
         lists = lists.where(F.size("m") == F.col("n"))
     ordered = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.try_element_at(F.col("m"), i))
-    return lists.select("family_id", "word", "len", F.posexplode(product(ordered)).alias("ordinal", "pos"))
+    count = F.aggregate("lists", F.lit(1).cast("long"), lambda p, own: p * F.greatest(F.coalesce(F.size(own), F.lit(1)), F.lit(1)))
+    rows = lists.select("family_id", "word", "len", ordered.alias("lists")).withColumn("count", count)
+    parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / together))))
+    parts = parts.repartition("family_id", "word", "part")
+    last = F.least((F.col("part") + 1) * together, "count") - 1
+    dealt = parts.select("family_id", "word", "len", "lists", F.explode(F.sequence(F.col("part") * together, last)).alias("ordinal"))
+    return dealt.select("family_id", "word", "len", "ordinal", unranked(F.col("lists"), F.col("ordinal")).alias("pos"))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
     """rows with row_id: words in alphabet order, extensions first, then the product's order."""
-    order = Window.partitionBy("family_id").orderBy(rank_key(F.col("word")), "ordinal")
-    return rows.withColumn("row_id", F.row_number().over(order).cast("long"))
+    keyed = rows.withColumn("_key", rank_key(F.col("word")))
+    return row_numbers(keyed, ["family_id"], ["_key", "ordinal"], "row_id").drop("_key")
 
 
 def gene_arrays(genes: DataFrame) -> DataFrame:
@@ -72,7 +85,7 @@ def dedup_longest(rows: DataFrame) -> DataFrame:
 
 
 def serials(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("serial", F.row_number().over(Window.partitionBy("family_id").orderBy("row_id")))
+    return row_numbers(rows, ["family_id"], ["row_id"], "serial")
 
 
 def funnel(rows: DataFrame, bounds: DataFrame) -> DataFrame:

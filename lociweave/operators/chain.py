@@ -6,18 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.functions.sequences import gap_inconsistency, precedes, spread
+from lociweave.operators import blocks
+from lociweave.operators.blocks import edges
 
-#: Families of more anchors are chained by chain_large.
-LARGE = 3000
-
+__all__ = ["all_chains", "best_chains", "chain_large", "degrees", "edges", "heaviest_chain", "longest_chains", "scores"]
 
-def edges(anchors: DataFrame, use_length: bool = True, gaps: bool = False) -> DataFrame:
-    """family_id, src, dst, weight (length of dst) for each pair of anchors in strict order in all sequences; with gaps, gap too."""
-    a = anchors.select("family_id", F.col("row_id").alias("src"), F.col("pos").alias("a"), F.col("len").alias("a_len"))
-    b = anchors.select("family_id", F.col("row_id").alias("dst"), F.col("pos").alias("b"), F.col("len").alias("weight"))
-    length = F.col("a_len") if use_length else F.lit(0)
-    more = [gap_inconsistency(F.col("b"), F.col("a")).alias("gap")] if gaps else []
-    return a.join(b, "family_id").where((F.col("a")[0] < F.col("b")[0]) & precedes(F.col("a"), length, F.col("b"))).select("family_id", "src", "dst", "weight", *more)
+#: Families of more anchors are chained in blocks.
+LARGE = 3000
 
 
 def degrees(anchors: DataFrame, graph: DataFrame) -> DataFrame:
@@ -111,11 +106,14 @@ def chain_large(anchors: DataFrame) -> DataFrame:
 
 
 def best_chains(anchors: DataFrame, large: int = LARGE) -> DataFrame:
-    """heaviest_chain for families of up to `large` anchors, chain_large for the others."""
+    """heaviest_chain for families of up to `large` anchors; those of more are chained block by block, with the same result."""
     sizes = anchors.groupBy("family_id").agg(F.count("*").alias("n"))
-    sized = anchors.join(sizes, "family_id")
-    kind = {f.name: F.col(f.name).cast(f.dataType) for f in heaviest_chain(anchors).schema.fields}
-    return heaviest_chain(sized.where(F.col("n") <= large).drop("n")).unionByName(chain_large(sized.where(F.col("n") > large).drop("n")).select(*kind.values()))
+    wide = sizes.where(F.col("n") > large).select("family_id")
+    small = heaviest_chain(anchors.join(wide, "family_id", "left_anti"))
+    if wide.isEmpty():
+        return small
+    kind = [F.col(f.name).cast(f.dataType) for f in small.schema.fields]
+    return small.unionByName(blocks.chain(anchors.join(wide, "family_id", "left_semi")).select(*kind))
 
 
 def all_chains(anchors: DataFrame, use_length: bool = False) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Maximal repeats of sequence families by K-mer shuffles and neighbours in suffix order.
+"""Maximal repeats of sequence families by K-mer shuffles, neighbours in suffix order, and doubled classes.
 
-Every repeat of at least K symbols lies within one (family, K-mer) group, so that is the only shuffle key. Within a
-group, the repeats are the common prefixes of neighbours in suffix order. Suffixes are cut at the first N, where
-repeats end anyway, and at `width`; if a common prefix reaches the width, the step is redone with a wider cut.
+Suffixes are cut at the first N, where repeats end anyway, and at `width` symbols. Equal cuts are counted first, so that
+copies and runs of one symbol meet as one row each; repeats shorter than the width are then the common prefixes of
+neighbours among the different cuts of a (family, K-mer). Where they occur is found through the cuts as well: a start
+asks only for the prefixes that its neighbours share with it. Longer repeats are found by operators.longrepeats, from
+classes of equal strings of doubling length: they are (sequence, start, length) until they have passed all filters.
 
 Strict mode takes each sequence as a text of its own, with boundaries that match nothing. Literal mode takes a
 family's sequences as one text with "#" behind each, lets repeats run across, and splits them there afterwards.
@@ -14,9 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.functions.sequences import ambiguous
-from lociweave.operators.storage import settled
+from lociweave.operators.longrepeats import long_repeats
+from lociweave.operators.storage import released, settled
 
-WIDTH, CHUNK, SHORT = 256, 512, 16
+#: Symbols of a suffix that are compared as a string; a power of two.
+WIDTH = 32
+#: Symbols of a piece of text, and pieces that stay together when texts are dealt out.
+CHUNK, TOGETHER = 64, 256
+SHORT = 16
 
 
 def check_k(k: int) -> None:
@@ -25,18 +32,21 @@ def check_k(k: int) -> None:
 
 
 def windows(texts: DataFrame, k: int, width: int) -> DataFrame:
-    """family_id, seq_idx, pos (1-based), before (the symbol before; "^" at the start) and raw, up to width symbols, for each start of k symbols.
+    """family_id, seq_idx, pos (1-based), before (the symbol before; "^" at the start), left (symbols from here to the end) and raw, up to width symbols, for each start of k symbols.
 
-    Texts are split into chunks once, and a chunk is read with what follows it, so that each start costs a short substring.
+    Texts are split into short pieces once, and each piece is read with what follows it, so that a start costs a short
+    substring. Pieces are dealt out by their place: a long text, or a file of one row group, is no single task.
     """
     check_k(k)
     split = texts.where(F.length("bases") >= k).select("family_id", "seq_idx", F.length("bases").alias("n"), F.regexp_extract_all("bases", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("chunks"))
     ahead = 1 + -(-width // CHUNK)
     part = lambda c: F.concat(F.when(c == 0, "^").otherwise(F.right(F.try_element_at("chunks", c), F.lit(1))), F.array_join(F.slice("chunks", c + 1, ahead), ""))
     chunks = split.select("family_id", "seq_idx", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - k) / CHUNK).cast("int")), part)).alias("c", "part"))
+    chunks = chunks.repartition("family_id", "seq_idx", F.floor(F.col("c") / TOGETHER))
     last = F.least(F.lit(CHUNK), F.col("n") - k + 1 - F.col("c") * CHUNK)
-    starts = chunks.select("family_id", "seq_idx", "c", "part", F.explode(F.sequence(F.lit(1), last.cast("int"))).alias("i"))
-    return starts.select("family_id", "seq_idx", (F.col("c") * CHUNK + F.col("i")).cast("int").alias("pos"), F.substring("part", F.col("i"), F.lit(1)).alias("before"), F.substring("part", F.col("i") + 1, F.lit(width)).alias("raw"))
+    starts = chunks.select("family_id", "seq_idx", "n", "c", "part", F.explode(F.sequence(F.lit(1), last.cast("int"))).alias("i"))
+    pos = (F.col("c") * CHUNK + F.col("i")).cast("int")
+    return starts.select("family_id", "seq_idx", pos.alias("pos"), F.substring("part", F.col("i"), F.lit(1)).alias("before"), (F.col("n") - pos + 1).alias("left"), F.substring("part", F.col("i") + 1, F.lit(width)).alias("raw"))
 
 
 def kmers(texts: DataFrame, k: int, keep_ambiguous: bool = False) -> DataFrame:
@@ -56,13 +66,22 @@ def suffixes(texts: DataFrame, k: int, width: int = WIDTH) -> DataFrame:
     return rows.select("family_id", "seq_idx", "pos", "kmer", prev.alias("prev"), cut.alias("suffix"))
 
 
-def neighbour_prefixes(starts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """starts with lcp, the common prefix with the suffix before in sorted order of the same K-mer (null at the first).
+def width_for(k: int, width: int = WIDTH) -> int:
+    """The width in symbols, a power of two above K."""
+    return max(width, 1 << k.bit_length())
 
-    Any order of the symbols gives neighbours the same common prefixes, so the plain one is taken.
+
+def cuts(starts: DataFrame, width: int) -> DataFrame:
+    """A row for each different cut suffix of a family: n, first (its least seq_idx and pos), lcp with the one before in order, and most.
+
+    most: up to how many symbols another start agrees with those of this cut, below the width. Any order of the symbols
+    gives neighbours the same common prefixes, so the plain one is taken.
     """
-    order = Window.partitionBy("family_id", "kmer").orderBy("suffix", "seq_idx", "pos")
-    return starts.withColumn("neighbour", F.lag("suffix").over(order)).withColumn("lcp", common_prefix("suffix", "neighbour", width)).drop("neighbour")
+    each = starts.groupBy("family_id", "kmer", "suffix").agg(F.count("*").alias("n"), F.min(F.struct("seq_idx", "pos")).alias("first"))
+    order = Window.partitionBy("family_id", "kmer").orderBy("suffix")
+    near = each.withColumn("neighbour", F.lag("suffix").over(order)).withColumn("lcp", F.coalesce(common_prefix("suffix", "neighbour", width), F.lit(0))).drop("neighbour")
+    own = F.when((F.col("n") > 1) & (F.length("suffix") < width), F.length("suffix")).otherwise(0)
+    return near.withColumn("most", F.greatest("lcp", F.coalesce(F.lead("lcp").over(order), F.lit(0)), own))
 
 
 def common_prefix(a: str, b: str, width: int) -> Column:
@@ -80,23 +99,76 @@ def common_prefix(a: str, b: str, width: int) -> Column:
     return F.when(F.col(b).isNotNull(), F.when(F.substring(a, 1, SHORT) == F.substring(b, 1, SHORT), steps(width)).otherwise(steps(SHORT)))
 
 
-def right_maximal(texts: DataFrame, k: int, width: int = WIDTH) -> DataFrame:
-    """family_id, kmer, word, len: the distinct words of at least k symbols at which occurrences part."""
-    while True:
-        found = neighbour_prefixes(suffixes(texts, k, width), width).where(F.col("lcp") >= k)
-        words = found.select("family_id", "kmer", F.expr("substring(suffix, 1, lcp)").alias("word"), F.col("lcp").alias("len")).distinct().where(~ambiguous(F.col("word")))
-        words = settled(words)
-        if words.agg(F.max("len")).first()[0] in (None, *range(width)):
-            return words
-        width *= 4
-
-
-def occurrences(words: DataFrame, starts: DataFrame) -> DataFrame:
-    """Where each word occurs, with the symbols before and behind it; sequence boundaries are symbols of their own."""
-    joined = words.join(starts, ["family_id", "kmer"]).where(F.expr("substring(suffix, 1, len) = word"))
+def short_words(cut: DataFrame, k: int, width: int) -> DataFrame:
+    """family_id, kmer, word, len: the words below the width at which occurrences part; ends of sequences part from all."""
+    parted = cut.where(F.col("lcp") >= k).select("family_id", "kmer", F.expr("substring(suffix, 1, lcp)").alias("word"))
+    ended = cut.where((F.col("n") > 1) & (F.length("suffix") < width)).select("family_id", "kmer", F.col("suffix").alias("word"))
+    return parted.unionByName(ended).distinct().where(~ambiguous(F.col("word"))).withColumn("len", F.length("word"))
+
+
+def short_occurrences(words: DataFrame, cut: DataFrame, starts: DataFrame, k: int) -> DataFrame:
+    """Where each short word occurs, with the symbols before and behind it; sequence boundaries are symbols of their own.
+
+    Every cut asks for those of its prefixes that a neighbour shares: the join is on words, and grows with its result.
+    """
+    asked = cut.where(F.col("most") >= k).select("family_id", "suffix", F.explode(F.sequence(F.lit(k), "most")).alias("len"))
+    asked = asked.withColumn("word", F.expr("substring(suffix, 1, len)"))
+    known = asked.join(words.select("family_id", "word"), ["family_id", "word"], "left_semi").groupBy("family_id", "suffix").agg(F.collect_list("len").alias("lens"))
+    at = starts.join(known, ["family_id", "suffix"]).select("family_id", "suffix", "seq_idx", "pos", "prev", F.explode("lens").alias("len"))
     behind = F.expr("substring(suffix, len + 1, 1)")
     end = F.concat(F.lit("#"), F.col("seq_idx").cast("string"))
-    return joined.select("family_id", "word", "len", "seq_idx", "pos", "prev", F.when(behind == "", end).otherwise(behind).alias("next"))
+    return at.select("family_id", F.expr("substring(suffix, 1, len)").alias("word"), "len", "seq_idx", "pos", "prev", F.when(behind == "", end).otherwise(behind).alias("next"))
+
+
+def marked_words(texts: DataFrame, k: int, width: int = WIDTH) -> DataFrame:
+    """Where the right-maximal words occur: family_id, word, len, seq_idx, pos, prev and next. Long words are marks, for spelled()."""
+    width = width_for(k, width)
+    starts = suffixes(texts, k, width)
+    cut = settled(cuts(starts, width))
+    words = short_words(cut, k, width)
+    found = short_occurrences(words, cut, starts, k)
+    shared = cut.where((F.col("n") > 1) & (F.length("suffix") == width) & ~F.contains("suffix", F.lit("N"))).select("family_id", "suffix", "first")
+    if shared.isEmpty():
+        out = settled(found)
+    else:
+        members = starts.join(shared, ["family_id", "suffix"]).select("family_id", "seq_idx", "pos", "prev", "first")
+        symbols = windows(texts, 1, width // 2)
+        long = long_repeats(members, symbols, width)
+        out = settled(found.unionByName(long))
+        released(long)
+    released(cut)
+    return out
+
+
+def spelled(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows with their long words as text, read once for each different one."""
+    mark = F.col("word").startswith("=")
+    part = F.split(F.substring("word", 2, 64), ":")
+    marks = rows.where(mark).select("family_id", "word").distinct()
+    marks = marks.select("family_id", "word", *(part[k].cast("int").alias(c) for k, c in enumerate(("seq_idx", "pos", "size"))))
+    text = marks.join(texts.select("family_id", "seq_idx", "bases"), ["family_id", "seq_idx"]).select("family_id", "word", F.expr("substring(bases, pos, size)").alias("text"))
+    return rows.join(text, ["family_id", "word"], "left").withColumn("word", F.coalesce("text", "word")).select(rows.columns)
+
+
+def found_words(texts: DataFrame, k: int, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """The right-maximal words (family_id, word, len), and where they occur, as text."""
+    found = spelled(marked_words(texts, k, width), texts)
+    return found.select("family_id", "word", "len").distinct(), found
+
+
+def right_maximal(texts: DataFrame, k: int, width: int = WIDTH) -> DataFrame:
+    """family_id, kmer, word, len: the distinct words of at least k symbols at which occurrences part."""
+    width = width_for(k, width)
+    starts = suffixes(texts, k, width)
+    cut = settled(cuts(starts, width))
+    words = short_words(cut, k, width)
+    shared = cut.where((F.col("n") > 1) & (F.length("suffix") == width) & ~F.contains("suffix", F.lit("N"))).select("family_id", "suffix", "first")
+    if shared.isEmpty():
+        return words
+    members = starts.join(shared, ["family_id", "suffix"]).select("family_id", "seq_idx", "pos", "prev", "first")
+    long = long_repeats(members, windows(texts, 1, width // 2), width).select("family_id", "word", "len").distinct()
+    long = spelled(long, texts).select("family_id", F.substring("word", 1, k).alias("kmer"), "word", "len")
+    return words.unionByName(long)
 
 
 def left_diverse(occurring: DataFrame) -> DataFrame:
@@ -113,20 +185,16 @@ def subsumed(occurring: DataFrame, words: DataFrame, literal: bool = False) -> D
     return by_next.join(words, ["family_id", "word", "prevs"]).select("family_id", "word").distinct()
 
 
-def found_words(texts: DataFrame, k: int, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """The right-maximal words and where they occur; suffixes are as wide as the longest word and the symbol behind it."""
-    words = right_maximal(texts, k, width)
-    width = max(width, (words.agg(F.max("len")).first()[0] or 0) + 2)
-    return words, settled(occurrences(words, suffixes(texts, k, width)))
-
-
 def maximal_repeats(texts: DataFrame, k: int, suppress_subsumed: bool = True, width: int = WIDTH) -> DataFrame:
     """Occurrences (family_id, word, len, seq_idx, pos) of the repeats that neither side extends."""
-    found = found_words(texts, k, width)[1]
+    found = marked_words(texts, k, width)
     kept = left_diverse(found)
     if suppress_subsumed:
         kept = kept.join(subsumed(found, kept), ["family_id", "word"], "left_anti")
-    return found.join(kept.select("family_id", "word"), ["family_id", "word"], "left_semi").select("family_id", "word", "len", "seq_idx", "pos")
+    rows = found.join(kept.select("family_id", "word"), ["family_id", "word"], "left_semi")
+    out = settled(spelled(rows, texts).select("family_id", "word", "len", "seq_idx", "pos"))
+    released(found)
+    return out
 
 
 def boundary_split(words: DataFrame, k: int, literal: bool = False) -> DataFrame:

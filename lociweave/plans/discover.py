@@ -71,13 +71,11 @@ def literal_anchors(texts: DataFrame, frames: DataFrame, k: int) -> DataFrame:
     one = F.struct("seq_idx", "bases")
     whole = texts.groupBy("family_id").agg(F.sort_array(F.collect_list(one)).alias("s"))
     joined = whole.select("family_id", F.lit(0).alias("seq_idx"), F.concat(F.array_join(F.transform("s", lambda x: F.concat(x["bases"], F.lit("#"))), ""), F.lit("$")).alias("bases"))
-    words = R.right_maximal(joined, k)
-    width = (words.agg(F.max("len")).first()[0] or 0) + 2
-    starts = R.suffixes(joined, k, max(width, R.WIDTH)).withColumn("prev", F.when(F.col("prev").startswith("^"), "$").otherwise(F.col("prev")))
-    found = settled(R.occurrences(words, starts))
+    found = R.marked_words(joined, k).withColumn("prev", F.when(F.col("prev").startswith("^"), "$").otherwise(F.col("prev")))
     kept = R.left_diverse(found)
     kept = kept.join(R.subsumed(found, kept, literal=True), ["family_id", "word"], "left_anti").select("family_id", "word")
-    halves = R.boundary_split(kept, k, literal=True)
+    found = settled(R.spelled(found.join(kept, ["family_id", "word"], "left_semi"), joined))
+    halves = R.boundary_split(found.select("family_id", "word").distinct(), k, literal=True)
     at = X.global_starts(texts.select("family_id", "seq_idx", (F.col("len") + 1).alias("len"))).select("family_id", "seq_idx", "start", F.col("len").alias("room"))
     placed = halves.join(found.select("family_id", "word", "pos"), ["family_id", "word"]).withColumn("at", F.col("pos") + F.col("shift"))
     placed = placed.join(at, "family_id").where((F.col("at") > F.col("start")) & (F.col("at") <= F.col("start") + F.col("room")))

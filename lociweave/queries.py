@@ -16,6 +16,7 @@ from lociweave.operators import anchors as A
 from lociweave.operators import chain as C
 from lociweave.operators import coordinates as X
 from lociweave.operators import repeats as R
+from lociweave.operators.numbering import row_numbers
 from lociweave.operators.storage import settled
 from lociweave.plans import discover as P
 from lociweave.sources import fasta, writers
@@ -109,7 +110,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     texts = texts_of(families(spark, sf_dir))
-    return R.found_words(texts, K)
+    return texts, R.marked_words(texts, K)
 
 
 def _repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,13 +239,14 @@ def right_maximal(spark, sf_dir):
 
 @query("left_diverse", "SELECT family_id, word, prevs FROM diverse", FAMILY[:8])
 def left_diverse(spark, sf_dir):
-    return R.left_diverse(_found(spark, sf_dir)[1])
+    texts, found = _found(spark, sf_dir)
+    return R.spelled(R.left_diverse(found), texts)
 
 
 @query("subsumed_repeat", "SELECT family_id, word FROM subsumed", FAMILY[:9])
 def subsumed_repeat(spark, sf_dir):
-    found = _found(spark, sf_dir)[1]
-    return R.subsumed(found, R.left_diverse(found))
+    texts, found = _found(spark, sf_dir)
+    return R.spelled(R.subsumed(found, R.left_diverse(found)), texts)
 
 
 @query("maximal_repeats", "SELECT family_id, word, count(*) AS n_occurrences FROM repeats GROUP BY ALL", FAMILY)
@@ -284,10 +286,8 @@ def boundary_split(spark, sf_dir):
 
 @query("rank_key_sort", "SELECT family_id, word, row_number() OVER (PARTITION BY family_id ORDER BY concat(translate(word, '$ACGNT#', '0123456'), '7')) AS rank FROM words", FAMILY[:6])
 def rank_key_sort(spark, sf_dir):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("family_id").orderBy(S.rank_key(F.col("word")))
-    return R.right_maximal(texts_of(families(spark, sf_dir)), K).select("family_id", "word", F.row_number().over(order).cast("long").alias("rank"))
+    words = R.right_maximal(texts_of(families(spark, sf_dir)), K).withColumn("_key", S.rank_key(F.col("word")))
+    return row_numbers(words, ["family_id"], ["_key"], "rank").select("family_id", "word", "rank")
 
 
 @query("repeat_occurrences", "SELECT family_id, word, CAST(seq_idx AS BIGINT) AS seq_idx, CAST(pos AS BIGINT) AS pos FROM repeats", FAMILY)
