@@ -21,7 +21,7 @@ from lociweave.operators.storage import released, settled
 
 #: Symbols of a suffix that are compared as a string; a power of two.
 WIDTH = 32
-#: Symbols of a piece of text, and pieces that stay together when texts are dealt out.
+#: Symbols of a chunk of text, and chunks that stay together when texts are dealt out.
 CHUNK, TOGETHER = 64, 256
 SHORT = 16
 
@@ -31,21 +31,34 @@ def check_k(k: int) -> None:
         raise ValueError("K must be a whole number above 0")
 
 
+def _split(text: Column | str, size: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def _before(parts: str, index: Column, edge: Column) -> Column:
+    """The symbol before a part: the last one of the part before, or edge."""
+    return F.when(index == 0, edge).otherwise(F.right(F.try_element_at(parts, index), F.lit(1)))
+
+
 def windows(texts: DataFrame, k: int, width: int) -> DataFrame:
     """family_id, seq_idx, pos (1-based), before (the symbol before; "^" at the start), left (symbols from here to the end) and raw, up to width symbols, for each start of k symbols.
 
-    Texts are split into short pieces once, and each piece is read with what follows it, so that a start costs a short
-    substring. Pieces are dealt out by their place: a long text, or a file of one row group, is no single task.
+    Texts are split into pieces, which are dealt out by their place: a long text, or a file of one row group, is no single
+    task. There they are split into short chunks, each read with what follows it, so that a start costs a short substring.
     """
     check_k(k)
-    split = texts.where(F.length("bases") >= k).select("family_id", "seq_idx", F.length("bases").alias("n"), F.regexp_extract_all("bases", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("chunks"))
-    ahead = 1 + -(-width // CHUNK)
-    part = lambda c: F.concat(F.when(c == 0, "^").otherwise(F.right(F.try_element_at("chunks", c), F.lit(1))), F.array_join(F.slice("chunks", c + 1, ahead), ""))
-    chunks = split.select("family_id", "seq_idx", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - k) / CHUNK).cast("int")), part)).alias("c", "part"))
-    chunks = chunks.repartition("family_id", "seq_idx", F.floor(F.col("c") / TOGETHER))
-    last = F.least(F.lit(CHUNK), F.col("n") - k + 1 - F.col("c") * CHUNK)
-    starts = chunks.select("family_id", "seq_idx", "n", "c", "part", F.explode(F.sequence(F.lit(1), last.cast("int"))).alias("i"))
-    pos = (F.col("c") * CHUNK + F.col("i")).cast("int")
+    size = CHUNK * TOGETHER
+    split = texts.where(F.length("bases") >= k).select("family_id", "seq_idx", F.length("bases").alias("n"), _split("bases", size).alias("pieces"))
+    piece = lambda c: F.concat(_before("pieces", c, F.lit("^")), F.try_element_at("pieces", c + 1), F.left(F.array_join(F.slice("pieces", c + 2, -(-width // size)), ""), F.lit(width)))
+    pieces = split.select("family_id", "seq_idx", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - k) / size).cast("int")), piece)).alias("c", "piece"))
+    pieces = pieces.repartition("family_id", "seq_idx", "c")
+    last = F.least(F.lit(size), F.col("n") - k + 1 - F.col("c") * size)
+    fine = pieces.select("family_id", "seq_idx", "n", (F.col("c") * size).alias("base"), last.alias("last"), F.left("piece", F.lit(1)).alias("edge"), _split(F.substring("piece", 2, size + width), CHUNK).alias("chunks"))
+    chunk = lambda f: F.concat(_before("chunks", f, F.col("edge")), F.array_join(F.slice("chunks", f + 1, 1 + -(-width // CHUNK)), ""))
+    chunks = fine.select("family_id", "seq_idx", "n", "base", "last", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr(f"(last - 1) div {CHUNK}").cast("int")), chunk)).alias("f", "part"))
+    own = F.least(F.lit(CHUNK), F.col("last") - F.col("f") * CHUNK)
+    starts = chunks.select("family_id", "seq_idx", "n", "base", "f", "part", F.explode(F.sequence(F.lit(1), own.cast("int"))).alias("i"))
+    pos = (F.col("base") + F.col("f") * CHUNK + F.col("i")).cast("int")
     return starts.select("family_id", "seq_idx", pos.alias("pos"), F.substring("part", F.col("i"), F.lit(1)).alias("before"), (F.col("n") - pos + 1).alias("left"), F.substring("part", F.col("i") + 1, F.lit(width)).alias("raw"))
 
 
