@@ -217,7 +217,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 def with_spans(docs: DataFrame, length: int) -> DataFrame:
     """docs (columns id, mark, text and others) with a column spans of sorted, merged starts and stops."""
     spans = repeated_spans(docs.select("id", "mark", "text"), length)
-    by_document = spans.groupBy("id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    # A set: rows that are repeated as a whole bring the same spans once each.
+    by_document = spans.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     return docs.join(by_document.hint("shuffle_hash"), KEY, "left")
 
 
