@@ -1,10 +1,12 @@
 """Sequence packing: first-fit decreasing over a tournament tree of bin capacities, in random groups of documents.
 
 A document's ids (and a closing id) are cut into pieces of the capacity; the rest of each document goes, with its
-ids, to one of many groups by a hash of its id and text. Within a group, rests are packed first-fit decreasing; what
-stays free in the bins is then filled with cuts from the emptiest bins, and the one bin that is left over is cut at
-powers of two, where sequences need no padding. Groups hold about GROUP_DOCS documents at every input size, so
-no task grows with the input.
+ids, to one of many groups by a hash of its id and text, of the input partition, and of how many rows with such a hash
+that partition has had before, in batches of a sixteenth of a group: repeated rows are dealt over the groups like others.
+Within a group, rests are packed first-fit decreasing; what stays free in the bins is then filled with cuts from the
+emptiest bins, and the one bin that is left over is cut at powers of two, where sequences need no padding. Groups hold
+about GROUP_DOCS documents at every input size, so no task grows with the input. Input partitions must come in the same
+order when a task is run again, as those of a scan do.
 
 A null text is an empty one: its only id is the closing id. Repeated rows are packed one by one, a null doc_id stays
 null, an empty table gives an empty result, columns beyond doc_id and text are ignored. Ties in size are packed in
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import slices, text_of
+from lociweave.llm.common import mix64, slices, text_of
 
 #: Documents of a group, about; free places of a bin below which no further document is cut to fill it.
 GROUP_DOCS, LEAST_CUT = 4096, 8
@@ -73,6 +75,25 @@ def encode(text: str, path: str, pattern: str) -> list[int]:
     return library(path).encode(text, add_special_tokens=False).ids
 
 
+class Dealer:
+    """Groups for rows by their hashes: rows that share one go to another group after every so many."""
+
+    def __init__(self, partition: int, groups: int, together: int):
+        self.partition, self.groups, self.together = np.uint64(partition), np.uint64(groups), together
+        self.seen = np.zeros(1 << 20, dtype=np.int64)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        bucket = (hashes % np.uint64(len(self.seen))).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        own, first, count = np.unique(bucket[order], return_index=True, return_counts=True)
+        before = np.empty(len(bucket), dtype=np.int64)
+        before[order] = np.arange(len(bucket)) - np.repeat(first, count)
+        turn = (self.seen[bucket] + before) // self.together
+        self.seen[own] += count
+        with np.errstate(over="ignore"):
+            return (mix64(hashes + mix64(turn.astype(np.uint64) + (self.partition << np.uint64(32)))) % self.groups).astype(np.int64)
+
+
 class Bins:
     """First-fit bins: a tournament tree whose inner nodes hold the largest capacity below them."""
 
@@ -150,6 +171,9 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = 102
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("hash"), "text")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        deal = Dealer(TaskContext.get().partitionId(), groups, max(1, group_docs // 16))
         for batch in slices(batches, limit=4 << 20):
             full, rest, totals = [], [], []
             for text in text_of(batch):
@@ -159,9 +183,8 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = 102
                 rest.append(ids[whole:].astype("<u2").tobytes())
                 totals.append(len(ids))
             hashes = batch.column("hash")
-            group = np.asarray(hashes).view(np.uint64) % np.uint64(groups)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(group.astype(np.int64)), batch.column("doc_id"), hashes, pa.array(totals, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.binary())],
+                [pa.array(deal(np.asarray(hashes).view(np.uint64))), batch.column("doc_id"), hashes, pa.array(totals, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.binary())],
                 ["part", "doc_id", "hash", "total", "full", "rest"],
             )
 
