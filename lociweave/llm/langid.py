@@ -202,10 +202,15 @@ def recognised(docs: DataFrame, least_score: float = 0.35) -> DataFrame:
     model = fit_language_model(docs.where(fold("doc_id", 4) != 2))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    names = docs.columns
+    inner = [f"c{k}" for k in range(len(names))]  # names may hold dots, or be those of this function
+    at = inner[names.index("text")]
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in slices(batches):
-            found = [scorer.text(t) for t in text_of(batch)]
+        for batch in slices(batches, at):
+            found = [scorer.text(t) for t in text_of(batch, at)]
             yield batch.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in found], pa.bool_()))
 
-    return docs.mapInArrow(step, docs.schema)
+    asked = docs.select(*(F.col(f"`{c}`").alias(i) for i, c in zip(inner, names, strict=True)))
+    return asked.mapInArrow(step, asked.schema).toDF(*names)

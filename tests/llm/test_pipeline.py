@@ -66,3 +66,17 @@ def test_stages_keep_columns_of_any_name_and_versions_of_a_doc_id(spark):
     items = spark.createDataFrame([(1, "another text of one document")], "item_id long, text string")
     clean = uncontaminated(rows, items)
     assert clean.columns == rows.columns and sorted(r.doc_id for r in clean.collect()) == [1, 2, 3]
+
+
+def test_stages_take_names_with_dots_and_empty_tables(spark, tmp_path):
+    extra = "doc_id long, text string, lang string, `a.b` int, c0 string, score int, lang_pred string"
+    text = prose(random.Random(31), 100)
+    rows = spark.createDataFrame([(k, f"{text} {k}" if k < 3 else prose(random.Random(k), 60), "xx", k, "c", 1, "yy") for k in range(8)] + [(9, None, None, 1, None, None, None)], extra)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    for docs in (rows, rows.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            docs = stage(spark, docs, f"file://{tmp_path}")
+            assert docs.columns == rows.columns
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+        packed = corpus_pipeline.STAGES[4][1](spark, docs, f"file://{tmp_path}")
+        assert packed.select("doc_id").distinct().count() == docs.count()

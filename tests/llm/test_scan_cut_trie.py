@@ -208,3 +208,26 @@ def test_openings_are_carried_over_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert sorted((r.conv_id, r.p) for r in got) == [(c, t) for c, t, *_ in rows]
     assert {r.n_base for r in got if r.conv_id > 40} == {3}
+
+
+def test_packing_deals_repeated_rows_over_groups(spark):
+    """20,000 equal rows and groups of 1,000: none holds more than twice as many; and all rows are packed."""
+    import public_tokenizers
+
+    from lociweave.llm import packing
+
+    rows = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same short text").alias("text"))
+    found = packing.pack_documents(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, group_docs=1000)
+    groups = found.where("start = 0").groupBy(F.floor(F.col("sequence_id") / packing.GROUP_IDS)).count().collect()
+    assert sum(r["count"] for r in groups) == 20_000 and max(r["count"] for r in groups) <= 2000
+
+
+def test_repeated_rows_bring_their_spans_once(spark):
+    from lociweave.llm import suffixdedup
+
+    text = "".join(random.Random(4).choice("abcdefgh ") for _ in range(900))
+    rows = spark.createDataFrame([(None, text)] * 100, "doc_id long, text string")
+    spans = suffixdedup.with_spans(suffixdedup._keyed(rows, "text"), 400).select(F.size("spans").alias("n")).collect()
+    assert len(spans) == 100 and max(r.n for r in spans) <= 900
+    got = {(r.n_bytes, r.n_removed, r.n_spans) for r in suffixdedup.suffix_dedup(rows).collect()}
+    assert got == {(900, 900, 1)}
