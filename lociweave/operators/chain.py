@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.functions.sequences import gap_inconsistency, precedes, spread
 from lociweave.operators import blocks
 from lociweave.operators.blocks import edges
+from lociweave.operators.storage import released, settled
 
-__all__ = ["all_chains", "best_chains", "chain_large", "degrees", "edges", "heaviest_chain", "longest_chains", "scores"]
+__all__ = ["all_chains", "best_chains", "chain_counts", "chain_large", "degrees", "edges", "heaviest_chain", "longest_chains", "scores"]
 
 #: Families of more anchors are chained in blocks.
 LARGE = 3000
@@ -116,25 +119,88 @@ def best_chains(anchors: DataFrame, large: int = LARGE) -> DataFrame:
     return small.unionByName(blocks.chain(anchors.join(wide, "family_id", "left_semi")).select(*kind))
 
 
-def all_chains(anchors: DataFrame, use_length: bool = False) -> DataFrame:
-    """family_id, path (row_ids), size and weight of every chain that nothing extends. Grows exponentially: for small families."""
-    empty = F.expr("cast(array() as array<struct<path:array<bigint>,last:struct<row_id:bigint,len:bigint,pos:array<bigint>>,weight:bigint>>)")
-    span = (lambda d: d["len"]) if use_length else (lambda d: F.lit(0))
-    typed = F.transform("rows", lambda x: F.struct(x["row_id"].cast("bigint").alias("row_id"), x["len"].cast("bigint").alias("len"), x["pos"].cast("array<bigint>").alias("pos")))
-    base = _gathered(anchors).select("family_id", typed.alias("rows"))
-    rows = F.col("rows")
-    # Only steps that skip no anchor in between are taken, so each chain is maximal.
-    before = lambda a, b: precedes(a["pos"], span(a), b["pos"])
-    direct = lambda a, b: before(a, b) & ~F.exists(rows, lambda m: before(a, m) & before(m, b))
+def direct_edges(graph: DataFrame) -> DataFrame:
+    """The edges that skip no anchor in between."""
+    a = graph.select("family_id", F.col("src").alias("a"), F.col("dst").alias("b"))
+    b = graph.select("family_id", F.col("src").alias("b"), F.col("dst").alias("c"))
+    skipping = a.join(b, ["family_id", "b"]).select("family_id", F.col("a").alias("src"), F.col("c").alias("dst")).distinct()
+    return graph.join(skipping, ["family_id", "src", "dst"], "left_anti")
+
+
+class Order:
+    """A family's order graph for walks: its direct edges, the anchors that nothing precedes, and those that nothing follows."""
+
+    def __init__(self, anchors: DataFrame, use_length: bool):
+        self.graph = settled(edges(anchors, use_length))
+        self.direct = settled(direct_edges(self.graph).select("family_id", "src", "dst", "weight"))
+        rows = anchors.select("family_id", F.col("row_id").cast("long").alias("row_id"), F.col("len").cast("long").alias("len"))
+        keys = ["family_id", "row_id"]
+        self.first = settled(rows.join(self.graph.select("family_id", F.col("dst").alias("row_id")).distinct(), keys, "left_anti"))
+        self.last = settled(rows.select(*keys).join(self.graph.select("family_id", F.col("src").alias("row_id")).distinct(), keys, "left_anti"))
+
+    def drop(self) -> None:
+        released(self.graph, self.direct, self.first, self.last)
+
+
+def _walk(order: Order, front: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of all rounds whose row_id nothing follows. front: family_id, row_id and what step keeps; a round for each anchor of the longest chain."""
+    edge = order.direct.select("family_id", F.col("src").alias("row_id"), F.col("dst"), F.col("weight").alias("more"))
+    done, rounds = [], []
+    front = settled(front)
+    while not front.isEmpty():
+        rounds.append(front)
+        done.append(front.join(order.last, ["family_id", "row_id"], "left_semi"))
+        front = settled(step(front.join(edge, ["family_id", "row_id"])))
+    released(front)
+    if not done:
+        return front.limit(0)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    out = settled(out)
+    released(*rounds)
+    return out
 
-    def add(done: Column, x: Column) -> Column:
-        longer = F.transform(F.filter(done, lambda d: direct(d["last"], x)), lambda d: F.struct(F.array_append(d["path"], x["row_id"]).alias("path"), x.alias("last"), (d["weight"] + x["len"]).alias("weight")))
-        first = F.array(F.struct(F.array(x["row_id"]).alias("path"), x.alias("last"), x["len"].alias("weight")))
-        return F.concat(done, longer, F.when(F.exists(rows, lambda m: before(m, x)), F.slice(first, 1, 0)).otherwise(first))
 
-    chains = F.filter(F.aggregate(rows, empty, add), lambda d: ~F.exists(rows, lambda m: before(d["last"], m)))
-    out = base.select("family_id", F.explode(chains).alias("c"))
-    return out.select("family_id", F.col("c.path").alias("path"), F.size("c.path").alias("size"), F.col("c.weight").alias("weight"))
+def chain_counts(anchors: DataFrame, use_length: bool = False, order: Order | None = None) -> DataFrame:
+    """family_id, n_chains (decimal) and longest (anchors) of the chains that nothing extends, from counts: no chain is listed."""
+    own = order or Order(anchors, use_length)
+    whole = lambda c: c.cast("decimal(38,0)")
+    front = own.first.select("family_id", "row_id", whole(F.lit(1)).alias("n"), F.lit(1).alias("size"))
+
+    def step(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("family_id", F.col("dst").alias("row_id"), (F.col("size") + 1).alias("size")).agg(whole(F.sum("n")).alias("n"))
+
+    ends = _walk(own, front, step)
+    out = ends.groupBy("family_id").agg(whole(F.sum("n")).alias("n_chains"), F.max("size").alias("longest"))
+    if order is None:
+        own.drop()
+    return out
+
+
+#: Chains of one family that all_chains lists, at most.
+MOST_CHAINS = 10_000_000
+
+
+def all_chains(anchors: DataFrame, use_length: bool = False, most: int = MOST_CHAINS) -> DataFrame:
+    """family_id, path (row_ids), size and weight of every chain that nothing extends.
+
+    Their number can be exponential, so it is counted first: a family with more than `most` is an error, not a cut list.
+    Chains are rows that grow by an anchor a round, so a family's are spread over tasks.
+    """
+    order = Order(anchors, use_length)
+    many = chain_counts(anchors, use_length, order).where(F.col("n_chains") > most).first()
+    if many:
+        order.drop()
+        raise ValueError(f"family {many.family_id} has {many.n_chains} chains, more than {most}")
+    front = order.first.select("family_id", "row_id", F.array("row_id").alias("path"), F.col("len").alias("weight"))
+
+    def step(rows: DataFrame) -> DataFrame:
+        return rows.select("family_id", F.col("dst").alias("row_id"), F.array_append("path", F.col("dst")).alias("path"), (F.col("weight") + F.col("more")).alias("weight"))
+
+    out = _walk(order, front, step).select("family_id", "path", F.size("path").alias("size"), "weight")
+    order.drop()
+    return out
 
 
 def longest_chains(chains: DataFrame) -> DataFrame:

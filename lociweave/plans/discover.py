@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lociweave.functions.sequences import normalize, oriented, outside_gene, present_in_all, rank_key, same_side
@@ -50,12 +50,39 @@ def sided(found: DataFrame, frames: DataFrame) -> DataFrame:
     return joined.withColumn("side", (F.col("pos") > F.col("high")).cast("int")).drop("low", "high")
 
 
-def strict_anchors(texts: DataFrame, frames: DataFrame, k: int, suppress_subsumed: bool = True, test_end: bool = False) -> DataFrame:
-    """family_id, row_id, word, len, pos: what passes all filters. Each filter comes before the products where it can."""
+class Diagnostics:
+    """Counts that are taken while tables are written, and read once they are: no table is read a second time for them."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, Observation] = {}
+
+    def last(self, rows: DataFrame, name: str, *values: Column) -> DataFrame:
+        """rows, with their number and the given aggregates under name. They are taken by the first write of rows."""
+        self.seen[name] = Observation(name)
+        return rows.observe(self.seen[name], F.count(F.lit(1)).alias("rows"), *values)
+
+    def watch(self, rows: DataFrame, name: str, *values: Column) -> DataFrame:
+        """The same for rows that are read again: they are written once here, as a plan that reads rows twice would count twice."""
+        return settled(self.last(rows, name, *values))
+
+    def read(self) -> dict[str, dict]:
+        """By name. Only what has been written or collected by now can be read."""
+        return {name: seen.get for name, seen in self.seen.items()}
+
+
+def strict_anchors(texts: DataFrame, frames: DataFrame, k: int, suppress_subsumed: bool = True, test_end: bool = False, repeats: DataFrame | None = None, diagnostics: Diagnostics | None = None) -> DataFrame:
+    """family_id, row_id, word, len, pos: what passes all filters. Each filter comes before the products where it can.
+
+    repeats: the maximal repeats, where they are there already; those of a lower K hold all of a higher one.
+    """
+    watch = diagnostics.watch if diagnostics else lambda rows, *_: rows
     sizes = texts.groupBy("family_id").agg(F.count("*").cast("int").alias("n"))
-    found = sided(R.maximal_repeats(texts, k, suppress_subsumed), frames)
+    repeats = R.maximal_repeats(texts, k, suppress_subsumed) if repeats is None else repeats.where(F.col("len") >= k)
+    repeats = watch(repeats, "repeats", F.max("len").alias("longest"))
+    found = watch(sided(repeats, frames), "outside_genes")
     by_side = found.select("family_id", F.concat_ws("/", "word", "side").alias("word"), "len", "seq_idx", "pos")
     rows = A.anchors(by_side, sizes).withColumns({"side": F.substring_index("word", "/", -1).cast("int"), "word": F.substring_index("word", "/", 1)})
+    rows = watch(rows, "anchors")
     rows = A.numbered(rows.withColumn("ordinal", F.col("side").cast("long") * (1 << 40) + F.col("ordinal")))
     if test_end:
         bounds = A.gene_arrays(frames)
@@ -78,7 +105,7 @@ def literal_anchors(texts: DataFrame, frames: DataFrame, k: int) -> DataFrame:
     halves = R.boundary_split(found.select("family_id", "word").distinct(), k, literal=True)
     at = X.global_starts(texts.select("family_id", "seq_idx", (F.col("len") + 1).alias("len"))).select("family_id", "seq_idx", "start", F.col("len").alias("room"))
     placed = halves.join(found.select("family_id", "word", "pos"), ["family_id", "word"]).withColumn("at", F.col("pos") + F.col("shift"))
-    placed = placed.join(at, "family_id").where((F.col("at") > F.col("start")) & (F.col("at") <= F.col("start") + F.col("room")))
+    placed = X.local_positions(placed, at)
     local = placed.select("family_id", F.concat_ws("/", "word", "side", "part").alias("word"), F.length("part").alias("len"), "seq_idx", X.literal_position((F.col("at") - F.col("start")).cast("int"), F.col("seq_idx")).alias("pos"))
     sizes = texts.groupBy("family_id").agg(F.count("*").cast("int").alias("n"))
     rows = A.anchors(local, sizes, all_sequences=False).withColumn("pos", F.transform("pos", lambda x: F.coalesce(x, F.lit(0))))
@@ -104,33 +131,51 @@ def literal_dedup(all_rows: DataFrame, kept: DataFrame) -> DataFrame:
     return kept.join(doomed, ["family_id", "row_id"], "left_anti").select(kept.columns)
 
 
-def discover(sequences: DataFrame, genes: DataFrame, k: int, mode: str = "strict", suppress_subsumed: bool = True, test_end: bool = False, soft_mask: bool = True) -> dict[str, DataFrame]:
-    """anchors, mem (deduplicated), chain and cns of all families in one job."""
+def discover(sequences: DataFrame, genes: DataFrame, k: int, mode: str = "strict", suppress_subsumed: bool = True, test_end: bool = False, soft_mask: bool = True, repeats: DataFrame | None = None, diagnostics: Diagnostics | None = None) -> dict[str, DataFrame]:
+    """anchors, mem (deduplicated), chain and cns of all families in one job.
+
+    With diagnostics, sequences, repeats, occurrences outside genes, anchors, mem and cns are counted while they pass.
+    """
     R.check_k(k)
     if mode not in ("strict", "literal"):
         raise ValueError("mode is strict or literal")
+    watch = diagnostics.watch if diagnostics else lambda rows, *_: rows
+    sequences = watch(sequences, "sequences", F.sum("len").alias("symbols"), F.max("len").alias("longest"))
     texts = prepared(sequences, genes, soft_mask)
     frames = X.gene_frames(texts, genes)
     if mode == "strict":
         check(sequences, genes)
-        rows = strict_anchors(texts, frames, k, suppress_subsumed, test_end)
+        rows = strict_anchors(texts, frames, k, suppress_subsumed, test_end, repeats, diagnostics)
         mem = A.dedup_longest(rows)
     else:
-        every = literal_anchors(texts, frames, k)
+        every = watch(literal_anchors(texts, frames, k), "anchors")
         rows = literal_filtered(every, frames)
         mem = literal_dedup(every, rows)
     chain = C.best_chains(rows)
     words = rows.select("family_id", "row_id", "word")
     cns = X.absolute(chain.join(words, ["family_id", "row_id"]), frames, literal=mode == "literal")
-    return {"anchors": rows, "mem": mem, "chain": chain, "cns": cns, "texts": texts, "frames": frames}
+    last = diagnostics.last if diagnostics else watch
+    return {"anchors": rows, "mem": last(mem, "mem"), "chain": chain, "cns": last(cns, "cns"), "texts": texts, "frames": frames}
+
+
+def shared_repeats(sequences: DataFrame, genes: DataFrame, ks: list[int], suppress_subsumed: bool = True, soft_mask: bool = True) -> DataFrame:
+    """The maximal repeats of the least K, which hold those of all others: whether a repeat is maximal does not depend on K."""
+    if not ks:
+        raise ValueError("no K given")
+    return R.maximal_repeats(prepared(sequences, genes, soft_mask), min(ks), suppress_subsumed)
 
 
 def discover_many(sequences: DataFrame, genes: DataFrame, ks: list[int], **options) -> DataFrame:
-    """cns of several K, each on its own."""
+    """cns of several K. In strict mode repeats are found once, for the least of them."""
+    if not ks:
+        raise ValueError("no K given")
+    for k in ks:
+        R.check_k(k)
+    repeats = None
+    if options.get("mode", "strict") == "strict":
+        repeats = shared_repeats(sequences, genes, ks, options.get("suppress_subsumed", True), options.get("soft_mask", True))
     out = None
     for k in ks:
-        own = discover(sequences, genes, k, **options)["cns"].withColumn("k", F.lit(k))
+        own = discover(sequences, genes, k, repeats=repeats, **options)["cns"].withColumn("k", F.lit(k))
         out = own if out is None else out.unionByName(own)
-    if out is None:
-        raise ValueError("no K given")
     return out

@@ -200,6 +200,25 @@ def position_map(spark, sf_dir):
     return X.global_starts(texts_of(families(spark, sf_dir)).select("family_id", "seq_idx", "len")).select("family_id", "seq_idx", "start", "len")
 
 
+@query("record_offsets", "SELECT family_id, seq_idx, concat('seq', doc_id) AS name, CAST(coalesce(sum(length(bases) + 1) OVER (PARTITION BY family_id ORDER BY seq_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length(bases) + 1 AS room FROM fam", ("fam",))
+def record_offsets(spark, sf_dir):
+    fam = families(spark, sf_dir)
+    return fasta.record_offsets(fam.select("family_id", "seq_idx", F.concat(F.lit("seq"), F.col("doc_id").cast("string")).alias("name"), F.length("bases").alias("len")))
+
+
+@query(
+    "global_to_local",
+    """SELECT p.family_id, p.at, s.seq_idx, p.at - s.start AS pos FROM (SELECT family_id, CAST(unnest([start + 1, start + (len + 1) // 2, start + len]) AS BIGINT) AS at FROM starts WHERE len > 0) AS p
+      JOIN starts AS s ON p.family_id = s.family_id AND p.at > s.start AND p.at <= s.start + s.len""",
+    ("fam", "starts AS (SELECT family_id, seq_idx, length(bases) AS len, CAST(coalesce(sum(length(bases)) OVER (PARTITION BY family_id ORDER BY seq_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM fam)"),
+)
+def global_to_local(spark, sf_dir):
+    """The first, middle and last position of each sequence, as positions of its family's whole text, and back."""
+    at = X.global_starts(texts_of(families(spark, sf_dir)).select("family_id", "seq_idx", "len")).withColumn("room", F.col("len"))
+    asked = at.where("len > 0").select("family_id", F.explode(F.array(F.col("start") + 1, F.expr("start + (len + 1) div 2"), F.col("start") + F.col("len"))).alias("at"))
+    return X.local_positions(asked, at).select("family_id", "at", "seq_idx", (F.col("at") - F.col("start")).alias("pos"))
+
+
 @query("cns_header", "SELECT family_id, list(concat('gene', doc_id)[1:2] ORDER BY seq_idx) AS labels FROM fam GROUP BY family_id", ("fam",))
 def cns_header(spark, sf_dir):
     return writers.labels(genes_of(families(spark, sf_dir)), 2)
@@ -483,6 +502,12 @@ def longest_chains(spark, sf_dir):
     return C.longest_chains(C.all_chains(items(spark, sf_dir)))
 
 
+@query("chain_counts", "SELECT family_id, CAST(count(*) AS BIGINT) AS n_chains, max(size) AS longest FROM chains GROUP BY family_id", ("items", "legacy", MAXIMAL), recursive=True)
+def chain_counts(spark, sf_dir):
+    """How many chains each family has, without listing any."""
+    return C.chain_counts(items(spark, sf_dir)).select("family_id", F.col("n_chains").cast("long").alias("n_chains"), "longest")
+
+
 @query("path_lines", "SELECT family_id, array_to_string(path, '-') AS line FROM chains", ("items", "legacy", MAXIMAL), recursive=True)
 def path_lines(spark, sf_dir):
     return C.all_chains(items(spark, sf_dir)).select("family_id", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("line"))

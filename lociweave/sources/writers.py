@@ -73,6 +73,11 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.repartition("family_id").sortWithinPartitions("family_id", "place").select("family_id", "line").write.partitionBy("family_id").text(path)
 
 
+def write_offsets(rows: DataFrame, path: str) -> None:
+    """name, start and room of each record of a family's texts put one behind the other."""
+    write_table(rows.select("family_id", "seq_idx", "name", "start", "room"), path, ["seq_idx"])
+
+
 def write_tracks(rows: DataFrame, path: str) -> None:
     """kind, seq_idx, start, stop: genes behind the matches of each sequence."""
     rows.repartition("family_id").sortWithinPartitions("family_id", "seq_idx", F.desc("kind"), "start").write.partitionBy("family_id").csv(path, header=True)
