@@ -3,9 +3,11 @@
 Texts are sequences of units: a word that occurs twice in the learned rows, else its longest such prefix (so that words
 met once give prefixes their counts), else one unit for the rest. Each class has bigram counts that back off, with
 absolute discounting, to the class's continuation counts (distinct predecessors of a unit) and from there to
-continuation counts that both classes share; the shared ones are taken over all documents. A unit's
+continuation counts that both classes share; the shared ones are taken over all documents. Rare units and rare bigrams
+lean further on what they back off to, in log space, and each conditional distribution is then normalised to sum to one.
+How far they lean is chosen among LEANS by folds of learned rows that the counts have not seen, never by others. A unit's
 evidence is its log-likelihood in the toxic model less that in the ordinary one. A text's length-normalised evidence,
-and that of its most toxic units, give its score by a logistic curve fit on rows that the counts have not seen.
+and that of its most toxic units, give its score by a logistic curve fit on those same unseen rows.
 
 Null and empty texts have no evidence and get the curve's value at zero; if no toxic row can be learned from, all
 scores are 0. Labels other than 0 and 1 are none; of several labels of a doc_id the largest holds. Repeated rows each
@@ -34,8 +36,8 @@ LONGEST_PREFIX = 12
 #: Distinct pairs that a task holds before it hands them on.
 PAIRS_HELD = 4_000_000
 DISCOUNT = 0.75
-#: Occurrences at which a unit's or bigram's own counts weigh as much as what it backs off to.
-LEAN = 8.0
+#: Occurrences at which a unit's or bigram's own counts weigh as much as what it backs off to: what is tried.
+LEANS = (2.0, 8.0, 32.0)
 #: So many of a text's most toxic expressions are looked at; evidence that counts as strong.
 TOP, STRONG = (1, 3, 8), 2.0
 CACHE_ENTRIES = 400_000
@@ -213,34 +215,85 @@ def fit_toxicity(labelled: DataFrame, docs: DataFrame, train_rows: int = TRAIN_R
         return model
     shared = _corpus_continuations(docs, names)
     shared = shared / shared.sum()
-    less = np.maximum(continued - DISCOUNT, 0)
-    unit = (less + (continued.sum(axis=1) - less.sum(axis=1))[:, None] * shared) / continued.sum(axis=1)[:, None]
-    # Rare units lean on the shared counts, whatever their class.
-    sure = counts.sum(axis=0) / (counts.sum(axis=0) + LEAN)
-    unit = sure * unit + (1 - sure) * shared
-    # What known bigrams leave goes to the backoff.
-    model.keys, at = np.unique(pair, return_inverse=True)
-    p, witnesses, left = np.zeros((2, len(model.keys))), np.zeros(len(model.keys)), np.ones((2, size))
-    own = (n - DISCOUNT) / before[label, pair // size]
-    p[label, at] = own
-    np.add.at(witnesses, at, n)
-    np.subtract.at(left, (label, pair // size), own)
-    left = np.maximum(left, 1e-6)
-    backoff = unit[:, model.keys % size]
-    sure = witnesses / (witnesses + LEAN)
-    # Rare bigrams and rare predecessors lean on what they back off to.
-    p += left[:, model.keys // size] * backoff
-    seen = before.sum(axis=0)
-    model.unit, model.after = np.log(unit[1] / unit[0]), seen / (seen + LEAN) * np.log(left[1] / left[0])
-    model.bigram = (sure * np.log(p[1] / p[0]) + (1 - sure) * (model.unit[model.keys % size] + model.after[model.keys // size])).astype(np.float32)
-    del found, label, pair, n, at, own, p, backoff, sure, witnesses
-    scored, shared = _features(rest.select("label", "text"), model, ["label"])
-    rows = scored.collect()  # a third of the bounded sample
-    shared.destroy()  # its copies lie on every executor's disk
-    y = np.array([r.label for r in rows], dtype=float)
-    if len(set(y)) == 2:
-        model.curve = _logistic(np.array([r.features for r in rows]), y)
-    return model
+    table = Counts(names, label, pair, n, continued, before, shared)
+    del found, label, pair, n
+    best = None
+    for lean in LEANS:
+        tried = table.model(lean)
+        scored, sent = _features(rest.select("label", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(2)).cast("int").alias("half"), "text"), tried, ["label", "half"])
+        rows = scored.collect()  # a third of the bounded sample
+        sent.destroy()  # its copies lie on every executor's disk
+        x, y, half = np.array([r.features for r in rows]).reshape(len(rows), -1), np.array([r.label for r in rows], dtype=float), np.array([r.half for r in rows], dtype=int)
+        if len(set(y)) < 2:
+            return tried
+        loss = _crossed(x, y, half)
+        if best is None or loss < best[0]:
+            tried.curve = _logistic(x, y)
+            best = (loss, tried)
+    return best[1]
+
+
+def _crossed(x: np.ndarray, y: np.ndarray, half: np.ndarray) -> float:
+    """Log loss of each half under the curve of the other one."""
+    loss = 0.0
+    for k in (0, 1):
+        own, other = half == k, half != k
+        if own.any() and len(set(y[other])) == 2:
+            w = _logistic(x[other], y[other])
+            p = np.clip(1 / (1 + np.exp(-np.clip(w[0] + x[own] @ w[1:], -30, 30))), 1e-6, 1 - 1e-6)
+            loss -= float((y[own] * np.log(p) + (1 - y[own]) * np.log(1 - p)).sum())
+    return loss
+
+
+@dataclass
+class Counts:
+    """What the classes' models are made from: bigrams by class, and continuation counts of the classes and of all documents."""
+
+    names: list[str]
+    label: np.ndarray
+    pair: np.ndarray
+    n: np.ndarray
+    continued: np.ndarray
+    before: np.ndarray
+    shared: np.ndarray
+
+    def backoff(self, lean: float) -> np.ndarray:
+        """By class, each unit's probability from distinct predecessors; what discounts leave goes to the shared counts, on which rare units lean."""
+        less = np.maximum(self.continued - DISCOUNT, 0)
+        total = self.continued.sum(axis=1)[:, None]
+        own = (less + (total - less.sum(axis=1)[:, None]) * self.shared) / total
+        seen = np.bincount(self.pair % (len(self.names) + 1), weights=self.n, minlength=len(self.names) + 1)
+        sure = seen / (seen + lean)
+        unit = sure * own + (1 - sure) * self.shared
+        return unit / unit.sum(axis=1)[:, None]
+
+    def distributions(self, lean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Known bigrams (keys), their probabilities by class, and by class and predecessor what is left for the backoff; the backoff."""
+        unit, size = self.backoff(lean), len(self.names) + 1
+        keys, at = np.unique(self.pair, return_inverse=True)
+        v, w = keys // size, keys % size
+        own, left = np.zeros((2, len(keys))), np.ones((2, size))
+        share = (self.n - DISCOUNT) / self.before[self.label, self.pair // size]
+        own[self.label, at] = share
+        np.subtract.at(left, (self.label, self.pair // size), share)
+        left = np.maximum(left, 1e-6)
+        own += left[:, v] * unit[:, w]
+        # Rare predecessors and rare bigrams lean on the backoff.
+        seen, witnesses = self.before.sum(axis=0), np.bincount(at, weights=self.n, minlength=len(keys))
+        left **= seen / (seen + lean)
+        sure = witnesses / (witnesses + lean)
+        p = own**sure * (left[:, v] * unit[:, w]) ** (1 - sure)
+        for c in (0, 1):
+            known = np.bincount(v, weights=p[c], minlength=size)
+            whole = known + left[c] * (1 - np.bincount(v, weights=unit[c, w], minlength=size))
+            p[c] /= whole[v]
+            left[c] /= whole
+        return keys, p, left, unit
+
+    def model(self, lean: float) -> ToxicityModel:
+        keys, p, left, unit = self.distributions(lean)
+        bigram = np.log(p[1] / p[0]).astype(np.float32)
+        return ToxicityModel(self.names, np.log(unit[1] / unit[0]), np.log(left[1] / left[0]), keys, bigram)
 
 
 def _features(rows: DataFrame, model: ToxicityModel, keep: list[str]) -> tuple[DataFrame, Broadcast]:

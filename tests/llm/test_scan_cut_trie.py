@@ -231,3 +231,31 @@ def test_repeated_rows_bring_their_spans_once(spark):
     assert len(spans) == 100 and max(r.n for r in spans) <= 900
     got = {(r.n_bytes, r.n_removed, r.n_spans) for r in suffixdedup.suffix_dedup(rows).collect()}
     assert got == {(900, 900, 1)}
+
+
+def test_toxicity_distributions_sum_to_one():
+    """Over all units, behind each predecessor, in both classes and for each lean; and a bigram's evidence is their ratio."""
+    from lociweave.llm.toxicity import Counts
+
+    rnd = np.random.default_rng(6)
+    size, rows = 9, 60
+    key = np.unique(np.stack([rnd.integers(0, 2, rows), rnd.integers(0, size * size, rows)], axis=1), axis=0)
+    label, pair = key[:, 0], key[:, 1]
+    n = rnd.integers(1, 6, len(pair))
+    continued, before = np.zeros((2, size)), np.zeros((2, size))
+    np.add.at(continued, (label, pair % size), 1)
+    np.add.at(before, (label, pair // size), n)
+    shared = rnd.random(size)
+    table = Counts([f"u{k}" for k in range(1, size)], label, pair, n, continued, before, shared / shared.sum())
+    for lean in (0.5, 8.0):
+        keys, p, left, unit = table.distributions(lean)
+        model = table.model(lean)
+        for v in range(size):
+            whole = left[:, v, None] * unit
+            own = keys // size == v
+            whole[:, keys[own] % size] = p[:, own]
+            assert np.allclose(whole.sum(axis=1), 1)
+            for w in range(size):
+                at = np.flatnonzero(keys == v * size + w)
+                evidence = model.bigram[at[0]] if len(at) else model.unit[w] + model.after[v]
+                assert np.isclose(evidence, np.log(whole[1, w] / whole[0, w]), atol=1e-5)
