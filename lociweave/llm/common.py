@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -85,8 +86,22 @@ def text_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def tidy() -> None:
+    """Give memory that a worker no longer uses back to the system: workers live on from one stage to the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about limit bytes of text and at most `rows` rows, or a single row."""
+    tidy()
+    yield from _slices(batches, column, limit, rows)
+    tidy()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, limit: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
