@@ -145,19 +145,19 @@ class Order:
 def _walk(order: Order, front: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows of all rounds whose row_id nothing follows. front: family_id, row_id and what step keeps; a round for each anchor of the longest chain."""
     edge = order.direct.select("family_id", F.col("src").alias("row_id"), F.col("dst"), F.col("weight").alias("more"))
-    done, rounds = [], []
+
+    rounds = []
     front = settled(front)
     while not front.isEmpty():
         rounds.append(front)
-        done.append(front.join(order.last, ["family_id", "row_id"], "left_semi"))
         front = settled(step(front.join(edge, ["family_id", "row_id"])))
+    if not rounds:
+        return front
     released(front)
-    if not done:
-        return front.limit(0)
-    out = done[0]
-    for more in done[1:]:
+    out = rounds[0]
+    for more in rounds[1:]:
         out = out.unionByName(more)
-    out = settled(out)
+    out = settled(out.join(order.last, ["family_id", "row_id"], "left_semi"))
     released(*rounds)
     return out
 

@@ -54,20 +54,21 @@ class Diagnostics:
     """Counts that are taken while tables are written, and read once they are: no table is read a second time for them."""
 
     def __init__(self) -> None:
-        self.seen: dict[str, Observation] = {}
-
-    def last(self, rows: DataFrame, name: str, *values: Column) -> DataFrame:
-        """rows, with their number and the given aggregates under name. They are taken by the first write of rows."""
-        self.seen[name] = Observation(name)
-        return rows.observe(self.seen[name], F.count(F.lit(1)).alias("rows"), *values)
+        self.seen: dict[str, Observation | None] = {}
 
     def watch(self, rows: DataFrame, name: str, *values: Column) -> DataFrame:
-        """The same for rows that are read again: they are written once here, as a plan that reads rows twice would count twice."""
-        return settled(self.last(rows, name, *values))
+        """rows, written here once, with their number and the given aggregates under name.
+
+        A plan that reads rows twice would count them twice, and one that is found to be empty counts nothing: such a table has 0 rows.
+        """
+        seen = Observation(name)
+        out = settled(rows.observe(seen, F.count(F.lit(1)).alias("rows"), *values))
+        self.seen[name] = None if out.isEmpty() else seen
+        return out
 
     def read(self) -> dict[str, dict]:
-        """By name. Only what has been written or collected by now can be read."""
-        return {name: seen.get for name, seen in self.seen.items()}
+        """The counts of all tables, by name."""
+        return {name: {"rows": 0} if seen is None else seen.get for name, seen in self.seen.items()}
 
 
 def strict_anchors(texts: DataFrame, frames: DataFrame, k: int, suppress_subsumed: bool = True, test_end: bool = False, repeats: DataFrame | None = None, diagnostics: Diagnostics | None = None) -> DataFrame:
@@ -154,8 +155,7 @@ def discover(sequences: DataFrame, genes: DataFrame, k: int, mode: str = "strict
     chain = C.best_chains(rows)
     words = rows.select("family_id", "row_id", "word")
     cns = X.absolute(chain.join(words, ["family_id", "row_id"]), frames, literal=mode == "literal")
-    last = diagnostics.last if diagnostics else watch
-    return {"anchors": rows, "mem": last(mem, "mem"), "chain": chain, "cns": last(cns, "cns"), "texts": texts, "frames": frames}
+    return {"anchors": rows, "mem": watch(mem, "mem"), "chain": chain, "cns": watch(cns, "cns"), "texts": texts, "frames": frames}
 
 
 def shared_repeats(sequences: DataFrame, genes: DataFrame, ks: list[int], suppress_subsumed: bool = True, soft_mask: bool = True) -> DataFrame:

@@ -144,6 +144,15 @@ def test_diagnostics_are_read_after_the_write(spark, tmp_path):
     assert got["anchors"]["rows"] == got["mem"]["rows"] == got["cns"]["rows"] == 1
 
 
+def test_diagnostics_of_families_without_matches(spark):
+    sequences = spark.createDataFrame([(1, 0, "AAAA", 4), (1, 1, "CCCC", 4)], "family_id long, seq_idx int, bases string, len long")
+    genes = spark.createDataFrame([(1, k, f"g{k}", "chr1", "+", 100, 150, 160, 300) for k in (0, 1)], "family_id long, seq_idx int, gene string, chr string, strand string, region_start long, gene_start long, gene_end long, region_end long")
+    seen = P.Diagnostics()
+    P.discover(sequences, genes, 3, diagnostics=seen)
+    got = seen.read()
+    assert got["sequences"]["rows"] == 2 and [got[k]["rows"] for k in ("anchors", "mem", "cns")] == [0, 0, 0]
+
+
 def test_one_search_for_several_k(spark):
     rnd = random.Random(3)
     core = "".join(rnd.choice("ACGT") for _ in range(50))
