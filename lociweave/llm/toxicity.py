@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import CLEANUP, fold, slices, text_of
+from lociweave.llm.common import CLEANUP, fold, slices, text_of, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows to learn from, about; least occurrences of a unit; shortest prefix.
@@ -41,6 +41,8 @@ LEANS = (2.0, 8.0, 32.0)
 #: So many of a text's most toxic expressions are looked at; evidence that counts as strong.
 TOP, STRONG = (1, 3, 8), 2.0
 CACHE_ENTRIES = 400_000
+#: Bigrams that the driver looks at together, about: all that follow a unit are.
+TOGETHER = 1 << 18
 
 
 class Units:
@@ -204,21 +206,23 @@ def fit_toxicity(labelled: DataFrame, docs: DataFrame, train_rows: int = TRAIN_R
     size = len(names) + 1
     pairs = _counted(counted.select("label", "text"), _pair_counter(names), "label int, pair long, n long")
     # All pairs of the bounded sample.
-    found = pairs.toArrow()
-    label, pair, n = (np.asarray(found.column(c)) for c in ("label", "pair", "n"))
-    counts, continued, before = np.zeros((2, size)), np.zeros((2, size)), np.zeros((2, size))
-    np.add.at(counts, (label, pair % size), n)
-    np.add.at(continued, (label, pair % size), 1)
-    np.add.at(before, (label, pair // size), n)
-    model = ToxicityModel(names)
-    if not counts[1].sum() or not counts[0].sum():
-        return model
+    found = pairs.select(F.col("label").cast("tinyint").alias("label"), "pair", F.col("n").cast("int").alias("n")).toArrow()
+    label, pair, n = (found.column(c).to_numpy() for c in ("label", "pair", "n"))
+    del found
+    tidy()
+    continued, before = np.zeros((2, size)), np.zeros((2, size))
+    for a in range(0, len(pair), TOGETHER):
+        own = slice(a, a + TOGETHER)
+        np.add.at(continued, (label[own], pair[own] % size), 1)
+        np.add.at(before, (label[own], pair[own] // size), n[own])
+    if not before[1].sum() or not before[0].sum():
+        return ToxicityModel(names)
     shared = _corpus_continuations(docs, names)
-    shared = shared / shared.sum()
-    table = Counts(names, label, pair, n, continued, before, shared)
-    del found, label, pair, n
+    table = Counts(names, label, pair, n, continued, before, shared / shared.sum())
+    del label, pair, n
     best = None
     for lean in LEANS:
+        tidy()
         tried = table.model(lean)
         scored, sent = _features(rest.select("label", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(2)).cast("int").alias("half"), "text"), tried, ["label", "half"])
         rows = scored.collect()  # a third of the bounded sample
@@ -228,9 +232,11 @@ def fit_toxicity(labelled: DataFrame, docs: DataFrame, train_rows: int = TRAIN_R
             return tried
         loss = _crossed(x, y, half)
         if best is None or loss < best[0]:
-            tried.curve = _logistic(x, y)
-            best = (loss, tried)
-    return best[1]
+            best = (loss, lean, _logistic(x, y))
+        del tried
+    model = table.model(best[1])
+    model.curve = best[2]
+    return model
 
 
 def _crossed(x: np.ndarray, y: np.ndarray, half: np.ndarray) -> float:
@@ -247,7 +253,10 @@ def _crossed(x: np.ndarray, y: np.ndarray, half: np.ndarray) -> float:
 
 @dataclass
 class Counts:
-    """What the classes' models are made from: bigrams by class, and continuation counts of the classes and of all documents."""
+    """What the classes' models are made from: bigrams by class, and continuation counts of the classes and of all documents.
+
+    Bigrams are held in their order and looked at TOGETHER at a time, so that only the counts themselves are held for all of them.
+    """
 
     names: list[str]
     label: np.ndarray
@@ -257,43 +266,75 @@ class Counts:
     before: np.ndarray
     shared: np.ndarray
 
+    def __post_init__(self) -> None:
+        if (self.pair[1:] < self.pair[:-1]).any():
+            order = np.argsort(self.pair, kind="stable")
+            self.label, self.pair, self.n = self.label[order], self.pair[order], self.n[order]
+        #: Each bigram once.
+        self.keys = self.pair[np.append(True, self.pair[1:] != self.pair[:-1])[: len(self.pair)]]
+
+    def _parts(self, together: int) -> Iterator[slice]:
+        """Stretches of about so many bigrams; those behind one predecessor are in one."""
+        size, a = len(self.names) + 1, 0
+        while a < len(self.pair):
+            last = min(a + together, len(self.pair)) - 1
+            b = int(np.searchsorted(self.pair, (self.pair[last] // size + 1) * size))
+            yield slice(a, b)
+            a = b
+
     def backoff(self, lean: float) -> np.ndarray:
         """By class, each unit's probability from distinct predecessors; what discounts leave goes to the shared counts, on which rare units lean."""
         less = np.maximum(self.continued - DISCOUNT, 0)
         total = self.continued.sum(axis=1)[:, None]
         own = (less + (total - less.sum(axis=1)[:, None]) * self.shared) / total
-        seen = np.bincount(self.pair % (len(self.names) + 1), weights=self.n, minlength=len(self.names) + 1)
+        size = len(self.names) + 1
+        seen = np.zeros(size)
+        for part in self._parts(TOGETHER):
+            np.add.at(seen, self.pair[part] % size, self.n[part])
         sure = seen / (seen + lean)
         unit = sure * own + (1 - sure) * self.shared
         return unit / unit.sum(axis=1)[:, None]
 
-    def distributions(self, lean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Known bigrams (keys), their probabilities by class, and by class and predecessor what is left for the backoff; the backoff."""
-        unit, size = self.backoff(lean), len(self.names) + 1
-        keys, at = np.unique(self.pair, return_inverse=True)
-        v, w = keys // size, keys % size
-        own, left = np.zeros((2, len(keys))), np.ones((2, size))
-        share = (self.n - DISCOUNT) / self.before[self.label, self.pair // size]
-        own[self.label, at] = share
-        np.subtract.at(left, (self.label, self.pair // size), share)
-        left = np.maximum(left, 1e-6)
-        own += left[:, v] * unit[:, w]
+    def _part(self, part: slice, unit: np.ndarray, left: np.ndarray, lean: float) -> np.ndarray:
+        """Probabilities by class of a stretch's bigrams; what is left behind its predecessors is written to left."""
+        size = len(self.names) + 1
+        label, n = self.label[part], self.n[part]
+        keys, at = np.unique(self.pair[part], return_inverse=True)
+        w = keys % size
+        first, v = np.unique(keys // size, return_inverse=True)
+        own, rest = np.zeros((2, len(keys))), np.ones((2, len(first)))
+        share = (n - DISCOUNT) / self.before[label, first[v[at]]]
+        own[label, at] = share
+        np.subtract.at(rest, (label, v[at]), share)
+        rest = np.maximum(rest, 1e-6)
+        own += rest[:, v] * unit[:, w]
         # Rare predecessors and rare bigrams lean on the backoff.
-        seen, witnesses = self.before.sum(axis=0), np.bincount(at, weights=self.n, minlength=len(keys))
-        left **= seen / (seen + lean)
+        seen, witnesses = self.before[:, first].sum(axis=0), np.bincount(at, weights=n, minlength=len(keys))
+        rest **= seen / (seen + lean)
         sure = witnesses / (witnesses + lean)
-        p = own**sure * (left[:, v] * unit[:, w]) ** (1 - sure)
+        p = own**sure * (rest[:, v] * unit[:, w]) ** (1 - sure)
         for c in (0, 1):
-            known = np.bincount(v, weights=p[c], minlength=size)
-            whole = known + left[c] * (1 - np.bincount(v, weights=unit[c, w], minlength=size))
+            known = np.bincount(v, weights=p[c], minlength=len(first))
+            whole = known + rest[c] * (1 - np.bincount(v, weights=unit[c, w], minlength=len(first)))
             p[c] /= whole[v]
-            left[c] /= whole
-        return keys, p, left, unit
+            rest[c] /= whole
+        left[:, first] = rest
+        return p
 
-    def model(self, lean: float) -> ToxicityModel:
-        keys, p, left, unit = self.distributions(lean)
-        bigram = np.log(p[1] / p[0]).astype(np.float32)
-        return ToxicityModel(self.names, np.log(unit[1] / unit[0]), np.log(left[1] / left[0]), keys, bigram)
+    def distributions(self, lean: float, together: int = TOGETHER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Known bigrams (keys), their probabilities by class, and by class and predecessor what is left for the backoff; the backoff."""
+        unit, left = self.backoff(lean), np.ones((2, len(self.names) + 1))
+        p = [self._part(part, unit, left, lean) for part in self._parts(together)]
+        return self.keys, np.concatenate(p, axis=1), left, unit
+
+    def model(self, lean: float, together: int = TOGETHER) -> ToxicityModel:
+        unit, left = self.backoff(lean), np.ones((2, len(self.names) + 1))
+        bigram, done = np.empty(len(self.keys), dtype=np.float32), 0
+        for part in self._parts(together):
+            p = self._part(part, unit, left, lean)
+            bigram[done : done + p.shape[1]] = np.log(p[1] / p[0])
+            done += p.shape[1]
+        return ToxicityModel(self.names, np.log(unit[1] / unit[0]), np.log(left[1] / left[0]), self.keys, bigram)
 
 
 def _features(rows: DataFrame, model: ToxicityModel, keep: list[str]) -> tuple[DataFrame, Broadcast]:

@@ -259,3 +259,22 @@ def test_toxicity_distributions_sum_to_one():
                 at = np.flatnonzero(keys == v * size + w)
                 evidence = model.bigram[at[0]] if len(at) else model.unit[w] + model.after[v]
                 assert np.isclose(evidence, np.log(whole[1, w] / whole[0, w]), atol=1e-5)
+
+
+def test_toxicity_tables_are_alike_in_any_stretches():
+    """Unsorted rows, and stretches from one predecessor to all."""
+    from lociweave.llm.toxicity import Counts
+
+    rnd = np.random.default_rng(7)
+    size = 30
+    key = rnd.permutation(np.unique(np.stack([rnd.integers(0, 2, 500), rnd.integers(0, size * size, 500)], axis=1), axis=0))
+    label, pair, n = key[:, 0], key[:, 1], rnd.integers(1, 6, len(key))
+    continued, before = np.zeros((2, size)), np.zeros((2, size))
+    np.add.at(continued, (label, pair % size), 1)
+    np.add.at(before, (label, pair // size), n)
+    table = Counts([f"u{k}" for k in range(1, size)], label, pair, n, continued, before, np.full(size, 1 / size))
+    assert table.keys.tolist() == sorted(set(pair.tolist()))
+    whole = table.distributions(8.0, together=10_000)
+    for together in (1, 40):
+        assert all(np.allclose(a, b) for a, b in zip(table.distributions(8.0, together), whole, strict=True))
+        assert np.allclose(table.model(8.0, together).bigram, np.log(whole[1][1] / whole[1][0]), atol=1e-5)
