@@ -47,6 +47,13 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for files of another format; it lasts until the program ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _kept[path] = spark
+    return path
+
+
 def released(*tables: DataFrame | None) -> None:
     """Delete settled tables that nothing reads any more."""
     for table in tables:

@@ -17,9 +17,9 @@ from lociweave.operators import chain as C
 from lociweave.operators import coordinates as X
 from lociweave.operators import repeats as R
 from lociweave.operators.numbering import row_numbers
-from lociweave.operators.storage import settled
+from lociweave.operators.storage import kept_folder, settled
 from lociweave.plans import discover as P
-from lociweave.sources import fasta, writers
+from lociweave.sources import fasta, pages, writers
 
 K = 7
 LETTERS, FOLDED = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
@@ -559,3 +559,83 @@ def plot_pages(spark, sf_dir):
 def gene_tracks(spark, sf_dir):
     whole = lambda c: F.col(c).cast("long").alias(c)
     return writers.tracks(_blocks(spark, sf_dir), genes_of(families(spark, sf_dir))).select("family_id", "kind", whole("seq_idx"), whole("start"), whole("stop"))
+
+
+# Tables as text, and what pages draw -------------------------------------------------------------------------------
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    return rows.select("family_id", F.col("place.part").alias("part"), F.col("place.serial").alias("serial"), "line")
+
+
+def _three_lengths(rows: DataFrame) -> DataFrame:
+    """A length for each of the three sequences of an order."""
+    return rows.groupBy("family_id").agg(F.max("len").alias("len")).select("family_id", F.explode(F.array_repeat("len", 3)).alias("len"))
+
+
+TABLE_ENDS = """SELECT DISTINCT family_id, 0 AS part, CAST(0 AS BIGINT) AS serial, 'Length,S_1,S_2,S_3' AS line FROM items UNION ALL SELECT DISTINCT family_id, 0, 1, '0,0,0,0' FROM items
+  UNION ALL SELECT family_id, 2, 2, concat_ws(',', max(len), max(len), max(len), max(len)) FROM items GROUP BY family_id UNION ALL """
+
+
+@query("anchor_table_lines", TABLE_ENDS + "SELECT family_id, 1, row_id, concat_ws(',', len, x, y, z) FROM items", ("items",))
+def anchor_table_lines(spark, sf_dir):
+    rows = items(spark, sf_dir)
+    return _lines(writers.anchor_lines(rows, _three_lengths(rows), serial=False))
+
+
+@query(
+    "chain_table_lines",
+    TABLE_ENDS + """SELECT family_id, 1, CAST(step AS BIGINT), concat_ws(',', len, x, y, z) FROM (SELECT family_id, path[step] AS row_id, step FROM (SELECT family_id, path, unnest(range(1, len(path) + 1)) AS step
+      FROM (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY weight DESC, keys) AS k FROM paths) WHERE k = 1)) JOIN items USING (family_id, row_id)""",
+    ("items", PATHS),
+    recursive=True,
+)
+def chain_table_lines(spark, sf_dir):
+    rows = items(spark, sf_dir)
+    return _lines(writers.anchor_lines(C.heaviest_chain(rows), _three_lengths(rows), serial=False, order_by="step"))
+
+
+@query(
+    "cns_table_lines",
+    """SELECT family_id, 1 AS part, step AS serial, concat_ws(',', len, array_to_string(abs_pos, ','), array_to_string(chr, ','), word) AS line FROM blocks
+      UNION ALL SELECT family_id, 0, CAST(generate_subscripts(l, 1) - 1 AS BIGINT), unnest(l) FROM (SELECT family_id, list_append(g, concat('LEN,', array_to_string(s, ','), ',', array_to_string(list_transform(s, lambda x: concat('Chr_', x)), ','), ',CNS')) AS l
+        FROM (SELECT family_id, list(concat('gene', doc_id) ORDER BY seq_idx) AS g, list(concat('gene', doc_id)[1:2] ORDER BY seq_idx) AS s FROM fam GROUP BY family_id))""",
+    CHAINED,
+    recursive=True,
+)
+def cns_table_lines(spark, sf_dir):
+    return _lines(writers.cns_lines(_blocks(spark, sf_dir), genes_of(families(spark, sf_dir))))
+
+
+@query("anchor_table_scan", "SELECT row_id, len, [x, y, z] AS pos FROM items", ("items",))
+def anchor_table_scan(spark, sf_dir):
+    """All anchors as a tab-separated table, written and read back."""
+    path = kept_folder(spark, "anchors")
+    items(spark, sf_dir).select(F.col("row_id").alias("id"), "len", *(F.col("pos")[k].alias("xyz"[k]) for k in range(3))).write.csv(path, sep="\t", header=True)
+    return fasta.read_anchor_table(spark, path).select("row_id", F.col("len").cast("long").alias("len"), F.col("pos").cast("array<bigint>").alias("pos"))
+
+
+def _gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors that miss the first sequence where its position is a multiple of 5."""
+    rows = items(spark, sf_dir)
+    return rows.withColumn("pos", F.transform("pos", lambda v, k: F.when((k == 0) & (v % 5 == 0), 0).otherwise(v)))
+
+
+POINTS = "points AS (SELECT * FROM (SELECT family_id, row_id, unnest([0, 1, 2]) AS axis, unnest([CASE WHEN x % 5 = 0 THEN 0 ELSE x END, y, z]) AS here FROM items) WHERE here <> 0)"
+SCALES = "scales AS (SELECT family_id, axis, min(here) AS low, max(here) AS high, count(*) AS n FROM points GROUP BY ALL)"
+PARTS = "parts AS (SELECT family_id, axis AS a, here AS at_a, lead(axis) OVER w AS b, lead(here) OVER w AS at_b FROM points WINDOW w AS (PARTITION BY family_id, row_id ORDER BY axis))"
+
+
+@query("plot_scales", "SELECT * FROM scales", ("items", POINTS, SCALES))
+def plot_scales(spark, sf_dir):
+    return pages.scales(_gapped(spark, sf_dir))
+
+
+@query(
+    "plot_ribbons",
+    f"""SELECT p.family_id, a, b, CAST((at_a - s.low) * {pages.STRETCHES} // (s.high - s.low + 1) AS INTEGER) AS leaves, CAST((at_b - t.low) * {pages.STRETCHES} // (t.high - t.low + 1) AS INTEGER) AS enters, count(*) AS n
+      FROM parts AS p JOIN scales AS s ON s.family_id = p.family_id AND s.axis = a JOIN scales AS t ON t.family_id = p.family_id AND t.axis = b GROUP BY ALL""",
+    ("items", POINTS, SCALES, PARTS),
+)
+def plot_ribbons(spark, sf_dir):
+    return pages.ribbons(_gapped(spark, sf_dir))

@@ -78,6 +78,11 @@ def write_offsets(rows: DataFrame, path: str) -> None:
     write_table(rows.select("family_id", "seq_idx", "name", "start", "room"), path, ["seq_idx"])
 
 
+def write_texts(texts: DataFrame, path: str) -> None:
+    """The text that a family is searched as: its turned sequences, "#" behind each. The "$" at its very end is left off."""
+    texts.repartition("family_id").sortWithinPartitions("family_id", "seq_idx").select("family_id", "bases").write.option("lineSep", "#").partitionBy("family_id").text(path)
+
+
 def write_tracks(rows: DataFrame, path: str) -> None:
     """kind, seq_idx, start, stop: genes behind the matches of each sequence."""
     rows.repartition("family_id").sortWithinPartitions("family_id", "seq_idx", F.desc("kind"), "start").write.partitionBy("family_id").csv(path, header=True)

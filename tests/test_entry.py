@@ -13,6 +13,7 @@ CHEAP = [
     "fasta_header_count", "fasta_assemble", "metadata_parse", "metadata_join", "normalize_alphabet", "reverse_complement", "gene_offsets", "boundary_chars", "length_stats", "position_map", "cns_header", "boundary_split",
     "dedup_longest", "mem_serial", "mem_table_sentinels", "anchor_spread", "gap_consistency", "precedence_edges", "precedence_edges_legacy", "dag_degrees", "heaviest_chain_score", "heaviest_chain", "all_chains", "longest_chains", "abs_coordinates", "brush_filter",
     "kmer_seed_join", "left_diverse", "subsumed_repeat", "conserved_blocks", "gene_tracks", "plot_pages", "chain_counts", "record_offsets", "global_to_local", "rank_key_sort",
+    "anchor_table_lines", "chain_table_lines", "cns_table_lines", "anchor_table_scan", "plot_scales", "plot_ribbons",
 ]
 
 
