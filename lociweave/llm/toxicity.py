@@ -45,6 +45,24 @@ CACHE_ENTRIES = 400_000
 TOGETHER = 1 << 18
 
 
+def _plain(code: int) -> int:
+    """The lower-case letter that a Latin-1 sign stands for, or a blank."""
+    low = chr(code).lower()
+    return ord(low) if len(low) == 1 and ord(low) < 256 and WORD.fullmatch(low) else 32
+
+
+PLAIN = bytes(map(_plain, range(256)))
+
+
+def words_of(text: str) -> list[str]:
+    """The lower-case words of a text; a Latin-1 text is split by a table, with the same result as the pattern's."""
+    try:
+        plain = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return WORD.findall(text.lower())
+    return plain.translate(PLAIN).decode("latin-1").split()
+
+
 class Units:
     """Maps words to unit numbers; 0 is the rest. Prefixes are keyed with a star behind them."""
 
@@ -62,7 +80,7 @@ class Units:
         return found or 0
 
     def text(self, text: str) -> np.ndarray:
-        words = WORD.findall(text.lower())
+        words = words_of(text)
         try:
             return np.fromiter(map(self.cache.__getitem__, words), dtype=np.int64, count=len(words))
         except KeyError:
@@ -116,7 +134,7 @@ def _frequent_units(rows: DataFrame) -> list[str]:
         words: Counter = Counter()
         for batch in slices(batches):
             for text in text_of(batch):
-                words.update(WORD.findall(text.lower()))
+                words.update(words_of(text))
         units: Counter = Counter()
         for w, n in words.items():
             units[w] += n

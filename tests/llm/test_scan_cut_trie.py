@@ -278,3 +278,10 @@ def test_toxicity_tables_are_alike_in_any_stretches():
     for together in (1, 40):
         assert all(np.allclose(a, b) for a, b in zip(table.distributions(8.0, together), whole, strict=True))
         assert np.allclose(table.model(8.0, together).bigram, np.log(whole[1][1] / whole[1][0]), atol=1e-5)
+
+
+def test_toxicity_words_are_the_patterns_at_every_code_point():
+    from lociweave.llm.toxicity import WORD, words_of
+
+    texts = ["", "".join(map(chr, range(256))), *(f"a{chr(c)}B {chr(c)}{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000)]
+    assert all(words_of(t) == WORD.findall(t.lower()) for t in texts)
