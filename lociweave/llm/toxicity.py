@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,13 +55,17 @@ def _plain(code: int) -> int:
 PLAIN = bytes(map(_plain, range(256)))
 
 
-def words_of(text: str) -> list[str]:
-    """The lower-case words of a text; a Latin-1 text is split by a table, with the same result as the pattern's."""
+def _split(text: str) -> str:
+    """The lower-case words of a text, with blanks between them; a Latin-1 text goes through a table, with the same result as the pattern's."""
     try:
         plain = text.encode("latin-1")
     except UnicodeEncodeError:
-        return WORD.findall(text.lower())
-    return plain.translate(PLAIN).decode("latin-1").split()
+        return " ".join(WORD.findall(text.lower()))
+    return plain.translate(PLAIN).decode("latin-1")
+
+
+def words_of(text: str) -> list[str]:
+    return _split(text).split()
 
 
 class Units:
@@ -72,23 +77,42 @@ class Units:
 
     def _find(self, word: str) -> int:
         found = self.ids.get(word)
-        if found is None:
-            for n in range(min(len(word) - 1, LONGEST_PREFIX), SHORTEST - 1, -1):
-                found = self.ids.get(f"{word[:n]}*")
-                if found is not None:
-                    return found
-        return found or 0
-
-    def text(self, text: str) -> np.ndarray:
-        words = words_of(text)
-        try:
-            return np.fromiter(map(self.cache.__getitem__, words), dtype=np.int64, count=len(words))
-        except KeyError:
-            if len(self.cache) > CACHE_ENTRIES:
-                self.cache.clear()
-            for w in set(words).difference(self.cache):
-                self.cache[w] = self._find(w)
-            return np.fromiter(map(self.cache.__getitem__, words), dtype=np.int64, count=len(words))
+        if found is not None:
+            return found
+        # A prefix of a known prefix is known too: its count is no less.
+        found, low, high = 0, SHORTEST, min(len(word) - 1, LONGEST_PREFIX)
+        while low <= high:
+            n = (low + high) // 2
+            here = self.ids.get(f"{word[:n]}*")
+            if here is None:
+                high = n - 1
+            else:
+                found, low = here, n + 1
+        return found
+
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The units of all texts, and how many each text has; each distinct word is looked up once."""
+        lists = pa.compute.ascii_split_whitespace(pa.array(map(_split, texts), pa.large_string()))
+        owner = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
+        coded = lists.flatten().dictionary_encode()
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache.clear()
+        words = coded.dictionary.to_pylist()
+        for w in set(words).difference(self.cache):
+            self.cache[w] = self._find(w)
+        known = np.fromiter(map(self.cache.__getitem__, words), dtype=np.int64, count=len(words))
+        at = np.asarray(coded.indices)
+        if "" in self.cache:  # before a first and behind a last word
+            inside = np.array([w != "" for w in words], dtype=bool)[at]
+            at, owner = at[inside], owner[inside]
+        return known[at], np.bincount(owner, minlength=len(texts))
+
+    def bigrams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The bigrams of all texts, and how many each text has; 0 is before a text's first unit."""
+        units, counts = self.texts(texts)
+        before = np.append(0, units[:-1])[: len(units)]
+        before[(np.cumsum(counts) - counts)[counts > 0]] = 0
+        return before * (len(self.ids) + 1) + units, counts
 
 
 @dataclass
@@ -101,26 +125,39 @@ class ToxicityModel:
     bigram: np.ndarray = field(default_factory=lambda: np.zeros(0))
     curve: np.ndarray | None = None
 
-    def features(self, units: np.ndarray) -> np.ndarray:
-        """Length-normalised evidence, that of the most toxic expressions, how many are strong, and log length."""
-        if not len(units):
-            return np.zeros(3 + len(TOP))
-        before = np.append(0, units[:-1])
-        evidence = self.unit[units] + self.after[before]
+    def features(self, bigrams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """By text: length-normalised evidence, that of the most toxic expressions, how many are strong, and log length."""
+        out = np.zeros((len(counts), 3 + len(TOP)))
+        if not len(bigrams):
+            return out
+        size, rows = len(self.names) + 1, len(counts)
+        # The same expression again and again is evidence once at the top; all of a text's expressions lie together.
+        order = np.sort(np.repeat(np.arange(rows), counts) * size**2 + bigrams) if rows * float(size) ** 2 < 2.0**63 else None
+        if order is None:
+            parts = [self.features(b, np.array([len(b)])) for b in np.split(bigrams, np.cumsum(counts)[:-1])]
+            return np.concatenate(parts)
+        first = np.flatnonzero(np.append(True, order[1:] != order[:-1]))
+        times = np.diff(np.append(first, len(order)))
+        owner, key = np.divmod(order[first], size**2)
+        evidence = self.unit[key % size] + self.after[key // size]
         if len(self.keys):
-            key = before * (len(self.names) + 1) + units
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             evidence = np.where(self.keys[at] == key, self.bigram[at], evidence)
-        # The same expression again and again is evidence once, here.
-        top = np.sort(evidence[np.unique(key if len(self.keys) else units, return_index=True)[1]])[::-1]
-        best = np.maximum(top[: TOP[-1]], 0)
-        strong = min(TOP[-1], int((top > STRONG).sum()))
-        return np.array([evidence.mean(), *(best[:k].sum() / k for k in TOP), strong, np.log1p(len(units))])
-
-    def score(self, features: np.ndarray) -> float:
+        out[:, 0] = np.bincount(owner, weights=evidence * times, minlength=rows) / np.maximum(counts, 1)
+        out[:, -2] = np.minimum(np.bincount(owner, weights=evidence > STRONG, minlength=rows), TOP[-1])
+        out[:, -1] = np.log1p(counts)
+        toxic = np.flatnonzero(evidence > 0)
+        toxic = toxic[np.lexsort((-evidence[toxic], owner[toxic]))]
+        place = np.arange(len(toxic)) - np.searchsorted(owner[toxic], owner[toxic])
+        for k, most in enumerate(TOP):
+            own = toxic[place < most]
+            out[:, 1 + k] = np.bincount(owner[own], weights=evidence[own], minlength=rows) / most
+        return out
+
+    def scores(self, features: np.ndarray) -> np.ndarray:
         if self.curve is None:
-            return 0.0
-        return float(1 / (1 + np.exp(-np.clip(self.curve[0] + features @ self.curve[1:], -30, 30))))
+            return np.zeros(len(features))
+        return 1 / (1 + np.exp(-np.clip(self.curve[0] + features @ self.curve[1:], -30, 30)))
 
 
 def _counted(frame: DataFrame, count, schema: str) -> DataFrame:
@@ -151,13 +188,13 @@ def _frequent_units(rows: DataFrame) -> list[str]:
 
 def _pair_counter(names: list[str]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, size = Units(names), len(names) + 1
+        units = Units(names)
         seen: dict[int, Counter] = {}
         for batch in slices(batches):
-            for label, text in zip(batch.column("label").to_pylist(), text_of(batch), strict=True):
-                own = units.text(text)
+            keys, counts = units.bigrams(text_of(batch))
+            for label, own in zip(batch.column("label").to_pylist(), np.split(keys, np.cumsum(counts)[:-1]), strict=True):
                 # Once per text: a text that repeats itself is one witness.
-                seen.setdefault(label, Counter()).update(np.unique(np.append(0, own[:-1]) * size + own).tolist() if len(own) else [])
+                seen.setdefault(label, Counter()).update(_distinct(own).tolist())
         for label, pairs in seen.items():
             keys = list(pairs)
             for k in range(0, len(keys), 50_000):
@@ -167,24 +204,27 @@ def _pair_counter(names: list[str]):
     return count
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted; a plain sort of integers is many times faster than a hash table of them."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
+
+
 def _corpus_continuations(docs: DataFrame, names: list[str]) -> np.ndarray:
     """Distinct predecessors of each unit in all documents, and one."""
     shared, size = docs.sparkSession.sparkContext.broadcast(names), len(names) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, held, fresh, n_fresh = Units(shared.value), np.zeros(0, dtype=np.int64), [], 0
+        units, held = Units(shared.value), []
         for batch in slices(batches):
-            for text in text_of(batch):
-                own = units.text(text)
-                if len(own):
-                    fresh.append(np.append(0, own[:-1]) * size + own)
-                    n_fresh += len(own)
-            if n_fresh > PAIRS_HELD // 4:
-                held, fresh, n_fresh = np.unique(np.concatenate([held, *fresh])), [], 0
-            if len(held) > PAIRS_HELD:
-                yield from _batches(held)
-                held = np.zeros(0, dtype=np.int64)
-        yield from _batches(np.unique(np.concatenate([held, *fresh])))
+            # Slices are made distinct by themselves first, so that what is held is seldom sorted again.
+            held.append(_distinct(units.bigrams(text_of(batch))[0]))
+            if sum(map(len, held)) > PAIRS_HELD:
+                held = [_distinct(np.concatenate(held))]
+                if len(held[0]) > PAIRS_HELD // 2:
+                    yield from _batches(held.pop())
+        if held:
+            yield from _batches(_distinct(np.concatenate(held)))
 
     pairs = docs.select("text").mapInArrow(count, "pair long").distinct()
     found = pairs.groupBy((F.col("pair") % size).alias("unit")).agg(F.count("*").alias("n")).toArrow()  # a row for each unit at most
@@ -362,8 +402,8 @@ def _features(rows: DataFrame, model: ToxicityModel, keep: list[str]) -> tuple[D
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(shared.value.names)
         for batch in slices(batches):
-            found = [shared.value.features(units.text(t)).tolist() for t in text_of(batch)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.list_(pa.float64()))], [*keep, "features"])
+            found = shared.value.features(*units.bigrams(text_of(batch)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found.tolist(), pa.list_(pa.float64()))], [*keep, "features"])
 
     kept = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(step, f"{kept}, features array<double>"), shared
@@ -386,8 +426,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(shared.value.names)
         for batch in slices(batches):
-            scores = [shared.value.score(shared.value.features(units.text(t))) for t in text_of(batch)]
-            marks = [int(s >= threshold) for s in scores]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array(marks, pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+            scores = shared.value.scores(shared.value.features(*units.bigrams(text_of(batch))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select("doc_id", out.alias("held_out"), "text").mapInArrow(step, "doc_id long, held_out boolean, score double, predicted int")

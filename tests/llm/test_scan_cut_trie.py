@@ -285,3 +285,33 @@ def test_toxicity_words_are_the_patterns_at_every_code_point():
 
     texts = ["", "".join(map(chr, range(256))), *(f"a{chr(c)}B {chr(c)}{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000)]
     assert all(words_of(t) == WORD.findall(t.lower()) for t in texts)
+
+
+def test_toxicity_bigrams_and_features_of_a_slice_are_those_of_its_texts():
+    """A slice of texts, blank and hidden-letter ones among them, gives each text what it has alone and by the definition."""
+    from lociweave.llm.toxicity import STRONG, TOP, ToxicityModel, Units, words_of
+
+    rnd = random.Random(5)
+    words = ["alpha", "alphabet", "alphabets", "beta", "né", "日本", "zz", "x1y"]
+    texts = ["", " ", "1 2", *(" ".join(rnd.choices(words, k=rnd.randint(1, 40))) for _ in range(60)), "\xa0alpha\x85beta", ""]
+    names = sorted(["alpha", "alph*", "alpha*", "beta", "né", "x"])
+    size = len(names) + 1
+    ids = {x: k + 1 for k, x in enumerate(names)}
+
+    def unit(word):
+        longest = [ids[f"{word[:n]}*"] for n in range(len(word) - 1, 3, -1) if f"{word[:n]}*" in ids]
+        return ids.get(word, longest[0] if longest else 0)
+
+    model = ToxicityModel(names, np.linspace(-3, 3, size), np.linspace(1, -1, size), np.arange(0, size * size, 3), np.linspace(-4, 4, len(range(0, size * size, 3))))
+    keys, counts = Units(names).bigrams(texts)
+    found = model.features(keys, counts)
+    assert found.shape == (len(texts), 3 + len(TOP)) and (found[0] == 0).all()
+    for text, own, row in zip(texts, np.split(keys, np.cumsum(counts)[:-1]), found, strict=True):
+        units = [0, *map(unit, words_of(text))]
+        assert own.tolist() == [a * size + b for a, b in zip(units, units[1:])]
+        by_key = {k: model.bigram[k // 3] if k % 3 == 0 else model.unit[k % size] + model.after[k // size] for k in own.tolist()}
+        top = sorted((e for e in by_key.values() if e > 0), reverse=True)
+        mean = sum(by_key[k] for k in own.tolist()) / max(len(own), 1)
+        expected = [mean, *(sum(top[:k]) / k for k in TOP), min(TOP[-1], sum(e > STRONG for e in top)), np.log1p(len(own))]
+        assert np.allclose(row, expected)
+        assert np.allclose(model.features(own, np.array([len(own)]))[0], row)
