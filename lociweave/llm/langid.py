@@ -8,7 +8,9 @@ language, so that a frequent one takes nothing from the others; so models may be
 
 Null texts and texts without letters give "und" with score 0; so does every text if nothing could be learned. Ties
 go to the alphabetically first language. Repeated rows each give a row, but a text is learned from once in a language;
-whatever the doc_ids are, null or shared, samples are drawn by text. An empty table gives an empty result.
+whatever the doc_ids are, null or shared, samples are drawn by text. An empty table gives an empty result. Every
+language with an entry that its labelled texts hold twice is learned, however many there are. A very long text takes memory in proportion to
+its words, not to words times languages.
 """
 
 from __future__ import annotations
@@ -23,17 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import fold, slices, text_of
+from lociweave.llm.common import fold, materialize, slices, text_of
 
 MAX_ORDER = 5
 UNKNOWN = "und"
 #: For each language: about so many labelled texts are learned from, and so many entries kept; the least count of an entry.
 TRAIN_ROWS, LANGUAGE_ENTRIES, LEAST_COUNT = 4_000, 50_000, 2
-#: Languages of a model, by their labelled rows.
-LANGUAGES = 500
+#: Entries of a whole model: of more languages than fit, each keeps equally fewer entries, and none is left out.
+MODEL_ENTRIES = 4_000_000
+#: Up to so many languages their sizes are broadcast.
+BROADCAST_LANGUAGES = 100_000
 #: Evidence of at most so many words goes into the score, so that it stays a usable confidence.
 SCORE_WORDS = 20
-CACHE_ENTRIES = 300_000
+#: Words remembered at most; weights remembered, and weights looked at together.
+CACHE_ENTRIES, CACHE_WEIGHTS, AT_ONCE = 300_000, 1 << 24, 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -76,12 +81,15 @@ class Scorer:
 
     def __init__(self, model: LanguageModel):
         self.model, self.index, self.entries = model, {}, {}
-        self.rows = np.zeros((1024, len(model.languages)))
+        n = max(len(model.languages), 1)
+        self.together = min(CACHE_ENTRIES, max(1, AT_ONCE // n))
+        self.most = min(CACHE_ENTRIES, max(self.together, CACHE_WEIGHTS // n))
+        self.rows = np.zeros((min(self.most, 1024), n))
 
     def _entry(self, k: int) -> np.ndarray:
         found = self.entries.get(k)
         if found is None:
-            if len(self.entries) > CACHE_ENTRIES // 4:
+            if len(self.entries) >= max(1, self.most // 4):
                 self.entries.clear()
             found = self.entries[k] = self.model.row(k)
         return found
@@ -98,28 +106,29 @@ class Scorer:
         return np.full(len(self.model.languages), self.model.penalty)
 
     def _add(self, words: list[str]) -> None:
-        if len(self.index) > CACHE_ENTRIES:
-            self.index.clear()
         for w in words:
             k = self.index.setdefault(w, len(self.index))
             if k >= len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.rows[k] = self.word(w)
 
-    def text(self, text: str) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.model.languages:
-            return UNKNOWN, 0.0
+    def _places(self, words: list[str]) -> list[int]:
         try:
-            at = list(map(self.index.__getitem__, words))
+            return list(map(self.index.__getitem__, words))
         except KeyError:
             fresh = set(words).difference(self.index)
-            if len(self.index) + len(fresh) > CACHE_ENTRIES:
+            if len(self.index) + len(fresh) > self.most:
                 self.index.clear()
                 fresh = set(words)
             self._add(sorted(fresh))
-            at = list(map(self.index.__getitem__, words))
-        mean = self.rows[at].mean(axis=0)
+            return list(map(self.index.__getitem__, words))
+
+    def text(self, text: str) -> tuple[str, float]:
+        words = words_of(text)
+        if not words or not self.model.languages:
+            return UNKNOWN, 0.0
+        # A long text goes through in parts, so that its weights are never held for all words and languages.
+        mean = sum(self.rows[self._places(words[a : a + self.together])].sum(axis=0) for a in range(0, len(words), self.together)) / len(words)
         best = int(np.argmax(mean))
         odds = np.exp((mean - mean[best]) * np.log(10) * min(len(words), SCORE_WORDS))
         return self.model.languages[best], float(1 / odds.sum())
@@ -128,9 +137,13 @@ class Scorer:
 def fit_language_model(docs: DataFrame, train_rows: int = TRAIN_ROWS, entries: int = LANGUAGE_ENTRIES) -> LanguageModel:
     """Learn from about train_rows texts of each language among docs' rows, and keep so many entries of each."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
+    sizes = materialize(sizes, "sizes")
+    many = sizes.count()
+    entries = max(1, min(entries, MODEL_ENTRIES // max(many, 1)))
+    sizes = F.broadcast(sizes) if many <= BROADCAST_LANGUAGES else sizes
     part = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    sample = labelled.join(F.broadcast(sizes), "lang").where(part * F.col("rows") < (1 << 30) * train_rows).select("lang", "text").distinct()
+    sample = labelled.join(sizes, "lang").where(part * F.col("rows") < (1 << 30) * train_rows).select("lang", "text").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}

@@ -418,3 +418,78 @@ def test_blocks_of_strings_change_no_anchor():
     want = strings(1 << 18)
     assert len(want) == sum(max(0, n - 39) for n in sizes)
     assert all(strings(block) == want for block in (1, 7, 64, 1000))
+
+
+def test_language_learns_every_language_and_long_texts_in_parts(spark, monkeypatch):
+    rnd = random.Random(22)
+    own = {f"l{k:03d}": [prose(rnd, 1) + f"{chr(97 + k % 26)}{chr(97 + k // 26)}" for _ in range(3)] for k in range(600)}
+    rows = docs_of(spark, [" ".join(w * 2) for w in own.values()], list(own))
+    model = langid.fit_language_model(rows)
+    assert model.languages == sorted(own)
+    texts = [" ".join(own["l599"]), " ".join(own["l003"] * 3000), ""]
+    want = [langid.Scorer(model).text(t) for t in texts]
+    assert [x for x, _ in want] == ["l599", "l003", "und"]
+    monkeypatch.setattr(langid, "AT_ONCE", 1200)  # two words at once
+    monkeypatch.setattr(langid, "CACHE_WEIGHTS", 1200)
+    small = langid.Scorer(model)
+    got = [small.text(t) for t in texts]
+    assert [x for x, _ in got] == [x for x, _ in want] and np.allclose([s for _, s in got], [s for _, s in want])
+    monkeypatch.setattr(langid, "MODEL_ENTRIES", 1200)
+    assert langid.fit_language_model(rows).languages == sorted(own)
+
+
+def test_quality_sums_and_bins_are_those_of_all_rows(spark):
+    """Products and counts of scores over partitions equal those of one array; equal texts share a half."""
+    rnd = np.random.default_rng(5)
+    x, half = rnd.random((300, quality.WIDTH)).astype(np.float32), rnd.integers(0, 2, 300)
+    rows = spark.createDataFrame([(int(h), bytearray(r.tobytes())) for h, r in zip(half, x, strict=True)], "half int, x binary").repartition(4)
+    sums = quality._summed(rows)
+    for k in (0, 1):
+        assert np.allclose(sums[k], quality.products(x[half == k].astype(float)))
+    models = [quality.QualityModel(np.zeros(quality.WIDTH), np.ones(quality.WIDTH), rnd.normal(0, 0.1, quality.WIDTH + 1)) for _ in range(2)]
+    counts = quality._counted(rows, models)
+    for k in (0, 1):
+        assert np.array_equal(counts[k], np.bincount(quality._bins(models[1 - k].scores(x[half == k].astype(float))), minlength=quality.BINS))
+    assert [m.sum() for m in quality._summed(rows.limit(0))] == [0, 0]
+
+
+def test_quality_hashed_counts_equal_a_plain_loop(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["The cat, the Cat", "", None, "abc", "é abcd", "x" * 50, "the cat sat on the mat " * 30]
+    found = quality.features(pa.array(texts, pa.string()))
+    assert found.shape == (len(texts), quality.WIDTH) and (found[1] == 0).all() and (found[2] == 0).all()
+    monkeypatch.setattr(quality, "AT_ONCE", 7)
+    assert np.allclose(quality.features(pa.array(texts, pa.string())), found)
+    size = quality.BUCKETS
+    for t, row in zip(texts, found, strict=True):
+        data = (t or "").lower().encode() if (t or "").isascii() else (t or "").encode()
+        for grams, own in ((data.split(), row[quality.SURFACE : quality.SURFACE + size]), ([data[k : k + 4] for k in range(len(data) - 3)], row[quality.SURFACE + size :])):
+            total = np.zeros(size)
+            for g in grams:
+                h = quality.Rolling(np.frombuffer(g, dtype=np.uint8), fold_case=True)(np.array([0]), np.array([len(g)]))
+                total += quality._hashed(np.array([0]), h, 1)[0]
+            assert np.allclose(own, total / max(np.linalg.norm(total), 1))
+
+
+def test_quality_fit_is_the_least_risk():
+    """The closed form has the least risk of points around it; where the inner part was negative, steps bring it up."""
+    rnd = np.random.default_rng(6)
+    p, u = rnd.normal(1, 1, (500, 3)), np.concatenate([rnd.normal(1, 1, (700, 3)), rnd.normal(-2, 1, (300, 3))])
+    sums = [quality.products(x) for x in (p, u)]
+    for prior, closed in ((0.3, True), (0.95, False)):
+        model = quality.fit_products(*sums, prior)
+        means = [quality._means(x, model.mean, model.scale) for x in sums]
+        # Written out row by row.
+        z = lambda x: (x - model.mean) / model.scale @ model.weights[1:] + model.weights[0]  # noqa: B023, E731
+        outer, inner = quality._risk(model.weights, *means, prior)
+        assert np.isclose(outer, prior * ((1 - z(p)) ** 2).mean() / 4)
+        assert np.isclose(inner, ((1 + z(u)) ** 2).mean() / 4 - prior * ((1 + z(p)) ** 2).mean() / 4)
+        if closed:
+            assert inner > 0
+            for _ in range(50):
+                other = model.weights + rnd.normal(0, 0.05, 4)
+                assert sum(quality._risk(other, *means, prior)) >= outer + inner - 1e-4
+        else:
+            first = np.linalg.solve(means[1] + np.diag([1e-9, *[quality.RIDGE] * 3]), 2 * prior * means[0][0] - means[1][0])
+            assert quality._risk(first, *means, prior)[1] < -0.01 and inner > -0.01
