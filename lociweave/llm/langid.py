@@ -112,23 +112,25 @@ class Scorer:
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.rows[k] = self.word(w)
 
-    def _places(self, words: list[str]) -> list[int]:
+    def _summed(self, words: list[str]) -> np.ndarray:
+        """The sum of the words' weights."""
         try:
-            return list(map(self.index.__getitem__, words))
+            at = list(map(self.index.__getitem__, words))
         except KeyError:
             fresh = set(words).difference(self.index)
             if len(self.index) + len(fresh) > self.most:
                 self.index.clear()
                 fresh = set(words)
             self._add(sorted(fresh))
-            return list(map(self.index.__getitem__, words))
+            at = list(map(self.index.__getitem__, words))
+        return self.rows[at].sum(axis=0)
 
     def text(self, text: str) -> tuple[str, float]:
         words = words_of(text)
         if not words or not self.model.languages:
             return UNKNOWN, 0.0
         # A long text goes through in parts, so that its weights are never held for all words and languages.
-        mean = sum(self.rows[self._places(words[a : a + self.together])].sum(axis=0) for a in range(0, len(words), self.together)) / len(words)
+        mean = sum(self._summed(words[a : a + self.together]) for a in range(0, len(words), self.together)) / len(words)
         best = int(np.argmax(mean))
         odds = np.exp((mean - mean[best]) * np.log(10) * min(len(words), SCORE_WORDS))
         return self.model.languages[best], float(1 / odds.sum())

@@ -429,6 +429,8 @@ def test_language_learns_every_language_and_long_texts_in_parts(spark, monkeypat
     texts = [" ".join(own["l599"]), " ".join(own["l003"] * 3000), ""]
     want = [langid.Scorer(model).text(t) for t in texts]
     assert [x for x, _ in want] == ["l599", "l003", "und"]
+    # More new words than there are rows of weights at first.
+    assert langid.Scorer(model).text(" ".join([*own["l007"] * 3000, *(f"q{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(3000))]))[0] == "l007"
     monkeypatch.setattr(langid, "AT_ONCE", 1200)  # two words at once
     monkeypatch.setattr(langid, "CACHE_WEIGHTS", 1200)
     small = langid.Scorer(model)
