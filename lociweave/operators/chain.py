@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,36 +78,44 @@ CHAIN = "family_id long, step int, row_id long, len long, pos array<long>, score
 
 
 def chain_large(anchors: DataFrame) -> DataFrame:
-    """The same chain for families of many anchors: vectorised rows of the same recurrence, a family a task."""
-    import numpy as np
-    import pyarrow as pa
-
-    def one(table: pa.Table) -> pa.Table:
-        family, row_id, length, pos = (table.column(c).to_pylist() for c in ("family_id", "row_id", "len", "pos"))
-        length, pos, row_id = np.array(length, dtype=np.int64), np.array(pos, dtype=np.int64), np.array(row_id, dtype=np.int64)
-        order = np.lexsort((row_id, pos[:, 0]))
-        length, pos, row_id = length[order], pos[order], row_id[order]
-        best = length.copy()
-        follows = lambda k: np.flatnonzero((pos[:k] + length[:k, None] < pos[k]).all(axis=1))
-        for k in range(len(best)):
-            before = follows(k)
-            if len(before):
-                best[k] += best[before].max()
-        pairs = [(i, j) for i in range(pos.shape[1]) for j in range(i + 1, pos.shape[1])]
-        uneven = lambda x: sum(np.abs(x[:, i] - x[:, j]) for i, j in pairs) + np.zeros(len(x), dtype=np.int64)
-        ends = np.flatnonzero(best == best.max())
-        at = ends[np.lexsort((row_id[ends], uneven(pos[ends])))[0]]
-        path = [at]
-        while best[at] > length[at]:
-            before = follows(at)
-            before = before[best[before] == best[at] - length[at]]
-            at = before[np.lexsort((row_id[before], uneven(pos[at] - pos[before])))[0]]
-            path.append(at)
-        names = ["family_id", "step", "row_id", "len", "pos", "score"]
-        columns = [pa.array([family[0]] * len(path), pa.int64()), pa.array(range(1, len(path) + 1), pa.int32()), pa.array(row_id[path]), pa.array(length[path]), pa.array(pos[path].tolist(), pa.list_(pa.int64())), pa.array([int(best.max())] * len(path), pa.int64())]
-        return pa.table(columns, names=names)
-
-    return anchors.select("family_id", "row_id", "len", "pos").groupBy("family_id").applyInArrow(one, CHAIN)
+    """The same chain by vectorised rows of the same recurrence, a family a task; families of one size are one array."""
+    from lociweave.operators import families
+
+    def least(among: np.ndarray, cost: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """For each family the place of the least cost, then the lowest row, of those among."""
+        most = np.iinfo(np.int64).max
+        cost = np.where(among, cost, most)
+        among = among & (cost == cost.min(axis=1, keepdims=True))
+        return np.where(among, row, most).argmin(axis=1)
+
+    def uneven(x: np.ndarray) -> np.ndarray:
+        pairs = [(i, j) for i in range(x.shape[2]) for j in range(i + 1, x.shape[2])]
+        return sum(np.abs(x[..., i] - x[..., j]) for i, j in pairs) + np.zeros(x.shape[:2], dtype=np.int64)
+
+    def chains(own: families.Same) -> pa.RecordBatch:
+        n, each = own.row.shape[1], np.arange(len(own.row))
+        best = own.length.copy()
+        for k in range(1, n):
+            best[:, k] += np.where(own.before(k), best[:, :k], 0).max(axis=1)
+        score = best.max(axis=1)
+        at = least(best == score[:, None], uneven(own.pos), own.row)
+        steps = [(each, at)]
+        while True:
+            more = best[each, at] > own.length[each, at]
+            each, at = each[more], at[more]
+            if not len(each):
+                break
+            before = (own.pos[each] + own.length[each, :, None] < own.pos[each, at][:, None]).all(axis=2) & own.known[each]
+            before &= best[each] == (best[each, at] - own.length[each, at])[:, None]
+            at = least(before, uneven(own.pos[each, at][:, None] - own.pos[each]), own.row[each])
+            steps.append((each, at))
+        each, at = (np.concatenate(x) for x in zip(*steps))
+        step = np.repeat(np.arange(1, len(steps) + 1, dtype=np.int32), [len(x[0]) for x in steps])
+        pos = own.pos[each, at]
+        columns = [own.family.take(pa.array(each)), pa.array(step), pa.array(own.row[each, at]), pa.array(own.length[each, at]), families.lists(pos.reshape(-1), np.full(len(pos), pos.shape[1])), pa.array(score[each])]
+        return pa.RecordBatch.from_arrays(columns, names=["family_id", "step", "row_id", "len", "pos", "score"])
+
+    return families.by_family(anchors, lambda table: map(chains, families.same_sizes(table, lambda n: max(1, families.CELLS // n))), CHAIN)
 
 
 def best_chains(anchors: DataFrame, large: int = LARGE) -> DataFrame:

@@ -168,3 +168,22 @@ def test_blocks_finished_by_halves():
     B.within(pos, length, row, halves, small=8)
     B.within(pos, length, row, plain, small=n)
     assert (halves.weight == plain.weight).all() and (halves.row == plain.row).all() and (halves.gap == plain.gap).all()
+
+
+def test_vectorised_chains_cost_no_call_a_family(spark):
+    """Families of all sizes, some across batches, give the plain chains; 60,000 small ones are a matter of seconds."""
+    import time
+
+    rnd = random.Random(5)
+    rows = [(f, r, rnd.randint(1, 4), [rnd.randint(0, 40) for _ in range(2 + f % 2)]) for f in range(300) for r in range(rnd.randint(1, 12))]
+    rows += [(300, r, rnd.randint(1, 3), [rnd.randint(0, 300), rnd.randint(0, 300)]) for r in range(400)]
+    frame = spark.createDataFrame(rows, "family_id long, row_id long, len long, pos array<long>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        assert sorted(map(tuple, C.chain_large(frame).collect())) == sorted(map(tuple, C.heaviest_chain(frame).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    many = spark.range(240_000).select((F.col("id") % 60_000).alias("family_id"), F.col("id").alias("row_id"), F.lit(1).cast("long").alias("len"), F.array("id", "id").alias("pos"))
+    began = time.monotonic()
+    assert C.chain_large(many).where("step = 1 and score = 4").count() == 60_000
+    assert time.monotonic() - began < 20
