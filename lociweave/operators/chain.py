@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.functions.sequences import gap_inconsistency, precedes, spread
-from lociweave.operators import blocks
+from lociweave.operators import blocks, families
 from lociweave.operators.blocks import edges
 from lociweave.operators.storage import released, settled
 
@@ -79,8 +79,6 @@ CHAIN = "family_id long, step int, row_id long, len long, pos array<long>, score
 
 def chain_large(anchors: DataFrame) -> DataFrame:
     """The same chain by vectorised rows of the same recurrence, a family a task; families of one size are one array."""
-    from lociweave.operators import families
-
     def least(among: np.ndarray, cost: np.ndarray, row: np.ndarray) -> np.ndarray:
         """For each family the place of the least cost, then the lowest row, of those among."""
         most = np.iinfo(np.int64).max
@@ -172,8 +170,35 @@ def _walk(order: Order, front: DataFrame, step: Callable[[DataFrame], DataFrame]
     return out
 
 
-def chain_counts(anchors: DataFrame, use_length: bool = False, order: Order | None = None) -> DataFrame:
+#: Families of at most so many anchors have at most 3 ** 8 chains that nothing extends, and are walked within a task.
+FEW = 24
+
+
+def _few(anchors: DataFrame, few: int) -> tuple[DataFrame, DataFrame | None]:
+    """The anchors of families of at most `few`, and those of the others, if there are any."""
+    sizes = anchors.groupBy("family_id").agg(F.count("*").alias("n"))
+    wide = settled(sizes.where(F.col("n") > few).select("family_id"))
+    if wide.isEmpty():
+        released(wide)
+        return anchors, None
+    return anchors.join(wide, "family_id", "left_anti"), anchors.join(wide, "family_id", "left_semi")
+
+
+def _together(n: int) -> int:
+    """Families of n anchors whose order, and chains, are held together."""
+    return max(1, families.CELLS // max(n * n, 3 ** -(-n // 3)))
+
+
+def chain_counts(anchors: DataFrame, use_length: bool = False, few: int = FEW) -> DataFrame:
     """family_id, n_chains (decimal) and longest (anchors) of the chains that nothing extends, from counts: no chain is listed."""
+    small, large = _few(anchors, few)
+    count = lambda table: (families.chain_counts(own, use_length) for own in families.same_sizes(table, _together))
+    out = families.by_family(small, count, "family_id long, n_chains long, longest int").withColumn("n_chains", F.col("n_chains").cast("decimal(38,0)"))
+    return out if large is None else out.unionByName(walked_counts(large, use_length))
+
+
+def walked_counts(anchors: DataFrame, use_length: bool = False, order: Order | None = None) -> DataFrame:
+    """chain_counts by rounds over tables, for families of any size."""
     own = order or Order(anchors, use_length)
     whole = lambda c: c.cast("decimal(38,0)")
     front = own.first.select("family_id", "row_id", whole(F.lit(1)).alias("n"), F.lit(1).alias("size"))
@@ -192,14 +217,28 @@ def chain_counts(anchors: DataFrame, use_length: bool = False, order: Order | No
 MOST_CHAINS = 10_000_000
 
 
-def all_chains(anchors: DataFrame, use_length: bool = False, most: int = MOST_CHAINS) -> DataFrame:
-    """family_id, path (row_ids), size and weight of every chain that nothing extends.
+def all_chains(anchors: DataFrame, use_length: bool = False, most: int = MOST_CHAINS, few: int = FEW, only_longest: bool = False) -> DataFrame:
+    """family_id, path (row_ids), size and weight of every chain that nothing extends, or of those with most anchors.
 
     Their number can be exponential, so it is counted first: a family with more than `most` is an error, not a cut list.
-    Chains are rows that grow by an anchor a round, so a family's are spread over tasks.
+    Families of at most `few` anchors, whose chains are bounded, are walked within a task; in others chains are rows that
+    grow by an anchor a round, so that a family's are spread over tasks.
     """
+    if 3 ** -(-few // 3) > most:
+        few = 0
+    small, large = _few(anchors, few)
+    walk = lambda table: (batch for own in families.same_sizes(table, _together) for batch in families.all_chains(own, use_length, only_longest))
+    out = families.by_family(small, walk, "family_id long, path array<long>, size int, weight long")
+    if large is None:
+        return out
+    rest = walked_chains(large, use_length, most)
+    return out.unionByName(longest_chains(rest) if only_longest else rest)
+
+
+def walked_chains(anchors: DataFrame, use_length: bool, most: int) -> DataFrame:
+    """all_chains by rounds over tables, for families of any size."""
     order = Order(anchors, use_length)
-    many = chain_counts(anchors, use_length, order).where(F.col("n_chains") > most).first()
+    many = walked_counts(anchors, use_length, order).where(F.col("n_chains") > most).first()
     if many:
         order.drop()
         raise ValueError(f"family {many.family_id} has {many.n_chains} chains, more than {most}")

@@ -74,3 +74,51 @@ def by_family(anchors: DataFrame, each: Callable[[pa.Table], Iterator[pa.RecordB
 def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """An Arrow list for each entry of sizes, of so many of the values."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
+
+
+def direct(own: Same, use_length: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The order (f, n, n), and the edges of it that skip no anchor in between."""
+    n = own.row.shape[1]
+    order = np.zeros((len(own.row), n, n), dtype=bool)
+    for k in range(1, n):
+        order[:, :k, k] = own.before(k, use_length)
+    paths = order.astype(np.float32)
+    return order, order & (np.matmul(paths, paths) == 0)
+
+
+def chain_counts(own: Same, use_length: bool) -> pa.RecordBatch:
+    """family_id, n_chains and longest of the chains that nothing extends."""
+    order, edge = direct(own, use_length)
+    n = (~order.any(axis=1)).astype(np.int64)
+    for k in range(1, n.shape[1]):
+        n[:, k] += np.where(edge[:, :k, k], n[:, :k], 0).sum(axis=1)
+    last = ~order.any(axis=2)
+    return pa.RecordBatch.from_arrays([own.family, pa.array((n * last).sum(axis=1)), pa.array(longest(edge))], names=["family_id", "n_chains", "longest"])
+
+
+def longest(edge: np.ndarray) -> np.ndarray:
+    """The anchors of each family's longest chain."""
+    size = np.ones(edge.shape[:2], dtype=np.int32)
+    for k in range(1, size.shape[1]):
+        size[:, k] = np.where(edge[:, :k, k], size[:, :k] + 1, 1).max(axis=1)
+    return size.max(axis=1)
+
+
+def all_chains(own: Same, use_length: bool, only_longest: bool = False) -> Iterator[pa.RecordBatch]:
+    """family_id, path, size and weight of the chains that nothing extends, by their size."""
+    order, edge = direct(own, use_length)
+    asked = longest(edge) if only_longest else None
+    family, last = np.nonzero(~order.any(axis=1))
+    path = last[:, None]
+    while len(family):
+        ends = ~order[family, path[:, -1]].any(axis=1)
+        if asked is not None:
+            ends &= asked[family] == path.shape[1]
+        f, p = family[ends], path[ends]
+        if len(f):
+            rows, short = own.row[f[:, None], p], own.short[f[:, None], p].any(axis=1)
+            size = np.full(len(f), p.shape[1], dtype=np.int32)
+            weight = pa.array(own.length[f[:, None], p].sum(axis=1), mask=short)
+            yield pa.RecordBatch.from_arrays([own.family.take(pa.array(f)), lists(rows.reshape(-1), size), pa.array(size), weight], names=["family_id", "path", "size", "weight"])
+        grown, dst = np.nonzero(edge[family, path[:, -1]])
+        family, path = family[grown], np.concatenate([path[grown], dst[:, None]], axis=1)

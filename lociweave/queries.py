@@ -499,7 +499,7 @@ def all_chains(spark, sf_dir):
 
 @query("longest_chains", "SELECT family_id, path, size, weight FROM (SELECT *, max(size) OVER (PARTITION BY family_id) AS most FROM chains) WHERE size = most", ("items", "legacy", MAXIMAL), recursive=True)
 def longest_chains(spark, sf_dir):
-    return C.longest_chains(C.all_chains(items(spark, sf_dir)))
+    return C.all_chains(items(spark, sf_dir), only_longest=True)
 
 
 @query("chain_counts", "SELECT family_id, CAST(count(*) AS BIGINT) AS n_chains, max(size) AS longest FROM chains GROUP BY family_id", ("items", "legacy", MAXIMAL), recursive=True)

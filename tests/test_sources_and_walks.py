@@ -122,6 +122,23 @@ def test_walks_and_their_counts(spark, use_length):
     assert C.all_chains(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("use_length", [True, False])
+def test_small_families_are_walked_without_tables(spark, use_length, monkeypatch):
+    """Small families by arrays, larger ones by rounds, give the plain chains; without large ones no graph is written."""
+    rnd = random.Random(3)
+    rows = [(f, k, rnd.randrange(1, 5), [rnd.randrange(20), rnd.randrange(20)]) for f in range(40) for k in range(rnd.randrange(1, 14))]
+    frame = spark.createDataFrame(rows, "family_id long, row_id long, len long, pos array<long>")
+    want = walks(rows, use_length)
+    most = {f: max(len(w[1]) for w in want if w[0] == f) for f in {w[0] for w in want}}
+    both = [(few, C.all_chains(frame, use_length, few=few), C.chain_counts(frame, use_length, few=few), C.all_chains(frame, use_length, few=few, only_longest=True)) for few in (24, 6, 0)]
+    for _, chains, counts, longest in both:
+        assert sorted((r.family_id, tuple(r.path), r.weight) for r in chains.collect()) == sorted(want)
+        assert {r.family_id: (int(r.n_chains), r.longest) for r in counts.collect()} == {f: (sum(w[0] == f for w in want), most[f]) for f in most}
+        assert sorted((r.family_id, tuple(r.path), r.weight) for r in longest.collect()) == sorted(w for w in want if len(w[1]) == most[w[0]])
+    monkeypatch.setattr(C, "Order", None)
+    assert C.all_chains(frame, use_length).count() == len(want) and C.chain_counts(frame, use_length).count() == len(most)
+
+
 def test_more_chains_than_asked_for_are_an_error_before_any_is_listed(spark):
     """40 layers of 2 anchors each: 2 ** 40 chains are counted, not listed."""
     rows = [(1, 2 * k + s, 1, [10 * k + s, 10 * k + 1 - s]) for k in range(12) for s in (0, 1)]
