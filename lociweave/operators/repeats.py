@@ -12,8 +12,13 @@ family's sequences as one text with "#" behind each, lets repeats run across, an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lociweave.functions.sequences import ambiguous
 from lociweave.operators.longrepeats import long_repeats
@@ -24,6 +29,8 @@ WIDTH = 32
 #: Symbols of a chunk of text, and chunks that stay together when texts are dealt out.
 CHUNK, TOGETHER = 64, 256
 SHORT = 16
+#: Pieces whose starts are found at once.
+SLICE = 128
 
 
 def check_k(k: int) -> None:
@@ -40,43 +47,115 @@ def _before(parts: str, index: Column, edge: Column) -> Column:
     return F.when(index == 0, edge).otherwise(F.right(F.try_element_at(parts, index), F.lit(1)))
 
 
+def _pieces(texts: DataFrame, k: int, width: int) -> DataFrame:
+    """family_id, seq_idx, n, c, last, piece: stretches with the symbol before and width symbols behind, dealt out by their place."""
+    check_k(k)
+    size = CHUNK * TOGETHER
+    split = texts.where(F.length("bases") >= k).select("family_id", "seq_idx", F.length("bases").alias("n"), _split("bases", size).alias("pieces"))
+    piece = lambda c: F.concat(_before("pieces", c, F.lit("^")), F.try_element_at("pieces", c + 1), F.left(F.array_join(F.slice("pieces", c + 2, -(-width // size)), ""), F.lit(width)))
+    pieces = split.select("family_id", "seq_idx", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - k) / size).cast("int")), piece)).alias("c", "piece"))
+    last = F.least(F.lit(size), F.col("n") - k + 1 - F.col("c") * size)
+    return pieces.repartition("family_id", "seq_idx", "c").select("family_id", "seq_idx", "n", "c", last.cast("int").alias("last"), "piece")
+
+
+def clear_windows(texts: DataFrame, k: int, width: int) -> DataFrame:
+    """family_id, seq_idx, pos, before and raw as windows() has them, of starts of k symbols without an N; raw ends with its first N.
+
+    Symbols are single bytes, so that starts are found in a slice of pieces at once: where N are many, few become rows.
+    """
+    pieces = _pieces(texts, k, width).select("family_id", "seq_idx", (F.col("c") * (CHUNK * TOGETHER)).cast("int").alias("base"), "last", "piece")
+    kind = {f.name: f.dataType for f in pieces.schema.fields}
+    schema = T.StructType([T.StructField(c, d) for c, d in (("family_id", kind["family_id"]), ("seq_idx", kind["seq_idx"]), ("pos", T.IntegerType()), ("before", T.StringType()), ("raw", T.StringType()))])
+
+    def found(rows: pa.RecordBatch) -> pa.RecordBatch:
+        text = rows.column("piece").to_pylist()
+        edge = np.concatenate([[0], np.cumsum([len(x) for x in text])])
+        data = np.frombuffer("".join(text).encode("ascii"), dtype=np.uint8)
+        stops = np.unique(np.concatenate([np.flatnonzero(data == ord("N")), edge[1:]]))
+        # For each symbol, the next N or end of a piece; the first symbol of a piece is no start.
+        room = np.repeat(stops, np.diff(stops, prepend=-1))[: len(data)] - np.arange(len(data))
+        at = np.flatnonzero(room >= k)
+        row = np.searchsorted(edge, at, side="right") - 1
+        own = at - edge[row]
+        kept = (own >= 1) & (own <= rows.column("last").to_numpy()[row])
+        at, row, own = at[kept], row[kept], own[kept]
+        end = at + room[at]
+        ended = (room[at] < width) & (end < edge[row + 1])
+        size = np.minimum(room[at], width) + ended
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        raw = data[np.repeat(at - offsets[:-1], size) + np.arange(offsets[-1])]
+        strings = lambda offsets, values: pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values))
+        pick = pa.array(row)
+        pos = (rows.column("base").to_numpy()[row] + own).astype(np.int32)
+        columns = [rows.column("family_id").take(pick), rows.column("seq_idx").take(pick), pa.array(pos), strings(np.arange(len(at) + 1), data[at - 1]), strings(offsets, raw)]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                yield found(batch.slice(k, SLICE))
+
+    return pieces.mapInArrow(run, schema)
+
+
 def windows(texts: DataFrame, k: int, width: int) -> DataFrame:
     """family_id, seq_idx, pos (1-based), before (the symbol before; "^" at the start), left (symbols from here to the end) and raw, up to width symbols, for each start of k symbols.
 
     Texts are split into pieces, which are dealt out by their place: a long text, or a file of one row group, is no single
     task. There they are split into short chunks, each read with what follows it, so that a start costs a short substring.
     """
-    check_k(k)
     size = CHUNK * TOGETHER
-    split = texts.where(F.length("bases") >= k).select("family_id", "seq_idx", F.length("bases").alias("n"), _split("bases", size).alias("pieces"))
-    piece = lambda c: F.concat(_before("pieces", c, F.lit("^")), F.try_element_at("pieces", c + 1), F.left(F.array_join(F.slice("pieces", c + 2, -(-width // size)), ""), F.lit(width)))
-    pieces = split.select("family_id", "seq_idx", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - k) / size).cast("int")), piece)).alias("c", "piece"))
-    pieces = pieces.repartition("family_id", "seq_idx", "c")
-    last = F.least(F.lit(size), F.col("n") - k + 1 - F.col("c") * size)
-    fine = pieces.select("family_id", "seq_idx", "n", (F.col("c") * size).alias("base"), last.alias("last"), F.left("piece", F.lit(1)).alias("edge"), _split(F.substring("piece", 2, size + width), CHUNK).alias("chunks"))
+    pieces = _pieces(texts, k, width)
+    fine = pieces.select("family_id", "seq_idx", "n", (F.col("c") * size).alias("base"), "last", F.left("piece", F.lit(1)).alias("edge"), _split(F.substring("piece", 2, size + width), CHUNK).alias("chunks"))
     chunk = lambda f: F.concat(_before("chunks", f, F.col("edge")), F.array_join(F.slice("chunks", f + 1, 1 + -(-width // CHUNK)), ""))
     chunks = fine.select("family_id", "seq_idx", "n", "base", "last", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr(f"(last - 1) div {CHUNK}").cast("int")), chunk)).alias("f", "part"))
     own = F.least(F.lit(CHUNK), F.col("last") - F.col("f") * CHUNK)
-    starts = chunks.select("family_id", "seq_idx", "n", "base", "f", "part", F.explode(F.sequence(F.lit(1), own.cast("int"))).alias("i"))
+    at = F.sequence(F.lit(1), own.cast("int"))
+    starts = chunks.select("family_id", "seq_idx", "n", "base", "f", "part", F.explode(at).alias("i"))
     pos = (F.col("base") + F.col("f") * CHUNK + F.col("i")).cast("int")
     return starts.select("family_id", "seq_idx", pos.alias("pos"), F.substring("part", F.col("i"), F.lit(1)).alias("before"), (F.col("n") - pos + 1).alias("left"), F.substring("part", F.col("i") + 1, F.lit(width)).alias("raw"))
 
 
 def kmers(texts: DataFrame, k: int, keep_ambiguous: bool = False) -> DataFrame:
     """family_id, seq_idx, pos and kmer for each start of k symbols; those with an N only with keep_ambiguous."""
-    rows = windows(texts, k, k).select("family_id", "seq_idx", "pos", F.col("raw").alias("kmer"))
-    return rows if keep_ambiguous else rows.where(~F.contains("kmer", F.lit("N")))
+    rows = windows(texts, k, k) if keep_ambiguous else clear_windows(texts, k, k)
+    return rows.select("family_id", "seq_idx", "pos", F.col("raw").alias("kmer"))
+
+
+def kmer_counts(texts: DataFrame, ks: list[int]) -> DataFrame:
+    """k, family_id and n_kmers, how many starts kmers() has, for several K in one pass: from the lengths of stretches without an N, no start is a row."""
+    for k in ks:
+        check_k(k)
+    lengths = F.filter(F.transform(F.split("bases", "N"), lambda run: F.length(run)), lambda n: n >= min(ks))
+    own = lambda k: F.aggregate("lengths", F.lit(0).cast("long"), lambda total, n: total + F.greatest(n - (k - 1), F.lit(0)))
+    each = texts.select("family_id", lengths.alias("lengths")).where(F.size("lengths") > 0)
+    sums = each.select("family_id", *(own(k).alias(f"k{k}") for k in ks)).groupBy("family_id").agg(*(F.sum(f"k{k}").alias(f"k{k}") for k in ks))
+    by_k = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("n_kmers")) for k in ks))
+    return sums.select("family_id", F.inline(by_k)).where("n_kmers > 0").select("k", "family_id", "n_kmers")
 
 
 def suffixes(texts: DataFrame, k: int, width: int = WIDTH) -> DataFrame:
-    """family_id, seq_idx, pos (1-based), kmer, prev and suffix for each start of k symbols without an N.
+    """family_id, seq_idx, pos (1-based), kmer, prev, suffix and behind for each start of k symbols without an N.
 
-    texts: family_id, seq_idx, bases. The symbol before a sequence's first is a mark of its own.
+    texts: family_id, seq_idx, bases. The symbol before a sequence's first is a mark of its own. behind: half a width of
+    what follows a suffix of the whole width; null if an N or the end comes before.
     """
-    rows = windows(texts, k, width).withColumn("kmer", F.substring("raw", 1, k)).where(~F.contains("kmer", F.lit("N")))
+    rows = clear_windows(texts, k, width + width // 2).withColumns({"kmer": F.substring("raw", 1, k), "more": F.expr(f"substring(raw, {width + 1})"), "raw": F.substring("raw", 1, width)})
     prev = F.when(F.col("before") == "^", F.concat(F.lit("^"), F.col("seq_idx").cast("string"))).otherwise(F.col("before"))
-    cut = F.when(F.contains("raw", F.lit("N")), F.concat(F.substring_index("raw", "N", 1), F.lit("N"))).otherwise(F.col("raw"))
-    return rows.select("family_id", "seq_idx", "pos", "kmer", prev.alias("prev"), cut.alias("suffix"))
+    whole = (F.length("raw") == width) & ~F.contains("raw", F.lit("N"))
+    return rows.select("family_id", "seq_idx", "pos", "kmer", prev.alias("prev"), F.col("raw").alias("suffix"), F.when(whole, F.col("more")).alias("behind"))
+
+
+def long_members(starts: DataFrame, cut: DataFrame, width: int) -> tuple[DataFrame, DataFrame] | None:
+    """The starts whose whole window others share, and the symbols behind them, for longrepeats; None if there are none.
+
+    A repeat of at least a window ends with a window that is shared too: what is behind members is all that is asked for.
+    """
+    shared = cut.where((F.col("n") > 1) & (F.length("suffix") == width) & ~F.contains("suffix", F.lit("N"))).select("family_id", "suffix", "first")
+    if shared.isEmpty():
+        return None
+    rows = settled(starts.join(shared, ["family_id", "suffix"]).select("family_id", "seq_idx", "pos", "prev", "first", "behind"))
+    return rows.drop("behind"), rows.select("family_id", "seq_idx", (F.col("pos") + width).alias("pos"), F.col("behind").alias("raw"))
 
 
 def width_for(k: int, width: int = WIDTH) -> int:
@@ -90,7 +169,10 @@ def cuts(starts: DataFrame, width: int) -> DataFrame:
     most: up to how many symbols another start agrees with those of this cut, below the width. Any order of the symbols
     gives neighbours the same common prefixes, so the plain one is taken.
     """
-    each = starts.groupBy("family_id", "kmer", "suffix").agg(F.count("*").alias("n"), F.min(F.struct("seq_idx", "pos")).alias("first"))
+    # One number is summed up in hash tables; a struct would be sorted for it.
+    packed = F.col("seq_idx").cast("long") * (1 << 32) + F.col("pos")
+    each = starts.groupBy("family_id", "kmer", "suffix").agg(F.count("*").alias("n"), F.min(packed).alias("first"))
+    each = each.withColumn("first", F.struct(F.shiftright("first", 32).cast("int").alias("seq_idx"), F.col("first").bitwiseAND((1 << 32) - 1).cast("int").alias("pos")))
     order = Window.partitionBy("family_id", "kmer").orderBy("suffix")
     near = each.withColumn("neighbour", F.lag("suffix").over(order)).withColumn("lcp", F.coalesce(common_prefix("suffix", "neighbour", width), F.lit(0))).drop("neighbour")
     own = F.when((F.col("n") > 1) & (F.length("suffix") < width), F.length("suffix")).otherwise(0)
@@ -136,20 +218,18 @@ def short_occurrences(words: DataFrame, cut: DataFrame, starts: DataFrame, k: in
 def marked_words(texts: DataFrame, k: int, width: int = WIDTH) -> DataFrame:
     """Where the right-maximal words occur: family_id, word, len, seq_idx, pos, prev and next. Long words are marks, for spelled()."""
     width = width_for(k, width)
-    starts = suffixes(texts, k, width)
+    starts = settled(suffixes(texts, k, width))
     cut = settled(cuts(starts, width))
     words = short_words(cut, k, width)
     found = short_occurrences(words, cut, starts, k)
-    shared = cut.where((F.col("n") > 1) & (F.length("suffix") == width) & ~F.contains("suffix", F.lit("N"))).select("family_id", "suffix", "first")
-    if shared.isEmpty():
+    known = long_members(starts, cut, width)
+    if known is None:
         out = settled(found)
     else:
-        members = starts.join(shared, ["family_id", "suffix"]).select("family_id", "seq_idx", "pos", "prev", "first")
-        symbols = windows(texts, 1, width // 2)
-        long = long_repeats(members, symbols, width)
+        long = long_repeats(*known, width)
         out = settled(found.unionByName(long))
-        released(long)
-    released(cut)
+        released(long, known[0])
+    released(cut, starts)
     return out
 
 
@@ -175,11 +255,10 @@ def right_maximal(texts: DataFrame, k: int, width: int = WIDTH) -> DataFrame:
     starts = suffixes(texts, k, width)
     cut = settled(cuts(starts, width))
     words = short_words(cut, k, width)
-    shared = cut.where((F.col("n") > 1) & (F.length("suffix") == width) & ~F.contains("suffix", F.lit("N"))).select("family_id", "suffix", "first")
-    if shared.isEmpty():
+    known = long_members(starts, cut, width)
+    if known is None:
         return words
-    members = starts.join(shared, ["family_id", "suffix"]).select("family_id", "seq_idx", "pos", "prev", "first")
-    long = long_repeats(members, windows(texts, 1, width // 2), width).select("family_id", "word", "len").distinct()
+    long = long_repeats(*known, width).select("family_id", "word", "len").distinct()
     long = spelled(long, texts).select("family_id", F.substring("word", 1, k).alias("kmer"), "word", "len")
     return words.unionByName(long)
 
@@ -198,12 +277,20 @@ def subsumed(occurring: DataFrame, words: DataFrame, literal: bool = False) -> D
     return by_next.join(words, ["family_id", "word", "prevs"]).select("family_id", "word").distinct()
 
 
+def maximal_words(occurring: DataFrame) -> DataFrame:
+    """family_id, word of the left-diverse words that are not subsumed, in one pass.
+
+    The symbols before an extension are among those before the word: they are the same if there are as many.
+    """
+    by_next = occurring.groupBy("family_id", "word", "next").agg(F.collect_set("prev").alias("prevs"))
+    sets = by_next.groupBy("family_id", "word").agg(F.max(F.size("prevs")).alias("most"), F.size(F.array_distinct(F.flatten(F.collect_list("prevs")))).alias("n"))
+    return sets.where("n >= 2 and most < n").select("family_id", "word")
+
+
 def maximal_repeats(texts: DataFrame, k: int, suppress_subsumed: bool = True, width: int = WIDTH) -> DataFrame:
     """Occurrences (family_id, word, len, seq_idx, pos) of the repeats that neither side extends."""
     found = marked_words(texts, k, width)
-    kept = left_diverse(found)
-    if suppress_subsumed:
-        kept = kept.join(subsumed(found, kept), ["family_id", "word"], "left_anti")
+    kept = maximal_words(found) if suppress_subsumed else left_diverse(found)
     rows = found.join(kept.select("family_id", "word"), ["family_id", "word"], "left_semi")
     out = settled(spelled(rows, texts).select("family_id", "word", "len", "seq_idx", "pos"))
     released(found)

@@ -187,3 +187,32 @@ def test_vectorised_chains_cost_no_call_a_family(spark):
     began = time.monotonic()
     assert C.chain_large(many).where("step = 1 and score = 4").count() == 60_000
     assert time.monotonic() - began < 20
+
+
+def test_clear_starts_equal_all_starts_without_n(spark):
+    """Across pieces, at ends, beside N, and in texts of N alone; numbers of starts come from the lengths of stretches."""
+    rnd = random.Random(11)
+    text = "".join(rnd.choice("ACGTACGTACGTN") for _ in range(R.CHUNK * R.TOGETHER * 2 + 40))
+    rows = spark.createDataFrame([(0, 0, text), (0, 1, "A" * 60), (1, 0, "NNNNNNNN"), (1, 1, "ACGTN"), (2, 0, ""), (2, 1, None), (3, 0, "ACGTACGT")], TEXTS)
+    for k, width in ((5, 8), (8, 48)):
+        want = {(r.family_id, r.seq_idx, r.pos, r.before, (r.raw.split("N")[0] + "N") if "N" in r.raw else r.raw) for r in R.windows(rows, k, width).where(~F.contains(F.substring("raw", 1, k), F.lit("N"))).collect()}
+        got = [tuple(r) for r in R.clear_windows(rows, k, width).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    counts = {(r.k, r.family_id): r.n_kmers for r in R.kmer_counts(rows, [5, 8]).collect()}
+    assert counts == {(k, r.family_id): r.n for k in (5, 8) for r in R.kmers(rows, k).groupBy("family_id").agg(F.count("*").alias("n")).collect()}
+
+
+def test_maximal_words_in_one_pass(spark):
+    rnd = random.Random(4)
+    rows = [(f, w, rnd.choice("AC"), rnd.choice("GT")) for f in range(3) for w in "abcdefgh" for _ in range(rnd.randrange(1, 6))]
+    found = spark.createDataFrame(rows, "family_id long, word string, prev string, next string")
+    kept = R.left_diverse(found)
+    want = kept.join(R.subsumed(found, kept), ["family_id", "word"], "left_anti")
+    assert sorted(map(tuple, R.maximal_words(found).collect())) == sorted((r.family_id, r.word) for r in want.collect())
+
+
+def test_long_repeats_read_no_other_start(spark, monkeypatch):
+    """What is behind a shared window is kept with it: all starts are not made again for it."""
+    monkeypatch.setattr(R, "windows", None)
+    rows = spark.createDataFrame([(0, 0, f"{'ACGTTGCA' * 9}NAC"), (0, 1, f"G{'ACGTTGCA' * 9}")], TEXTS)
+    assert R.maximal_repeats(rows, 60).agg(F.max("len")).first()[0] == 72
