@@ -527,12 +527,7 @@ def brush_filter(spark, sf_dir):
 
 @query("multi_k", "SELECT k, family_id, CAST(sum(length(run) - k + 1) AS BIGINT) AS n_kmers FROM (SELECT family_id, run FROM runs), (VALUES (8), (12), (16)) AS ks(k) WHERE length(run) >= k GROUP BY ALL", ("fam", "turned", "runs"))
 def multi_k(spark, sf_dir):
-    texts = texts_of(families(spark, sf_dir))
-    out = None
-    for k in (8, 12, 16):
-        own = R.kmers(texts, k).groupBy("family_id").agg(F.count("*").alias("n_kmers")).select(F.lit(k).alias("k"), "family_id", "n_kmers")
-        out = own if out is None else out.unionByName(own)
-    return out
+    return R.kmer_counts(texts_of(families(spark, sf_dir)), [8, 12, 16])
 
 
 PAGE_SQL = "replace(replace(replace('" + writers.PAGE.replace("{{", "{").replace("}}", "}").replace("'", "''") + "', '{axes}', axes), '{rows}', rows), '{title}', concat('Family ', family_id))"
