@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lociweave.functions.sequences import ambiguous
+from lociweave.operators import smallfamilies
 from lociweave.operators.longrepeats import long_repeats
 from lociweave.operators.storage import released, settled
 
@@ -216,7 +217,15 @@ def short_occurrences(words: DataFrame, cut: DataFrame, starts: DataFrame, k: in
 
 
 def marked_words(texts: DataFrame, k: int, width: int = WIDTH) -> DataFrame:
-    """Where the right-maximal words occur: family_id, word, len, seq_idx, pos, prev and next. Long words are marks, for spelled()."""
+    """Where the right-maximal words occur: family_id, word, len, seq_idx, pos, prev and next. Long words of large families are marks, for spelled()."""
+    check_k(k)
+    small, large = smallfamilies.divided(texts)
+    found = smallfamilies.occurrences(small, k)
+    return settled(found if large is None else found.unionByName(shuffled_words(large, k, width)))
+
+
+def shuffled_words(texts: DataFrame, k: int, width: int = WIDTH) -> DataFrame:
+    """The same for families of any size, by shuffles; long words are marks."""
     width = width_for(k, width)
     starts = settled(suffixes(texts, k, width))
     cut = settled(cuts(starts, width))
@@ -251,6 +260,14 @@ def found_words(texts: DataFrame, k: int, width: int = WIDTH) -> tuple[DataFrame
 
 def right_maximal(texts: DataFrame, k: int, width: int = WIDTH) -> DataFrame:
     """family_id, kmer, word, len: the distinct words of at least k symbols at which occurrences part."""
+    check_k(k)
+    small, large = smallfamilies.divided(texts)
+    found = smallfamilies.words(small, k)
+    return found if large is None else found.unionByName(shuffled_right_maximal(large, k, width))
+
+
+def shuffled_right_maximal(texts: DataFrame, k: int, width: int = WIDTH) -> DataFrame:
+    """The same for families of any size, by shuffles."""
     width = width_for(k, width)
     starts = suffixes(texts, k, width)
     cut = settled(cuts(starts, width))
@@ -289,7 +306,15 @@ def maximal_words(occurring: DataFrame) -> DataFrame:
 
 def maximal_repeats(texts: DataFrame, k: int, suppress_subsumed: bool = True, width: int = WIDTH) -> DataFrame:
     """Occurrences (family_id, word, len, seq_idx, pos) of the repeats that neither side extends."""
-    found = marked_words(texts, k, width)
+    check_k(k)
+    small, large = smallfamilies.divided(texts)
+    found = smallfamilies.occurrences(small, k, "maximal" if suppress_subsumed else "diverse")
+    return settled(found if large is None else found.unionByName(shuffled_repeats(large, k, suppress_subsumed, width)))
+
+
+def shuffled_repeats(texts: DataFrame, k: int, suppress_subsumed: bool = True, width: int = WIDTH) -> DataFrame:
+    """The same for families of any size, by shuffles."""
+    found = shuffled_words(texts, k, width)
     kept = maximal_words(found) if suppress_subsumed else left_diverse(found)
     rows = found.join(kept.select("family_id", "word"), ["family_id", "word"], "left_semi")
     out = settled(spelled(rows, texts).select("family_id", "word", "len", "seq_idx", "pos"))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociweave.functions import bytetables
 from lociweave.functions import sequences as S
 from lociweave.operators import anchors as A
 from lociweave.operators import chain as C
@@ -76,7 +77,7 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = (), recursi
 
 def families(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bases = S.normalize(F.translate(F.lower("text"), LETTERS, FOLDED))
+    bases = bytetables.mapped(F.lower("text"), LETTERS + "ACGT", FOLDED + "ACGT", "N")
     return docs.select(F.floor(F.col("doc_id") / 3).alias("family_id"), (F.col("doc_id") % 3).cast("int").alias("seq_idx"), "doc_id", "text", bases.alias("bases"))
 
 
@@ -90,7 +91,7 @@ def genes_of(fam: DataFrame) -> DataFrame:
 
 
 def texts_of(fam: DataFrame) -> DataFrame:
-    turned = S.oriented(F.col("bases"), F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-"))
+    turned = F.when(F.col("doc_id") % 2 == 0, F.col("bases")).otherwise(bytetables.reversed_by(F.col("bases"), "ACGT", "TGCA"))
     return fam.select("family_id", "seq_idx", turned.alias("bases"), F.length("bases").cast("long").alias("len"))
 
 
