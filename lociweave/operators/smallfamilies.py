@@ -21,7 +21,7 @@ from lociweave.functions import bytetables
 from lociweave.operators.storage import settled
 
 #: Symbols of a family, and of a stretch without an N, up to which a family is small; symbols of a batch of families.
-FAMILY, RUN, BATCH = 1 << 20, 1 << 10, 1 << 20
+FAMILY, RUN, BATCH = 1 << 20, 1 << 10, 1 << 18
 #: Symbols of a piece, and rows that are given out at once.
 PIECE, ROWS = 1 << 14, 1 << 17
 WINDOW = 21

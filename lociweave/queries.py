@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociweave.functions import bytetables
@@ -81,18 +81,23 @@ def families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.floor(F.col("doc_id") / 3).alias("family_id"), (F.col("doc_id") % 3).cast("int").alias("seq_idx"), "doc_id", "text", bases.alias("bases"))
 
 
+def length_of() -> Column:
+    """Letters of a family's text, known without folding them: each character gives one base."""
+    return F.length(F.lower("text")).cast("long")
+
+
 def genes_of(fam: DataFrame) -> DataFrame:
-    length = F.length("bases").cast("long")
+    length = length_of()
     start = F.col("doc_id") * 1000
     return fam.select(
         "family_id", "seq_idx", F.concat(F.lit("gene"), F.col("doc_id").cast("string")).alias("gene"), F.concat(F.lit("chr"), F.col("seq_idx").cast("string")).alias("chr"),
-        F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("strand"), start.alias("region_start"), (start + F.expr("length(bases) div 3")).alias("gene_start"), (start + F.expr("length(bases) div 2")).alias("gene_end"), length.alias("n"),
+        F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("strand"), start.alias("region_start"), (start + F.expr("length(lower(text)) div 3")).alias("gene_start"), (start + F.expr("length(lower(text)) div 2")).alias("gene_end"), length.alias("n"),
     )
 
 
 def texts_of(fam: DataFrame) -> DataFrame:
     turned = F.when(F.col("doc_id") % 2 == 0, F.col("bases")).otherwise(bytetables.reversed_by(F.col("bases"), "ACGT", "TGCA"))
-    return fam.select("family_id", "seq_idx", turned.alias("bases"), F.length("bases").cast("long").alias("len"))
+    return fam.select("family_id", "seq_idx", turned.alias("bases"), length_of().alias("len"))
 
 
 def frames_of(fam: DataFrame) -> DataFrame:
