@@ -68,6 +68,15 @@ class Rolling:
         return mix64((self.sums[stops] - self.sums[starts]) * self.back[starts] + (stops - starts).astype(np.uint64))
 
 
+class RollingValues(Rolling):
+    """The same for stretches of an array of 64-bit values."""
+
+    def __init__(self, values: np.ndarray):
+        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * powers_of(BASE, len(values)), out=self.sums[1:])
+        self.back = powers_of(INVERSE, len(values) + 1)
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and stops of the words of all rows, and the number of words of each row; gap: by byte, whether it parts words."""
     if not len(data):

@@ -17,7 +17,7 @@ doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,16 +48,17 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: len(values) - width + 1], ahead[width - 1 : len(values)])
 
 
-def segments_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, block: int = BLOCK) -> tuple[np.ndarray, ...]:
+def segments_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, block: int = BLOCK, rolling: type[Rolling] = Rolling) -> tuple[np.ndarray, ...]:
     """Row, first string, number of strings, anchor's distance from the first string, anchor hash, content hash.
 
     Strings are looked at in blocks by where they start, so that a long text costs little more memory than its sums. A
     segment ends with its block; the two parts of one are segments with the same anchor, whose strings are compared.
+    rolling: what hashes stretches of data.
     """
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
         return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
-    hashed, strings = Rolling(data), len(data) - length + 1
+    hashed, strings = rolling(data), len(data) - length + 1
     found = [_segments_from(hashed, offsets, low, min(low + block, strings), length, gram) for low in range(0, strings, block)]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
@@ -214,9 +215,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return out
 
 
-def with_spans(docs: DataFrame, length: int) -> DataFrame:
-    """docs (columns id, mark, text and others) with a column spans of sorted, merged starts and stops."""
-    spans = repeated_spans(docs.select("id", "mark", "text"), length)
+def with_spans(docs: DataFrame, length: int, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """docs (columns id, mark, text and others) with a column spans of sorted, merged starts and stops.
+
+    more gives further spans (id, mark, start, stop) from the columns id, mark and text.
+    """
+    texts = docs.select("id", "mark", "text")
+    spans = repeated_spans(texts, length)
+    spans = spans.unionByName(more(texts)) if more else spans
     # A set: rows that are repeated as a whole bring the same spans once each.
     by_document = spans.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     return docs.join(by_document.hint("shuffle_hash"), KEY, "left")
@@ -265,11 +271,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return out.mapInArrow(step, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """docs with the repeated bytes cut out of text; what a cut leaves of a split character goes too.
 
     Null texts stay null, a text that repeats as a whole becomes empty, repeated rows lose their texts alike; n_chars is
-    set anew where docs has it, other columns stay as they are, whatever their names.
+    set anew where docs has it, other columns stay as they are, whatever their names. more: as for with_spans.
     """
     names = docs.columns
     inner = [f"c{k}" for k in range(len(names))]  # so that no column of docs clashes with those made on the way
@@ -284,6 +290,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], inner)
 
     rest = [F.col(f"`{c}`").alias(i) for i, c in zip(inner, names, strict=True) if c != "text"]
-    out = with_spans(_keyed(docs, "text", *rest), length)
+    out = with_spans(_keyed(docs, "text", *rest), length, more)
     out = out.select(*(F.col("text").alias(i) if c == "text" else F.col(i) for i, c in zip(inner, names, strict=True)), "text", "spans")
     return out.mapInArrow(step, kinds).toDF(*names)
