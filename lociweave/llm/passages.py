@@ -103,7 +103,8 @@ def shared_spans(docs: DataFrame, words: int) -> DataFrame:
     partly = windows.where("times = 1").join(again, ["anchor", "string"], "left_semi").groupBy("id", "mark", "anchor", "content")
     partly = partly.agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.collect_list(F.struct("start", "stop")).alias("each"))
     partly = partly.select("id", "mark", F.explode(F.when(F.col("n") == F.col("high") - F.col("low") + 1, F.array(F.struct("start", "stop"))).otherwise(F.col("each"))).alias("s")).select("id", "mark", "s.*")
-    wholly = all_.join(kinds.where("times > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("id", "mark", "start", "stop")
+    # Merged, not broadcast after the shuffle: the many segments of a very common passage can be split then.
+    wholly = all_.join(kinds.where("times > 1").select("anchor", "content").hint("merge"), ["anchor", "content"], "left_semi").select("id", "mark", "start", "stop")
     out = scratch.put(wholly.unionByName(partly), "word-spans")
     scratch.drop_all_but(out)
     return out

@@ -11,9 +11,11 @@ from lociweave.llm.license import AGREE, RARE, SHARE, templates
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed are strings of 400 bytes; shared passages of over 50 words, mostly shorter than that, are told in further columns."""
+    from lociweave.llm.passages import shared_spans
     from lociweave.llm.suffixdedup import suffix_dedup
 
-    return suffix_dedup(table(spark, sf_dir, "documents"), length=400)
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=400, more=lambda texts: shared_spans(texts, words=51))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,16 +215,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return out
 
 
-def with_spans(docs: DataFrame, length: int, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """docs (columns id, mark, text and others) with a column spans of sorted, merged starts and stops.
+def with_spans(docs: DataFrame, length: int, more: Callable[[DataFrame], DataFrame] | None = None, apart: bool = False) -> DataFrame:
+    """docs (columns id, mark, text and others) with a column spans of sorted starts and stops, not yet merged.
 
-    more gives further spans (id, mark, start, stop) from the columns id, mark and text.
+    more gives further spans (id, mark, start, stop) from the columns id, mark and text; apart: those have a column more
+    of their own.
     """
     texts = docs.select("id", "mark", "text")
-    spans = repeated_spans(texts, length)
-    spans = spans.unionByName(more(texts)) if more else spans
+    spans = repeated_spans(texts, length).withColumn("apart", F.lit(False))
+    spans = spans.unionByName(more(texts).withColumn("apart", F.lit(apart))) if more else spans
     # A set: rows that are repeated as a whole bring the same spans once each.
-    by_document = spans.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    one = lambda own: F.sort_array(F.collect_set(F.when(own, F.struct("start", "stop"))))
+    columns = [one(~F.col("apart")).alias("spans"), *([one(F.col("apart")).alias("more")] if apart else [])]
+    by_document = spans.groupBy("id", "mark").agg(*columns)
     return docs.join(by_document.hint("shuffle_hash"), KEY, "left")
 
 
@@ -237,15 +240,17 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[new], far[np.append(np.flatnonzero(new)[1:] - 1, len(far) - 1)]
 
 
+def _runs(spans: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Starts and stops of the maximal runs of each row's spans."""
+    none = np.zeros(0, dtype=np.int64)
+    for own in spans:
+        yield merged(*(np.asarray(own.values.field(k), dtype=np.int64) for k in (0, 1))) if own.is_valid else (none, none)
+
+
 def _cut(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int, int]]:
     """Kept bytes, all bytes, removed bytes and spans of each row."""
-    spans = batch.column("spans")
-    for text, own in zip(batch.column("text"), spans, strict=True):
+    for text, (starts, stops) in zip(batch.column("text"), _runs(batch.column("spans")), strict=True):
         raw = (text.as_py() or "").encode()
-        if not own.is_valid:
-            yield raw, len(raw), 0, 0
-            continue
-        starts, stops = merged(*(np.asarray(own.values.field(k), dtype=np.int64) for k in (0, 1)))
         parts, at = [], 0
         for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
             parts.append(raw[at:a])
@@ -257,18 +262,24 @@ def _keyed(docs: DataFrame, *columns: str | Column) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("mark"), *columns)
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of docs."""
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of docs.
+
+    With more, as for with_spans, two columns follow: n_passages and n_passage_bytes, the maximal runs of those spans and
+    their bytes. They are told, not removed: the other columns are the same as without.
+    """
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_passages", "n_passage_bytes"] if more else [])]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=TEXT_SLICE):
-            rows = [(hashlib.sha256(kept).hexdigest(), n, gone, spans) for kept, n, gone, spans in _cut(batch)]
-            kept, n, gone, spans = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n, gone, spans)), pa.array(kept)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            rows = [(n, gone, spans, hashlib.sha256(kept).hexdigest()) for kept, n, gone, spans in _cut(batch)]
+            told = [(len(starts), int((stops - starts).sum())) for starts, stops in _runs(batch.column("more"))] if more else [()] * len(rows)
+            columns = zip(*(r + t for r, t in zip(rows, told, strict=True)), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.string() if n == "kept_sha256" else pa.int64()) for n, c in zip(names, columns, strict=True))], ["doc_id", *names])
 
     keyed = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = with_spans(keyed, length).select("doc_id", "spans", "text")
-    return out.mapInArrow(step, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = with_spans(keyed, length, more, apart=more is not None).select("doc_id", "spans", *(["more"] if more else []), "text")
+    return out.mapInArrow(step, ", ".join(["doc_id long", *(f"{n} {'string' if n == 'kept_sha256' else 'long'}" for n in names)]))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

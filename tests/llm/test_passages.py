@@ -62,3 +62,22 @@ def test_the_pipeline_cuts_passages_of_over_50_words_below_400_bytes(spark):
     texts = [f"{ends[0]} {passage} {ends[1]}", f"{ends[2]} {passage.replace(' ', chr(10), 9)} {ends[3]}", f"{ends[4]} {fifty} {ends[5]}", f"{ends[6]} {fifty} {ends[7]}"]
     got = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup(spark, docs_of(spark, texts), "").collect()}
     assert got == {0: f"{ends[0]}  {ends[1]}", 1: f"{ends[2]}  {ends[3]}", 2: texts[2], 3: texts[3]}
+
+
+def test_op1_tells_passages_of_over_50_words_below_400_bytes(spark, tmp_path):
+    """In columns of their own: what is removed is the contract's, strings of 400 bytes alone."""
+    from lociweave.llm.registry import op1_suffix_dedup
+    from tests.llm.test_text_operators import removed
+
+    rnd = random.Random(8)
+    short = lambda n: " ".join("".join(rnd.choice("bdglmnaeiou") for _ in range(rnd.randint(3, 6))) for _ in range(n))
+    passage, other, fifty, long, twice = short(51), short(53), short(50), short(120), short(55)
+    assert max(len(t.encode()) for t in (passage, other)) < 400 < len(long.encode())
+    texts = [f"{short(40)} {passage} {short(40)}", f"{passage} {short(9)} {other}", f"é {other}", f"{fifty} {short(9)}", f"{short(9)} {fifty}"]
+    texts += [f"{short(3)} {long}", f"{long} {short(3)}", f"{twice} - {twice}", "", None]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for _, r in sorted(got.items())] == removed(texts, 400)
+    a, b, c = (len(t.encode()) for t in (passage, other, long))
+    assert [(got[k].n_passages, got[k].n_passage_bytes) for k in range(len(texts))] == [(1, a), (2, a + b), (1, b), (0, 0), (0, 0), (1, c), (1, c), (0, 0), (0, 0), (0, 0)]
+    assert [got[k].n_removed > 0 for k in range(len(texts))] == [False] * 5 + [True] * 2 + [False] * 3
