@@ -81,3 +81,13 @@ def test_op1_tells_passages_of_over_50_words_below_400_bytes(spark, tmp_path):
     a, b, c = (len(t.encode()) for t in (passage, other, long))
     assert [(got[k].n_passages, got[k].n_passage_bytes) for k in range(len(texts))] == [(1, a), (2, a + b), (1, b), (0, 0), (0, 0), (1, c), (1, c), (0, 0), (0, 0), (0, 0)]
     assert [got[k].n_removed > 0 for k in range(len(texts))] == [False] * 5 + [True] * 2 + [False] * 3
+
+
+def test_shared_windows_are_cut_at_each_place_of_a_document(spark):
+    """Words that repeat on and on: equal segments of one document stand at many places of it."""
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice("abc") + (" " + w) * rnd.randint(3, 15) for w in rnd.sample(["do", "re", "mi", "fa"], 3)) for _ in range(40)]
+    want = cut(texts, 8)
+    assert kept(spark, texts, 8) == want and want != texts
+    lines = ["x" + " do" * 12 + " y" + " do" * 10, "do" + " do" * 8 + " re"]
+    assert kept(spark, lines, 9) == cut(lines, 9) == ["x  y ", " re"]
