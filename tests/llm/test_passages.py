@@ -85,9 +85,8 @@ def test_op1_tells_passages_of_over_50_words_below_400_bytes(spark, tmp_path):
 
 def test_shared_windows_are_cut_at_each_place_of_a_document(spark):
     """Words that repeat on and on: equal segments of one document stand at many places of it."""
+    texts = ["do " * 12 + "k " + "do " * 10 + "j", "r" + " do" * 9]
+    assert kept(spark, texts, 9) == cut(texts, 9) == [" k  j", "r "]
     rnd = random.Random(9)
     texts = [" ".join(rnd.choice("abc") + (" " + w) * rnd.randint(3, 15) for w in rnd.sample(["do", "re", "mi", "fa"], 3)) for _ in range(40)]
-    want = cut(texts, 8)
-    assert kept(spark, texts, 8) == want and want != texts
-    lines = ["x" + " do" * 12 + " y" + " do" * 10, "do" + " do" * 8 + " re"]
-    assert kept(spark, lines, 9) == cut(lines, 9) == ["x  y ", " re"]
+    assert kept(spark, texts, 8) == cut(texts, 8) != texts
