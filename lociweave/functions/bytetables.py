@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Bytes of texts that are worked on at once; arrays of numbers about them take many times as much.
+SLICE = 1 << 22
+
 
 def _parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Bytes, offsets into them, and which texts are null."""
@@ -22,15 +27,21 @@ def _texts(data: np.ndarray, offsets: np.ndarray, null: pa.Array) -> pa.Array:
     return pa.compute.if_else(null, pa.scalar(None, pa.string()), out) if null.true_count else out
 
 
+def _in_slices(run: Callable[[pa.Array], pa.Array], texts: pa.Array) -> pa.Array:
+    """run over some texts after others, SLICE bytes and one text more."""
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // SLICE)) + 1).tolist(), len(texts)]
+    return pa.concat_arrays([run(texts.slice(a, b - a)) for a, b in zip(edges, edges[1:])])
+
+
 def mapped(text: Column, letters: str, by: str, other: str) -> Column:
     """text with each of the letters (ASCII) replaced by the one at its place in by, and every other character by other."""
     table = np.full(256, ord(other), dtype=np.uint8)
     table[np.frombuffer(letters.encode("ascii"), dtype=np.uint8)] = np.frombuffer(by.encode("ascii"), dtype=np.uint8)
 
-    @F.arrow_udf("string")
-    def run(texts: pa.Array) -> pa.Array:
-        import pyarrow.compute  # noqa: F401
-
+    def part(texts: pa.Array) -> pa.Array:
         data, offsets, null = _parts(texts)
         # A character is its first byte; those that follow it within UTF-8 go.
         first = (data & 0xC0) != 0x80
@@ -39,6 +50,10 @@ def mapped(text: Column, letters: str, by: str, other: str) -> Column:
             data = data[first]
         return _texts(table[data], offsets, null)
 
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return _in_slices(part, texts)
+
     return run(text)
 
 
@@ -47,16 +62,17 @@ def reversed_by(text: Column, letters: str, by: str) -> Column:
     table = np.arange(256, dtype=np.uint8)
     table[np.frombuffer(letters.encode("ascii"), dtype=np.uint8)] = np.frombuffer(by.encode("ascii"), dtype=np.uint8)
 
-    @F.arrow_udf("string")
-    def run(texts: pa.Array) -> pa.Array:
-        import pyarrow.compute  # noqa: F401
-
+    def part(texts: pa.Array) -> pa.Array:
         data, offsets, null = _parts(texts)
         # Read from the end, the last text comes first.
         turned = _texts(table[data[::-1]], offsets[-1] - offsets[::-1], pa.array(np.zeros(len(null), dtype=bool)))
         turned = turned.take(pa.array(np.arange(len(null))[::-1]))
         return pa.compute.if_else(null, pa.scalar(None, pa.string()), turned)
 
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return _in_slices(part, texts)
+
     return run(text)
 
 
@@ -65,8 +81,7 @@ def longest_stretch(text: Column, letters: str, without: str) -> Column:
     known = np.zeros(256, dtype=bool)
     known[np.frombuffer(letters.encode("ascii"), dtype=np.uint8)] = True
 
-    @F.arrow_udf("int")
-    def run(texts: pa.Array) -> pa.Array:
+    def part(texts: pa.Array) -> pa.Array:
         data, offsets, null = _parts(texts)
         out = np.zeros(len(null), dtype=np.int32)
         # Stretches lie between places of the letter and edges of texts.
@@ -81,4 +96,8 @@ def longest_stretch(text: Column, letters: str, without: str) -> Column:
         out[np.searchsorted(offsets, odd, side="right") - 1] = -1
         return pa.array(out, mask=null.to_numpy(zero_copy_only=False))
 
+    @F.arrow_udf("int")
+    def run(texts: pa.Array) -> pa.Array:
+        return _in_slices(part, texts)
+
     return run(text)

@@ -340,10 +340,13 @@ def boundary_split(words: DataFrame, k: int, literal: bool = False) -> DataFrame
 
 
 def kmer_pairs(starts: DataFrame) -> DataFrame:
-    """All pairs of starts with the same K-mer, on diagonals: family_id, two sequences and positions."""
+    """All pairs of starts with the same K-mer, on diagonals: family_id, two sequences and positions.
+
+    Starts are many more than Spark takes them for by the size of their texts: they are merged, never broadcast.
+    """
     a = starts.select("family_id", "kmer", F.col("seq_idx").alias("seq_a"), F.col("pos").alias("pos_a"))
     b = starts.select("family_id", "kmer", F.col("seq_idx").alias("seq_b"), F.col("pos").alias("pos_b"))
-    return a.join(b, ["family_id", "kmer"]).where("seq_a < seq_b")
+    return a.hint("merge").join(b.hint("merge"), ["family_id", "kmer"]).where("seq_a < seq_b")
 
 
 def seed_counts(starts: DataFrame) -> DataFrame:
@@ -361,3 +364,50 @@ def extensions(pairs: DataFrame, k: int) -> DataFrame:
     serial = F.row_number().over(Window.partitionBy(*diagonal).orderBy("pos_a"))
     islands = pairs.withColumn("island", F.col("pos_a") - serial).withColumn("diagonal", F.col("pos_b") - F.col("pos_a"))
     return islands.groupBy("family_id", "seq_a", "seq_b", "diagonal", "island").agg(F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"), (F.count("*") + k - 1).alias("len")).drop("diagonal", "island")
+
+
+def island_edges(starts: DataFrame, beside: str) -> DataFrame:
+    """Pairs of starts with the same K-mer in two sequences and other symbols beside them; an N, or none, differs from all.
+
+    A start asks for those sequences and symbols that its K-mer is known with: the join grows with its result.
+    """
+    cell = F.struct(F.col("seq_idx").alias("seq_a"), F.col(beside).alias("beside"))
+    cells = starts.groupBy("family_id", "kmer").agg(F.collect_set(cell).alias("cells")).where(F.size("cells") > 1)
+    differs = lambda c: (c["seq_a"] < F.col("seq_idx")) & ((c["beside"] != F.col(beside)) | F.col(beside).isin("", "N"))
+    asked = starts.hint("merge").join(cells.hint("merge"), ["family_id", "kmer"])
+    asked = asked.select("family_id", "kmer", F.col("seq_idx").alias("seq_b"), F.col("pos").alias("pos_b"), F.inline(F.filter("cells", differs)))
+    a = starts.select("family_id", "kmer", F.col("seq_idx").alias("seq_a"), F.col(beside).alias("beside"), F.col("pos").alias("pos_a"))
+    pairs = a.hint("merge").join(asked.hint("merge"), ["family_id", "kmer", "seq_a", "beside"])
+    return pairs.select("family_id", "seq_a", "seq_b", F.col("pos_a").cast("long").alias("pos_a"), F.col("pos_b").cast("long").alias("pos_b"))
+
+
+def islands(texts: DataFrame, k: int) -> DataFrame:
+    """family_id, seq_a, seq_b, pos_a, pos_b, len: stretches of at least k symbols without an N that two sequences share, as long as they go."""
+    check_k(k)
+    small, large = smallfamilies.divided(texts.where("family_id is not null and seq_idx is not null"))
+    found = smallfamilies.islands(small, k)
+    return found if large is None else found.unionByName(shuffled_islands(large, k))
+
+
+def shuffled_islands(texts: DataFrame, k: int) -> DataFrame:
+    """The same for families of any size, by shuffles: islands from where they begin and end, which take turns on a diagonal.
+
+    Where a (family_id, seq_idx) is repeated, they do not: there islands are what all pairs on a diagonal give when they are numbered.
+    """
+    again = texts.groupBy("family_id", "seq_idx").count().where("count > 1")
+    again = settled(again.select(F.col("family_id").alias("_again")).distinct())
+    same = F.col("family_id") == F.col("_again")
+    single = texts.join(again, same, "left_anti")
+    starts = clear_windows(single, k, k + 1).select(
+        "family_id", "seq_idx", "pos", F.substring("raw", 1, k).alias("kmer"), F.when(F.col("pos") == 1, "").otherwise(F.col("before")).alias("before"), F.expr(f"substring(raw, {k + 1}, 1)").alias("behind")
+    )
+    starts = settled(starts)
+    edges = island_edges(starts, "before").withColumn("ends", F.lit(0)).unionByName(island_edges(starts, "behind").withColumn("ends", F.lit(1)))
+    diagonal = Window.partitionBy("family_id", "seq_a", "seq_b", F.col("pos_b") - F.col("pos_a")).orderBy("pos_a", "ends")
+    found = edges.withColumn("last", F.lead("pos_a").over(diagonal)).where("ends = 0").withColumn("len", F.col("last") - F.col("pos_a") + k).drop("last", "ends")
+    if not again.isEmpty():
+        numbered = extensions(kmer_pairs(kmers(texts.join(again, same, "left_semi"), k)), k)
+        found = found.unionByName(numbered.withColumns({c: F.col(c).cast("long") for c in ("pos_a", "pos_b")}))
+    out = settled(found)
+    released(starts)
+    return out

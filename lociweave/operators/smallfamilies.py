@@ -1,10 +1,11 @@
-"""Right-maximal words of families that are small enough for a task, many families in one array.
+"""Right-maximal words and islands of families that are small enough for a task, many families in one array.
 
 Spark deals families out and sorts their pieces; a task lays whole families side by side, up to BATCH symbols, and sorts
 all their starts at once by windows of 21 symbols, three bits each. Only starts that share a whole window are sorted by
 the next one, so that rounds are bounded by RUN. Words are the depths at which neighbours part; a word's occurrences, and
-those of each of its extensions, are stretches of the sorted starts. Larger families, longer stretches without an N, other
-symbols and repeated (family_id, seq_idx) go the way of operators.repeats, by shuffles.
+those of each of its extensions, are stretches of the sorted starts. Islands are found from the pairs of starts at which
+they begin, and no other pairs are made. Larger families, longer stretches without an N, other symbols and repeated
+(family_id, seq_idx) go the way of operators.repeats, by shuffles.
 """
 
 from __future__ import annotations
@@ -49,16 +50,26 @@ def divided(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return texts.join(large, same, "left_anti"), texts.join(large, same, "left_semi")
 
 
+def _room(data: np.ndarray) -> np.ndarray:
+    """Symbols from each place to the next N or end."""
+    stops = np.flatnonzero((data == 0) | (data == NO))
+    return np.repeat(stops, np.diff(stops, prepend=-1)) - np.arange(len(data))
+
+
+def _agreed(differ: np.ndarray) -> np.ndarray:
+    """How many symbols two windows share, from the bits in which they differ."""
+    for n in (1, 2, 4, 8, 16, 32):
+        differ = differ | (differ >> np.uint64(n))
+    return WINDOW - (np.bitwise_count(differ).astype(np.int32) + 2) // 3
+
+
 class Sorted:
     """The starts of k symbols without an N of a batch of families, in the order of what follows them, and the words at which they part."""
 
     def __init__(self, data: np.ndarray, family: np.ndarray, k: int) -> None:
         """data: codes, a 0 before, between and behind sequences; family: a number for each symbol, ascending."""
         self.data = data
-        stops = np.flatnonzero((data == 0) | (data == NO))
-        # Symbols from each place to the next N or end.
-        room = np.repeat(stops, np.diff(stops, prepend=-1)) - np.arange(len(data))
-        windows = self._windows(data)
+        room, windows = _room(data), self._windows(data)
         at = np.flatnonzero(room >= k)
         self.at, self.lcp = self._ordered(at, room, windows, family)
         self.room = room[self.at]
@@ -77,11 +88,14 @@ class Sorted:
         return (by[16] << np.uint64(15)) | (ahead(by[4], 16) << np.uint64(3)) | ahead(by[1], 20)
 
     @staticmethod
-    def _ordered(at: np.ndarray, room: np.ndarray, windows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The starts in order, and how many symbols each shares with the one before; an N that both have counts, an end does not."""
+    def _ordered(at: np.ndarray, room: np.ndarray, windows: np.ndarray, group: np.ndarray, enough: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The starts in order, and how many symbols each shares with the one before; an N that both have counts, an end does not.
+
+        enough: symbols after which the order may be left open.
+        """
         order, lcp = at.copy(), np.zeros(len(at), dtype=np.int32)
         places, groups, depth = np.arange(len(at)), group[at], 0
-        while len(places):
+        while len(places) and (enough is None or depth < enough):
             own = order[places]
             left = room[own] - depth
             cut = np.maximum(WINDOW - 1 - left, 0).astype(np.uint64) * np.uint64(3)
@@ -91,9 +105,7 @@ class Sorted:
             order[places] = own
             same = groups[1:] == groups[:-1]
             differ = key[1:] ^ key[:-1]
-            for n in (1, 2, 4, 8, 16, 32):
-                differ |= differ >> np.uint64(n)
-            shared = WINDOW - (np.bitwise_count(differ).astype(np.int32) + 2) // 3
+            shared = _agreed(differ)
             # Equal windows end together: at an N, which counts, or at ends, which are no one else's.
             ended = (differ == 0) & (left[1:] < WINDOW)
             shared[ended] = left[1:][ended] + (((key[1:][ended] >> (np.uint64(3) * (WINDOW - 1 - left[1:][ended]).astype(np.uint64))) & np.uint64(7)) == NO)
@@ -181,8 +193,8 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndar
         yield pa.Table.from_batches([b for b, _ in held]), np.concatenate([s for _, s in held])
 
 
-def _families(rows: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[Sorted, np.ndarray, np.ndarray, pa.Table]]:
-    """Sorted batches, the row of each symbol, where the sequence of each row begins, and the rows."""
+def _laid(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table]]:
+    """Codes and a family's number for each symbol of a batch, the row of each symbol, where the sequence of each row begins, and the rows."""
     for table, starts in _batches(rows):
         text = table.column("piece").to_pylist()
         opens = table.column("c").to_numpy() == 0
@@ -193,7 +205,53 @@ def _families(rows: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[Sorted,
         row = np.repeat(np.arange(len(text)), sizes)
         edges = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         begins = edges[np.maximum.accumulate(np.where(opens, np.arange(len(text)), 0))]
-        yield Sorted(data, np.cumsum(starts)[row], k), row, begins, table
+        yield data, np.cumsum(starts)[row], row, begins, table
+
+
+def _families(rows: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[Sorted, np.ndarray, np.ndarray, pa.Table]]:
+    """Sorted batches, the row of each symbol, where the sequence of each row begins, and the rows."""
+    for data, family, row, begins, table in _laid(rows):
+        yield Sorted(data, family, k), row, begins, table
+
+
+def _islands(data: np.ndarray, family: np.ndarray, begins: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Where islands begin in the earlier and in the later sequence, and their size; begins: where sequences begin, ascending."""
+    room, windows = _room(data), Sorted._windows(data)
+    at, lcp = Sorted._ordered(np.flatnonzero(room >= k), room, windows, family, k)
+    kmer = np.cumsum(lcp < k)
+    several = np.bincount(kmer)[kmer] > 1
+    at, kmer = at[several], kmer[several]
+    # Starts by K-mer, the symbol before them and their place: those of later sequences are the end of each stretch.
+    symbols, width = len(SYMBOLS) + 1, len(data) + 1
+    key = (kmer * symbols + data[at - 1]) * width + at
+    key.sort()
+    at, (kmer, prev) = key % width, np.divmod(key // width, symbols)
+    later = np.append(begins[1:], len(data))[np.searchsorted(begins, at, side="right") - 1]
+    owns, firsts, sizes = [], [], []
+    for c in np.unique(prev).tolist():
+        # A common symbol before two starts is part of their island; an N, and the edge of a sequence, is not.
+        own = np.arange(len(at)) if c in (0, NO) else np.flatnonzero(prev != c)
+        stretch = kmer[own] * symbols + c
+        first = np.searchsorted(key, stretch * width + later[own])
+        size = np.searchsorted(key, (stretch + 1) * width) - first
+        some = size > 0
+        owns.append(own[some])
+        firsts.append(first[some])
+        sizes.append(size[some])
+    if not owns:
+        return
+    own, first, ends = np.concatenate(owns), np.concatenate(firsts), np.cumsum(np.concatenate(sizes))
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, ROWS):
+        ordinal = np.arange(lo, min(lo + ROWS, int(ends[-1])))
+        pair = np.searchsorted(ends, ordinal, side="right")
+        a, b = at[own[pair]], at[first[pair] + ordinal - np.where(pair, ends[pair - 1], 0)]
+        most, size, live, depth = np.minimum(room[a], room[b]), np.zeros(len(a), dtype=np.int64), np.arange(len(a)), 0
+        while len(live):
+            shared = _agreed(windows[a[live] + depth] ^ windows[b[live] + depth])
+            size[live] += shared
+            depth += WINDOW
+            live = live[(shared == WINDOW) & (most[live] > depth)]
+        yield a, b, np.minimum(size, most)
 
 
 def _dealt(texts: DataFrame) -> DataFrame:
@@ -248,3 +306,20 @@ def occurrences(texts: DataFrame, k: int, kept: str = "all") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return dealt.mapInArrow(run, f"family_id {kind['family_id']}, word string, len int, seq_idx {kind['seq_idx']}, pos int" + (", prev string, next string" if kept == "all" else ""))
+
+
+def islands(texts: DataFrame, k: int) -> DataFrame:
+    """family_id, seq_a, seq_b, pos_a, pos_b, len: stretches of at least k symbols without an N that two sequences share, as long as they go."""
+    dealt = _dealt(texts.where("family_id is not null and seq_idx is not null"))
+    kind = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}
+    names = ["family_id", "seq_a", "seq_b", "pos_a", "pos_b", "len"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, number, row, begins, table in _laid(batches):
+            family, seq = table.column("family_id").combine_chunks(), table.column("seq_idx").combine_chunks()
+            for a, b, size in _islands(data, number, np.unique(begins), k):
+                pick, other = pa.array(row[a]), pa.array(row[b])
+                columns = [family.take(pick), seq.take(pick), seq.take(other), *(pa.array(x, type=pa.int64()) for x in (a - begins[row[a]], b - begins[row[b]], size))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return dealt.mapInArrow(run, f"family_id {kind['family_id']}, seq_a {kind['seq_idx']}, seq_b {kind['seq_idx']}, pos_a bigint, pos_b bigint, len bigint")

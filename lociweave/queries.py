@@ -253,8 +253,7 @@ def kmer_seed_join(spark, sf_dir):
     ("fam", "turned", "runs", "starts"),
 )
 def lce_islands(spark, sf_dir):
-    rows = R.extensions(R.kmer_pairs(R.kmers(texts_of(families(spark, sf_dir)), K)), K)
-    return rows.select("family_id", "seq_a", "seq_b", F.col("pos_a").cast("long").alias("pos_a"), F.col("pos_b").cast("long").alias("pos_b"), "len")
+    return R.islands(texts_of(families(spark, sf_dir)), K)
 
 
 @query("right_maximal", "SELECT family_id, word, CAST(len AS BIGINT) AS len FROM words", FAMILY[:6])
