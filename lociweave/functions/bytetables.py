@@ -27,55 +27,77 @@ def _texts(data: np.ndarray, offsets: np.ndarray, null: pa.Array) -> pa.Array:
     return pa.compute.if_else(null, pa.scalar(None, pa.string()), out) if null.true_count else out
 
 
-def _in_slices(run: Callable[[pa.Array], pa.Array], texts: pa.Array) -> pa.Array:
-    """run over some texts after others, SLICE bytes and one text more."""
+def _in_slices(run: Callable[..., pa.Array], texts: pa.Array, *more: pa.Array) -> pa.Array:
+    """run over some texts after others, SLICE bytes and one text more; more: further columns of the same rows."""
     import pyarrow.compute as pc
 
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     edges = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // SLICE)) + 1).tolist(), len(texts)]
-    return pa.concat_arrays([run(texts.slice(a, b - a)) for a, b in zip(edges, edges[1:])])
+    return pa.concat_arrays([run(*(x.slice(a, b - a) for x in (texts, *more))) for a, b in zip(edges, edges[1:])])
 
 
-def mapped(text: Column, letters: str, by: str, other: str) -> Column:
-    """text with each of the letters (ASCII) replaced by the one at its place in by, and every other character by other."""
-    table = np.full(256, ord(other), dtype=np.uint8)
+def _table(letters: str, by: str, other: str | None = None) -> np.ndarray:
+    """The byte for each byte: that of by for a letter's, and other, or the byte itself, for all the rest."""
+    table = np.arange(256, dtype=np.uint8) if other is None else np.full(256, ord(other), dtype=np.uint8)
     table[np.frombuffer(letters.encode("ascii"), dtype=np.uint8)] = np.frombuffer(by.encode("ascii"), dtype=np.uint8)
+    return table
+
+
+def _mapped(texts: pa.Array, table: np.ndarray) -> pa.Array:
+    data, offsets, null = _parts(texts)
+    # A character is its first byte; those that follow it within UTF-8 go.
+    first = (data & 0xC0) != 0x80
+    if not first.all():
+        offsets = np.concatenate([[0], np.cumsum(first)])[offsets]
+        data = data[first]
+    return _texts(table[data], offsets, null)
 
-    def part(texts: pa.Array) -> pa.Array:
-        data, offsets, null = _parts(texts)
-        # A character is its first byte; those that follow it within UTF-8 go.
-        first = (data & 0xC0) != 0x80
-        if not first.all():
-            offsets = np.concatenate([[0], np.cumsum(first)])[offsets]
-            data = data[first]
-        return _texts(table[data], offsets, null)
+
+def _reversed(texts: pa.Array, table: np.ndarray) -> pa.Array:
+    data, offsets, null = _parts(texts)
+    # Read from the end, the last text comes first.
+    turned = _texts(table[data[::-1]], offsets[-1] - offsets[::-1], pa.array(np.zeros(len(null), dtype=bool)))
+    turned = turned.take(pa.array(np.arange(len(null))[::-1]))
+    return pa.compute.if_else(null, pa.scalar(None, pa.string()), turned)
+
+
+def mapped(text: Column, letters: str, by: str, other: str) -> Column:
+    """text with each of the letters (ASCII) replaced by the one at its place in by, and every other character by other."""
+    table = _table(letters, by, other)
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return _in_slices(part, texts)
+        return _in_slices(lambda own: _mapped(own, table), texts)
 
     return run(text)
 
 
 def reversed_by(text: Column, letters: str, by: str) -> Column:
     """ASCII text from its end to its start, each of the letters replaced by the one at its place in by."""
-    table = np.arange(256, dtype=np.uint8)
-    table[np.frombuffer(letters.encode("ascii"), dtype=np.uint8)] = np.frombuffer(by.encode("ascii"), dtype=np.uint8)
-
-    def part(texts: pa.Array) -> pa.Array:
-        data, offsets, null = _parts(texts)
-        # Read from the end, the last text comes first.
-        turned = _texts(table[data[::-1]], offsets[-1] - offsets[::-1], pa.array(np.zeros(len(null), dtype=bool)))
-        turned = turned.take(pa.array(np.arange(len(null))[::-1]))
-        return pa.compute.if_else(null, pa.scalar(None, pa.string()), turned)
+    table = _table(letters, by)
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return _in_slices(part, texts)
+        return _in_slices(lambda own: _reversed(own, table), texts)
 
     return run(text)
 
 
+def mapped_or_reversed(text: Column, back: Column, letters: str, by: str, other: str, symbols: str, opposite: str) -> Column:
+    """mapped(), and reversed_by() of it where back (never null) holds: a batch of texts goes to Python and comes back once."""
+    forth, turn = _table(letters, by, other), _table(symbols, opposite)
+
+    def part(texts: pa.Array, back: pa.Array) -> pa.Array:
+        plain = _mapped(texts, forth)
+        return pa.compute.replace_with_mask(plain, back, _reversed(plain.filter(back), turn))
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, back: pa.Array) -> pa.Array:
+        return _in_slices(part, texts, back)
+
+    return run(text, back)
+
+
 def longest_stretch(text: Column, letters: str, without: str) -> Column:
     """Length of the longest stretch without a given letter; -1 if a text has any character but the letters. A null stays null."""
     known = np.zeros(256, dtype=bool)

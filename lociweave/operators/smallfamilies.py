@@ -256,8 +256,10 @@ def _islands(data: np.ndarray, family: np.ndarray, begins: np.ndarray, k: int) -
 
 def _dealt(texts: DataFrame) -> DataFrame:
     """family_id, seq_idx, c and piece: families by partition, in order."""
-    pieces = F.when(F.length("bases") <= PIECE, F.array("bases")).otherwise(F.regexp_extract_all("bases", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
-    rows = texts.where("bases <> ''").select("family_id", "seq_idx", F.posexplode(pieces).alias("c", "piece"))
+    # Empty texts have no pieces. A filter on them would be pushed below the folding of letters, and fold all texts a second time.
+    size = F.length("bases")
+    pieces = F.when(size > PIECE, F.regexp_extract_all("bases", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).when(size > 0, F.array("bases"))
+    rows = texts.select("family_id", "seq_idx", F.posexplode(pieces).alias("c", "piece"))
     return rows.repartition("family_id").sortWithinPartitions("family_id", "seq_idx", "c")
 
 

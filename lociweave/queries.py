@@ -96,7 +96,8 @@ def genes_of(fam: DataFrame) -> DataFrame:
 
 
 def texts_of(fam: DataFrame) -> DataFrame:
-    turned = F.when(F.col("doc_id") % 2 == 0, F.col("bases")).otherwise(bytetables.reversed_by(F.col("bases"), "ACGT", "TGCA"))
+    back = ~F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+    turned = bytetables.mapped_or_reversed(F.lower("text"), back, LETTERS + "ACGT", FOLDED + "ACGT", "N", "ACGT", "TGCA")
     return fam.select("family_id", "seq_idx", turned.alias("bases"), length_of().alias("len"))
 
 

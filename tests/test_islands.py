@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lociweave import queries as core
+from lociweave.functions import bytetables as B
 from lociweave.operators import repeats as R
 from lociweave.operators import smallfamilies as M
 
@@ -135,3 +136,24 @@ def test_pairs_are_made_at_edges_only(spark):
     rows = spark.createDataFrame([(0, 0, "A" * 206), (0, 1, "A" * 306)], "family_id long, seq_idx int, bases string")
     starts = R.clear_windows(rows, 7, 8).selectExpr("family_id", "seq_idx", "pos", "substring(raw, 1, 7) kmer", "if(pos = 1, '', before) before")
     assert R.island_edges(starts, "before").count() == M.islands(rows, 7).count() == 499
+
+
+def test_letters_are_folded_in_slices(spark, monkeypatch):
+    """Slices of any size, nulls and empty texts, forth and back in one go, give what whole batches give."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    texts = ["", None, "aZé\U0001f600x", "ACGTNNacgt\n", "é", "Nn", "ACGT" * 30 + "NA", None, ""]
+    want = [None if x is None else "".join({"a": "A", "b": "C"}.get(c, c if c in "ACGT" else "N") for c in x) for x in texts]
+    turned = [None if x is None else x[::-1].translate(str.maketrans("ACGT", "TGCA")) for x in want]
+    table, opposite = B._table("abACGT", "ACACGT", "N"), B._table("ACGT", "TGCA")
+    for size in (1, 5, 1 << 22):
+        monkeypatch.setattr(B, "SLICE", size)
+        for own in (pa.array(texts, pa.string()), pa.array(["x", *texts], pa.string()).slice(1)):
+            folded = B._in_slices(lambda x: B._mapped(x, table), own)
+            assert folded.to_pylist() == want
+            assert B._in_slices(lambda x: B._reversed(x, opposite), folded).to_pylist() == turned
+        assert len(B._in_slices(lambda x: B._mapped(x, table), pa.array([], pa.string()))) == 0
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts * 2)], "k int, text string").repartition(2)
+    got = df.select("k", B.mapped_or_reversed(F.col("text"), F.col("k") >= len(texts), "abACGT", "ACACGT", "N", "ACGT", "TGCA").alias("x"))
+    assert {r.k: r.x for r in got.collect()} == dict(enumerate(want + turned))
